@@ -17,6 +17,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from denspark.llm.pii import pii_report
+
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from denspark.llm.chat_format import chat_report
+
+    return chat_report(_table(spark, sf_dir, "conversations"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from denspark.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from denspark.llm.license_scan import license_scan
 
@@ -35,4 +53,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from denspark.llm import chat_format, mixing
+
+    return {"op7_chat_format": chat_format.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
