@@ -23,6 +23,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from denspark.llm.url_filter import url_filter
+
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from denspark.llm.chat_format import chat_report
 
@@ -53,6 +59,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from denspark.llm import chat_format, mixing
+    from denspark.llm import chat_format, mixing, url_filter
 
-    return {"op7_chat_format": chat_format.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op5_url_filter": url_filter.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
