@@ -108,7 +108,10 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 
 def mask_pii(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` with spans of at least that score replaced by ``<KIND>`` in ``text``; overlapping spans become one."""
+    """``docs`` with spans of at least that score replaced by ``<KIND>`` in ``text``; overlapping spans become one.
+
+    A column ``n_chars`` gets the new length of the texts that change.
+    """
     found = find_spans(docs)
     masked = F.expr(
         "aggregate(array_sort(filter(pii_spans, x -> x.score >= {least}), (l, r) -> case when l.start != r.start then int(sign(l.start - r.start)) else int(sign(r.end - l.end)) end),"
@@ -118,4 +121,8 @@ def mask_pii(docs: DataFrame, least: float = 0.0) -> DataFrame:
         " a -> concat(array_join(a.out, ''), substring(text, int(a.at) + 1)))".replace("{least}", repr(least))
     )
     text = F.when(F.size("pii_spans") > 0, masked).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
