@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from denspark.llm import textops
 
-PASSAGE, TERMS, RANK, EXTRA = 32, 8192, 64, 8
+PASSAGE, TERMS, RANK, EXTRA = 32, 8192, 48, 8
 #: Items of the benchmark in one pass; least words of an item.
 ITEMS, LEAST = 2000, 8
-#: Least cosine of a candidate, and least shares of the item's and the answer's words in common order.
-COSINE, SHARED, ANSWER, SURE = 0.45, 0.6, 0.5, 0.8
+#: Least cosine of a candidate, least share of its distinct terms in the passage (by bitmaps of BITS), and least shares of the item's and the answer's words in common order.
+COSINE, TERMS_SHARED, BITS, SHARED, ANSWER, SURE = 0.5, 0.5, 1024, 0.6, 0.5, 0.8
 _BLOCK = 512
 _WIDTH = RANK + EXTRA
 _MATCH = "doc_id long, item_id long, cosine double, lcs double, answer double"
@@ -118,8 +118,10 @@ def latent_space(docs: DataFrame, benchmark: DataFrame) -> np.ndarray:
     omega = start / np.maximum(idf, 1e-3)[:, None]
     q, _ = np.linalg.qr(sketch)
     core = (q.T @ sketch) @ np.linalg.pinv(q.T @ omega)
-    _, vectors = np.linalg.eigh((core + core.T) / 2)
-    return (idf[:, None] * (q @ vectors[:, ::-1][:, :RANK])).astype(np.float32)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    # Directions weigh alike: otherwise the first, what all prose has in common, hides the rest.
+    scale = 1 / np.sqrt(np.maximum(values[::-1][:RANK], 1e-9 * max(1e-9, values[-1])))
+    return (idf[:, None] * (q @ vectors[:, ::-1][:, :RANK]) * scale).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -150,23 +152,29 @@ class Items:
     """Benchmark items of one block: their word hashes, answers and latent pieces."""
 
     def __init__(self, rows: list, space: np.ndarray):
-        self.ids, self.words, self.answers, vectors, self.owner = [], [], [], [], []
+        self.ids, self.words, self.answers, vectors, self.owner, terms = [], [], [], [], [], []
         for item_id, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             words = textops.Words(raw, np.array([0, len(raw)]))
             if len(words.hashes) < LEAST:
                 continue
-            own = space[_terms(words)]
+            own_terms = _terms(words)
+            own = space[own_terms]
             cuts = [(0, len(own))]
             if len(own) > PASSAGE:
                 cuts += [(i, min(i + PASSAGE, len(own))) for i in range(0, len(own) - PASSAGE // 2, PASSAGE // 2)]
             for a, b in cuts:
                 vectors.append(own[a:b].sum(0))
+                held = np.zeros(BITS, bool)
+                held[own_terms[a:b] % BITS] = True
+                terms.append(np.packbits(held))
                 self.owner.append(len(self.ids))
             self.ids.append(item_id)
             self.words.append(words.hashes.tolist())
             self.answers.append(min(len(own), answer_of(text)))
         self.owner = np.array(self.owner, np.int64)
+        self.terms = np.array(terms, np.uint8).reshape(len(terms), BITS // 8).view(np.uint64)
+        self.distinct = np.bitwise_count(self.terms).sum(1)
         self.latent = _unit(np.array(vectors, np.float32).reshape(len(vectors), RANK)).T.copy()
 
 
@@ -177,13 +185,21 @@ def matches(raw: np.ndarray, offs: np.ndarray, items: Items, space: np.ndarray)
     starts, ends = _passages(words.bounds, half)
     if not len(starts) or not len(items.ids):
         return []
-    sums = np.add.reduceat(space[_terms(words)], starts)
+    terms = _terms(words)
+    sums = np.add.reduceat(space[terms], starts)
+    held = np.zeros((len(starts), BITS), bool)
+    held[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms)))), terms % BITS] = True
+    held = np.packbits(held, axis=1).view(np.uint64)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(ends))
     pair = sums.copy()
     follows = doc[1:] == doc[:-1]
     pair[:-1][follows] += sums[1:][follows]
+    held[:-1][follows] |= held[1:][follows].copy()
     cosine = _unit(pair) @ items.latent
     at, piece = np.nonzero(cosine >= COSINE)
+    common = np.bitwise_count(held[at] & items.terms[piece]).sum(1)
+    likely = common >= TERMS_SHARED * items.distinct[piece]
+    at, piece = at[likely], piece[likely]
     found, tried = {}, set()
     for w, p in sorted(zip(at.tolist(), piece.tolist(), strict=True), key=lambda x: -cosine[x]):
         d, i = int(doc[w]), int(items.owner[p])
