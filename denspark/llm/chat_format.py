@@ -62,8 +62,10 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
             break
         open_before = opened
         above = jump.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("length").alias("length2"), F.col("root").alias("root2"))
-        jump = jump.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
-        jump = cut(jump.select("conv", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"), F.coalesce("root2", "root").alias("root")))
+        # Only messages that haven't reached their root take part: the rounds that one long path needs cost the others nothing.
+        moved = jump.where("up is not null").join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")))
+        moved = moved.select("conv", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("length") + F.col("length2")).alias("length"), F.col("root2").alias("root"))
+        jump = cut(moved.unionByName(jump.where("up is null")))
         jumps.append(jump)
     parents = nodes.where("parent is not null").select(F.col("conv").alias("c"), F.col("parent").alias("n")).distinct()
     leaves = jump.where("up is null").join(parents, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_anti")

@@ -10,15 +10,18 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
    lengthens its prefix (m from 1 to ``MOST_MATCHES``) to where the estimated cost of
    scanning its lists and verifying the candidates left is least: sets made of common tokens
    ask for more matches before a candidate counts.
-3. Lists of one set are dropped as they stream out of the shuffle. In ``ROUNDS`` rounds every
-   list pairs its sets with one centre only, so a large group of near copies costs its size
-   and not its square; verified pairs are contracted to classes.
-4. Lists that still hold several classes give all their pairs across classes; those with
-   enough matches are verified. No link between different classes can be missed, so the
-   classes are exact.
+3. Lists of one set are dropped as they stream out of the shuffle. Every list first pairs its
+   sets with ``CENTRES`` centres only, so a large group of near copies costs its size and not
+   its square; verified pairs are contracted to classes.
+4. Lists that still hold several classes are compared across classes, block against block;
+   pairs with enough matches are verified. No link between different classes can be missed,
+   so the classes are exact.
 
-Words, sets and prefixes come from one Arrow pass each; sizes that leave no chance of a link
-are dropped before verification; sets are intersected with ``array_intersect``.
+Verification looks at sizes, then at parity bitmaps of ``BITMAP`` bits (sets that differ in d
+tokens differ in at most d bits, so the test loses nothing), and at last intersects the sets
+themselves, which are made and shuffled only for pairs that got that far.
+
+Words, sets and prefixes come from one Arrow pass each.
 
 Defined cases: null or empty text, or text without words, has an empty set, links with nothing
 and keeps its own doc_id as component; fewer than five words make one token of the whole
@@ -33,21 +36,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from denspark.lineage import cut, table
 from denspark.llm import textops
+from denspark.llm.bits import bit_table
 from denspark.operators.components import connected_components
 
 SIZE, SHARE = 5, 80
-#: Cells of the table of counts, most matches a prefix may ask for, rounds with one centre a list.
-CELLS, MOST_MATCHES, ROUNDS = 1 << 16, 4, 3
+#: Cells of the table of counts and of one of its blocks, most matches a prefix may ask for, centres of a list.
+CELLS, BLOCK, MOST_MATCHES, CENTRES = 1 << 20, 1 << 16, 4, 3
 #: Cost of verifying one candidate, per token of the set, in scanned list entries.
 VERIFY = 0.05
-#: Bits of the table that tells which sets may be candidates.
-FILTER_BITS = 1 << 22
+#: Bits of a set's parity bitmap, and of the table that tells which sets are asked for.
+BITMAP, FILTER_BITS = 1024, 1 << 22
+#: Members of a list that travel in one block.
+MEMBERS = 2048
 _U = np.uint64
 
 
@@ -68,17 +75,40 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, _U).view(np.int64))
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each of BITMAP bits."""
+    odd = np.bincount((tokens >> _U(40)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_SIGNED = "block int, doc_id long, n long, node long, bits array<long>, counts binary"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell null) of documents and rows (cell, n) of token counts."""
-    counts = np.zeros(CELLS, np.int64)
-    names = ["cell", "doc_id", "n", "node"]
+    """Rows (block null) of documents, and blocks of the table of token counts."""
+    total = np.zeros(CELLS, np.int32)
+    names = [x.split()[0] for x in _SIGNED.split(", ")]
+    words = BITMAP // 64
     for ids, sets in _sets(batches):
         n = len(sets)
         tokens = np.concatenate(sets) if sets else np.zeros(0, _U)
-        counts += np.bincount((tokens & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _signed([node_of(s) for s in sets])], names=names)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.array(counts[used]), pa.nulls(len(used), pa.int64())], names=names)
+        np.add.at(total, (tokens & _U(CELLS - 1)).astype(np.int64), 1)
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * words, pa.int32()), pa.array(np.concatenate([bitmap(s) for s in sets])))
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _signed([node_of(s) for s in sets]), bits, pa.nulls(n, pa.binary())], names=names)
+    if total.any():
+        n = CELLS // BLOCK
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([x.tobytes() for x in total.reshape(n, BLOCK)], pa.binary())], names=names)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums blocks of counts as they stream past; holds one sum per block number."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(data, np.int32).astype(np.int64)
+            sums[block] = sums[block] + own if block in sums else own
+    for block, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
 
 
 def needed(n, share: int = SHARE):
@@ -115,37 +145,46 @@ def _prefixes(counts: np.ndarray, usual: float, share: int):
     return run
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, node): distinct ones, without lists of a single node. Holds one row between batches."""
-    held, kept_out = None, False  # the last row so far, and whether it has been passed on
-    for batch in batches:
-        token, node, size = (batch.column(i).to_numpy() for i in range(3))
-        if held is not None:
-            token, node, size = (np.concatenate([[h], x]) for h, x in zip(held, (token, node, size), strict=True))
-        if not len(token):
-            continue
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        at = np.flatnonzero(new)
-        token, node, size = token[at], node[at], size[at]
-        same = np.zeros(len(token) + 1, bool)
-        same[1:-1] = token[1:] == token[:-1]
-        out = same[:-1] | same[1:]
-        last_out = bool(out[-1])
-        if held is not None and kept_out:
-            if len(out) == 1:
-                last_out = True
-            out[0] = False
-        held, kept_out = (token[-1], node[-1], size[-1]), last_out
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (token, node, size)], names=["token", "node", "size"])
-
-
-def _candidate_sets(bits: np.ndarray):
+def _shared_only(share: int):
+    """Keeps rows with a partner: another node in the list whose size leaves a chance of a link.
+
+    Rows are sorted by (token, size, node), so the nearest sizes stand next to each other and a copy
+    of a row follows it. One row is held between batches.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches):
+        held, is_out = None, False  # the last row so far, and whether it has been passed on
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            if held is not None:
+                rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+            token, size, node = rows
+            if not len(token):
+                continue
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            token, size, node = (x[new] for x in rows)
+            n = size >> 3
+            pair = np.zeros(len(token) + 1, bool)
+            pair[1:-1] = (token[1:] == token[:-1]) & (100 * n[:-1] >= share * n[1:])
+            out = pair[:-1] | pair[1:]
+            last_is_out = bool(out[-1])
+            if held is not None and is_out:
+                last_is_out |= len(out) == 1
+                out[0] = False
+            held, is_out = (token[-1:], size[-1:], node[-1:]), last_is_out
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (token, size, node)], names=["token", "size", "node"])
+
+    return run
+
+
+def _asked_sets(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches):
             nodes = np.array([node_of(s) for s in sets], _U)
-            at = np.flatnonzero(bits[(nodes & _U(FILTER_BITS - 1)).astype(np.int64)] & np.array([len(s) > 0 for s in sets]))
+            own = pc.fill_null(ids.cast(pa.int64()), 0).to_numpy()
+            at = np.flatnonzero(bits[_asked_cell(nodes.view(np.int64), own)])
             if len(at):
                 offsets = np.concatenate([[0], np.cumsum([len(sets[i]) for i in at])])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(np.concatenate([sets[i] for i in at])))
@@ -154,13 +193,60 @@ def _candidate_sets(bits: np.ndarray):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """(source, target) of the pairs (a, b) that link."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    tested = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("ta") + F.size("tb")).alias("total"), common.alias("common"))
-    return tested.where(100 * F.col("common") >= share * (F.col("total") - F.col("common"))).select(F.col("a").alias("source"), F.col("b").alias("target"))
+def _asked_cell(node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Place of a set's first document in the table of sets that are asked for."""
+    return (textops.mix(node.astype(np.int64).view(_U) ^ textops.mix(doc_id.astype(np.int64).view(_U))) & _U(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node, doc_id = batch.column(0).to_numpy(), pc.fill_null(batch.column(1), 0).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_asked_cell(node, doc_id)), pa.int64())], names=["cell"])
+
+
+def _across(share: int):
+    """(a, b, need): pairs of members of different classes, of two blocks, near by size and bitmap."""
+
+    def unpack(rows: pa.ListScalar):
+        x = rows.values
+        node, group, n, need = (x.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        return node, group, n.astype(np.int64), need, x.field(4).flatten().to_numpy().view(_U).reshape(len(node), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, ga, na, ma, xa), (b, gb, nb, mb, xb) = (unpack(batch.column(k)[i]) for k in range(2))
+                same = batch.column(2)[i].as_py()
+                by = np.argsort(nb, kind="stable")
+                b, gb, nb, mb, xb = b[by], gb[by], nb[by], mb[by], xb[by]
+                low = np.searchsorted(nb, -(-share * na // 100))
+                high = np.searchsorted(nb, 100 * na // share, "right")
+                for r in range(len(a)):
+                    at = np.arange(low[r], high[r])
+                    at = at[(gb[at] != ga[r]) & ((a[r] < b[at]) if same else True)]
+                    apart = np.bitwise_count(xb[at] ^ xa[r]).sum(1, dtype=np.int64)
+                    at = at[(100 + share) * apart <= (100 - share) * (nb[at] + na[r])]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[r], b[at])), pa.array(np.maximum(a[r], b[at])), pa.array(np.minimum(mb[at], ma[r]), pa.int32())], names=["a", "b", "need"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
+    """(source, target) of the pairs (a, b) that link: bitmaps first, then the sets themselves."""
+    left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("xa"), F.col("n").alias("na"))
+    right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("xb"), F.col("n").alias("nb"))
+    apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    # common >= share / (100 + share) of the sizes' sum, so at most the rest of it differs.
+    near = pairs.join(left, "a").join(right, "b").where((100 + share) * apart <= (100 - share) * (F.col("na") + F.col("nb")))
+    near = cut(near.select("a", "b", "na", "nb"))
+    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"))
+    bits = np.unpackbits(bit_table(wanted.mapInArrow(_cells, "cell long"), FILTER_BITS)).astype(bool)
+    sets = docs.select("doc_id", "text").mapInArrow(_asked_sets(bits), "node long, tokens array<long>")
+    sets = table(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    near = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    near = near.withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    return cut(near.where(100 * F.col("common") >= share * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("source"), F.col("b").alias("target")))
 
 
 def _fits(share: int):
@@ -169,64 +255,60 @@ def _fits(share: int):
 
 
 def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node) of every row, and the table of token counts (CELLS numbers)."""
-    both = table(docs.select("doc_id", "text").mapInArrow(_signatures, "cell int, doc_id long, n long, node long"))
-    cells = both.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    """(doc_id, n, node, bits) of every row, and the table of token counts (CELLS numbers)."""
+    both = table(docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNED))
+    blocks = both.where("block is not null").select("block", "counts").repartition(CELLS // BLOCK, "block").mapInArrow(_add_up, "block int, counts binary").toArrow().to_pylist()
     counts = np.zeros(CELLS, np.int64)
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    return both.where("cell is null").drop("cell"), counts
+    for x in blocks:
+        counts[x["block"] * BLOCK : (x["block"] + 1) * BLOCK] = np.frombuffer(x["counts"], np.int64)
+    return both.where("block is null").select("doc_id", "n", "node", "bits"), np.minimum(counts, (1 << 31) - 1).astype(np.int32)
 
 
-def node_classes(docs: DataFrame, counts: np.ndarray, share: int = SHARE) -> DataFrame:
-    """(node, component) for the sets that link with another; component is the smallest node of the class."""
+def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int = SHARE) -> DataFrame:
+    """(node, component) for the sets that link with another; component is the smallest node of the class.
+
+    ``own`` and ``counts`` are what :func:`signatures` gives for ``docs``.
+    """
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     tokens = docs.select("doc_id", "text").mapInArrow(_prefixes(counts, float(np.median(counts)), share), "token long, node long, size long")
-    lists = tokens.repartition(int(parts), "token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, "token long, node long, size long")
-    lists = table(lists.select("token", "node", F.shiftright("size", 3).alias("n"), F.col("size").bitwiseAND(7).alias("matches")))
-    nodes = lists.groupBy("node").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("matches").alias("matches"))
+    lists = tokens.select("token", "size", "node").repartition(int(parts), "token").sortWithinPartitions("token", "size", "node").mapInArrow(_shared_only(share), "token long, size long, node long")
+    lists = table(lists.select("token", "node", F.shiftright("size", 3).alias("n"), F.col("size").bitwiseAND(7).cast("int").alias("matches")))
+    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = cut(nodes.join(lists.select("node").distinct(), "node", "left_semi"))
     # Base texts of copies have all of their prefix in shared lists: they make the best centres.
-    length = F.col("n") - F.ceil(F.col("n") * share / 100) + F.col("matches")
-    nodes = cut(nodes.select("node", (F.col("lists") / length).alias("shared"), F.col("node").alias("class")))
-    # Which sets may be asked for: a table of FILTER_BITS bits; the joins below decide.
-    cells = nodes.select(F.col("node").bitwiseAND(FILTER_BITS - 1).cast("int").alias("cell")).distinct().toArrow()
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[cells.column("cell").to_numpy()] = True
-    sets = docs.select("doc_id", "text").mapInArrow(_candidate_sets(bits), "node long, tokens array<long>")
-    sets = table(sets.dropDuplicates(["node"]).join(nodes.select("node"), "node", "left_semi"))
-    edges = None
-
-    def merged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        links = found if edges is None else edges.unionByName(found)
-        classes = connected_components(links)
-        own = nodes.drop("class").join(classes, "node", "left")
-        return links, cut(own.select("node", "shared", F.coalesce("component", "node").alias("class")))
-
-    open_lists = lists
-    for k in range(ROUNDS):
-        seen = open_lists.join(nodes, "node")
-        rank = F.struct(-F.col("shared") if k == 0 else F.lit(0.0), F.xxhash64("node", F.lit(k)), "node", "class", "n")
-        centre = seen.groupBy("token").agg(F.min(rank).alias("centre"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-        centre = centre.select("token", F.col("centre.node").alias("b"), F.col("centre.class").alias("cb"), F.col("centre.n").alias("nb"))
-        pairs = seen.join(centre, "token").where(F.col("class") != F.col("cb")).withColumnRenamed("n", "na").where(_fits(share))
-        pairs = cut(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-        found = cut(_verified(pairs, sets, share))
-        edges, nodes = merged(found)
+    often = lists.groupBy("node").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("matches").alias("matches"))
+    often = often.select("node", (F.col("lists") / (F.col("n") - F.ceil(F.col("n") * share / 100) + F.col("matches"))).alias("shared"))
+    ranks = [F.struct((-F.col("shared") if k == 0 else F.lit(0.0)).alias("r"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "n") for k in range(CENTRES)]
+    centre = lists.join(often, "node").groupBy("token").agg(*[F.min(r).alias(f"c{k}") for k, r in enumerate(ranks)])
+    centre = centre.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"c{k}.node"), F.col(f"c{k}.n")) for k in range(CENTRES)])).alias("centres"))
+    pairs = lists.join(centre, "token").select("node", F.col("n").alias("na"), F.explode("centres").alias("c"))
+    pairs = pairs.select("node", "na", F.col("c.node").alias("b"), F.col("c.n").alias("nb")).where((F.col("node") != F.col("b")) & _fits(share))
+    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    edges = _verified(pairs, docs, nodes, share)
+    classes = connected_components(edges)
     # Lists that still hold several classes: all pairs across classes with enough matches.
-    seen = open_lists.join(nodes, "node")
+    seen = lists.join(classes, "node", "left").select("token", "node", "n", "matches", F.coalesce("component", "node").alias("class"))
+    seen = cut(seen)
     mixed = seen.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
-    seen = cut(seen.join(mixed, "token").select("token", "node", "class", "n", "matches"))
-    left = seen.select("token", F.col("node").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("matches").alias("ma"))
-    right = seen.select("token", F.col("node").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("matches").alias("mb"))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(share))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.least("ma", "mb")).alias("need")).where("met >= need").select("a", "b")
-    found = cut(_verified(cut(pairs), sets, share))
-    return connected_components(edges.unionByName(found))
+    seen = cut(seen.join(mixed, "token"))
+    # Members travel in blocks with their bitmaps, and a task compares block with block: what leaves it
+    # are the pairs near enough, not all pairs of a list.
+    count = seen.groupBy("token").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
+    seen = seen.join(count, "token").join(nodes.select("node", "bits"), "node")
+    member = F.struct("node", "class", "n", "matches", "bits")
+    blocks = seen.groupBy("token", F.pmod(F.xxhash64("node", F.lit(9)), "blocks").alias("block")).agg(F.collect_list(member).alias("members"))
+    blocks = table(blocks)
+    other = blocks.select("token", F.col("block").alias("block2"), F.col("members").alias("members2"))
+    pairs = blocks.join(other, "token").where("block <= block2").select("members", "members2", (F.col("block") == F.col("block2")).alias("same")).mapInArrow(_across(share), "a long, b long, need int")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("need").alias("need")).where("met >= need").select("a", "b")
+    found = _verified(pairs, docs, nodes, share)
+    return classes if found.isEmpty() else connected_components(edges.unionByName(found))
 
 
 def ngram_join(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its class) and its node."""
     own, counts = signatures(docs)
-    classes = node_classes(docs, counts, share)
+    classes = node_classes(docs, own, counts, share)
     heads = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     heads = heads.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "doc_id")
     smallest = heads.groupBy("class").agg(F.min("doc_id").alias("least_id"))
@@ -251,7 +333,7 @@ def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     word = r"[^\x20\x09-\x0D]"
     worded = F.coalesce(F.col("text").rlike(word), F.lit(False))
     own, counts = signatures(docs.where(worded))
-    classes = node_classes(docs.where(worded), counts, share)
+    classes = node_classes(docs.where(worded), own, counts, share)
     heads = own.groupBy("node").agg(F.min("doc_id").alias("id")).join(classes, "node", "left")
     best = F.min_by(F.struct("node", "id"), F.struct(F.col("id").isNull(), "id", "node")).alias("best")
     chosen = heads.groupBy(F.coalesce("component", "node")).agg(best).select(F.col("best.node").alias("_of"), F.col("best.id").alias("_id"))

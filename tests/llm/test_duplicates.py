@@ -1,0 +1,134 @@
+"""The n-gram join and the suffix dedup against brute force."""
+
+import random
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from denspark.llm import ngram_join, suffix_dedup
+
+
+def multiset(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_components(docs, rows):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs).where("doc_id is not null").collect()}
+    want = brute.components([(d, t) for d, t in rows if d is not None])
+    assert got == want
+
+
+def family(seed, n=260, size=90):
+    """Chains of near copies, with pairs just at and below the limit."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(size)) for _ in range(12)]
+    while len(texts) < n:
+        own = rng.choice(texts).split()
+        for _ in range(rng.choice([1, 1, 2, 3, 4])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        if rng.random() < 0.3:
+            own = own[: rng.randint(60, size)]
+        texts.append(" ".join(own))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("members", [16, 2048])
+def test_chains_and_crowded_lists(spark, monkeypatch, members):
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "CENTRES", 1)
+    rows = family(members)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.components(rows)
+
+
+def test_prefixes_share_enough():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 9, ngram_join.CELLS).astype(np.int32)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        both = rng.integers(0, 1 << 63, 2 * n + 4).astype(np.uint64)
+        a, b = np.unique(both[:n]), np.unique(np.concatenate([both[rng.integers(0, max(1, n // 8)) : n], both[n : n + int(rng.integers(0, max(1, n // 8 + 1)))]]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            (pa, ma), (pb, mb) = (ngram_join.prefix(x, counts, 2.0) for x in (a, b))
+            assert len(np.intersect1d(pa, pb)) >= min(ma, mb)
+            apart = int(np.bitwise_count(ngram_join.bitmap(a).view(np.uint64) ^ ngram_join.bitmap(b).view(np.uint64)).sum())
+            assert apart <= len(a) + len(b) - 2 * common
+
+
+def test_shared_only_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        rows = sorted((int(t), int(n) * 8 + 1, int(v)) for t, n, v in zip(rng.integers(0, 6, 30), rng.choice([10, 11, 20], 30), rng.integers(0, 9, 30), strict=True))
+        rows = [(t, s, v * 100 + s) for t, s, v in rows]
+        rows.sort()
+        cuts = sorted(rng.integers(0, 31, 3).tolist())
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, 30], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in p], pa.int64()) for i in range(3)], names=["token", "size", "node"]) for p in parts]
+        got = [tuple(r.values()) for b in ngram_join._shared_only(80)(iter(batches)) for r in b.to_pylist()]
+        distinct = sorted(set(rows))
+        want = [r for r in distinct if any(o[0] == r[0] and o[2] != r[2] and 100 * min(o[1] >> 3, r[1] >> 3) >= 80 * max(o[1] >> 3, r[1] >> 3) for o in distinct)]
+        assert got == want
+
+
+def test_one_of_each_class_stays(docs, rows, empty):
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    classes = brute.components([(d, t) for d, t in rows if d is not None])
+    want = {d for d, (n, c) in classes.items() if d == c}
+    assert {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == want
+    assert kept.where("doc_id = 3").count() == 1
+    assert kept.where("doc_id is null").count() == 2
+    assert ngram_join.keep_one(empty).count() == 0
+    assert ngram_join.ngram_join(empty).count() == 0
+
+
+def test_repeats(docs, rows, empty):
+    known = [(d, t) for d, t in rows if d is not None]
+    got = Counter(tuple(r) for r in suffix_dedup.dedup_report(docs).collect() if r["doc_id"] is not None)
+    # Rows are told apart by number, as one id stands twice.
+    by_row = brute.repeats(list(enumerate(t for _, t in rows)))
+    assert got == Counter((d, *by_row[i]) for i, (d, _) in enumerate(rows) if d is not None)
+    assert len(known) == sum(got.values())
+    assert suffix_dedup.dedup_report(empty).count() == 0
+
+
+def test_repeats_at_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ROWS", 8)
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz é"
+    body = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    pieces = [body(n) for n in (190, 195, 198, 199, 200, 201, 260, 400)]
+    texts = [body(rng.randint(0, 90)) + rng.choice(pieces) + body(rng.randint(0, 90)) + rng.choice(["", rng.choice(pieces)]) for _ in range(60)]
+    texts += ["ab" * 400, body(150) + "z" * 450, body(40)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.repeats(rows)
+
+
+def test_remove_repeats_keeps_columns(docs):
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.schema == docs.schema
+    assert out.where(F.col("text").isNull()).count() == docs.where(F.col("text").isNull()).count()
+
+
+def test_interleave_finds_common_prefixes():
+    rng = np.random.default_rng(5)
+    width, size = suffix_dedup.WIDTH, suffix_dedup.SIZE
+    for _ in range(4):
+        base = rng.integers(1, 4, width).astype(np.uint8)
+        rows = np.tile(base, (9, 1))
+        for r in range(9):
+            rows[r, rng.integers(0, width, 2)] = rng.integers(1, 4)
+            rows[r, : rng.integers(0, 30)] = 0
+        block = np.array([0] * 5 + [1] * 4)
+        first, last = suffix_dedup.interleave(rows, block)
+        for r in range(9):
+            hits = [c for c in range(suffix_dedup.BEFORE + 1) if any(o != r and block[o] == block[r] and (rows[r, c : c + size] > 0).all() and (rows[o, c : c + size] == rows[r, c : c + size]).all() for o in range(9))]
+            assert (first[r], last[r]) == ((hits[0], hits[-1]) if hits else (-1, -1))
