@@ -11,10 +11,11 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
    scanning its lists and verifying the candidates left is least: sets made of common tokens
    ask for more matches before a candidate counts.
 3. Lists of one set are dropped as they stream out of the shuffle. Every list first pairs its
-   sets with ``CENTRES`` centres only, so a large group of near copies costs its size and not
-   its square; verified pairs are contracted to classes.
-4. Lists that still hold several classes are compared across classes, block against block;
-   pairs with enough matches are verified. No link between different classes can be missed,
+   sets with ``CENTRES`` centres only, and every set tries the ``CENTRES`` it meets most often,
+   so a large group of near copies costs its size and not its square; verified pairs are
+   contracted to classes.
+4. Lists that still hold several classes are compared across classes (long ones block
+   against block); pairs with enough matches are verified. No link between different classes can be missed,
    so the classes are exact.
 
 Verification looks at sizes, then at parity bitmaps of ``BITMAP`` bits (sets that differ in d
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +54,8 @@ CELLS, BLOCK, MOST_MATCHES, CENTRES = 1 << 20, 1 << 16, 4, 3
 VERIFY = 0.05
 #: Bits of a set's parity bitmap, and of the table that tells which sets are asked for.
 BITMAP, FILTER_BITS = 1024, 1 << 22
-#: Members of a list that travel in one block.
-MEMBERS = 2048
+#: Members of a list that travel in one block, and of a list that gives its pairs at once.
+MEMBERS, SHORT = 2048, 16
 _U = np.uint64
 
 
@@ -243,7 +244,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: int) -
     wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"))
     bits = np.unpackbits(bit_table(wanted.mapInArrow(_cells, "cell long"), FILTER_BITS)).astype(bool)
     sets = docs.select("doc_id", "text").mapInArrow(_asked_sets(bits), "node long, tokens array<long>")
-    sets = table(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    # Both joins read the one shuffle that drops repeated rows.
+    sets = sets.dropDuplicates(["node"])
     near = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     near = near.withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return cut(near.where(100 * F.col("common") >= share * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("source"), F.col("b").alias("target")))
@@ -273,8 +275,8 @@ def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int
     tokens = docs.select("doc_id", "text").mapInArrow(_prefixes(counts, float(np.median(counts)), share), "token long, node long, size long")
     lists = tokens.select("token", "size", "node").repartition(int(parts), "token").sortWithinPartitions("token", "size", "node").mapInArrow(_shared_only(share), "token long, size long, node long")
     lists = table(lists.select("token", "node", F.shiftright("size", 3).alias("n"), F.col("size").bitwiseAND(7).cast("int").alias("matches")))
-    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    nodes = cut(nodes.join(lists.select("node").distinct(), "node", "left_semi"))
+    nodes = own.where("n > 0").join(lists.select("node").distinct(), "node", "left_semi")
+    nodes = cut(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     # Base texts of copies have all of their prefix in shared lists: they make the best centres.
     often = lists.groupBy("node").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("matches").alias("matches"))
     often = often.select("node", (F.col("lists") / (F.col("n") - F.ceil(F.col("n") * share / 100) + F.col("matches"))).alias("shared"))
@@ -283,6 +285,9 @@ def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int
     centre = centre.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"c{k}.node"), F.col(f"c{k}.n")) for k in range(CENTRES)])).alias("centres"))
     pairs = lists.join(centre, "token").select("node", F.col("n").alias("na"), F.explode("centres").alias("c"))
     pairs = pairs.select("node", "na", F.col("c.node").alias("b"), F.col("c.n").alias("nb")).where((F.col("node") != F.col("b")) & _fits(share))
+    # The centres that a set meets most often are its likeliest partners; step 4 finds what others would have added.
+    met = Window.partitionBy("node").orderBy(F.desc("met"), "b")
+    pairs = pairs.groupBy("node", "b").agg(F.count("*").alias("met")).withColumn("place", F.row_number().over(met)).where(F.col("place") <= CENTRES)
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     edges = _verified(pairs, docs, nodes, share)
     classes = connected_components(edges)
@@ -291,16 +296,21 @@ def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int
     seen = cut(seen)
     mixed = seen.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
     seen = cut(seen.join(mixed, "token"))
-    # Members travel in blocks with their bitmaps, and a task compares block with block: what leaves it
-    # are the pairs near enough, not all pairs of a list.
-    count = seen.groupBy("token").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
-    seen = seen.join(count, "token").join(nodes.select("node", "bits"), "node")
+    held = seen.groupBy("token").agg(F.count("*").alias("members"))
+    seen = cut(seen.join(held, "token"))
+    # Short lists give their pairs at once, less than SHORT for each member. In others members travel in
+    # blocks with their bitmaps, and a task compares block with block: what leaves it are the pairs near
+    # enough, not all pairs of a list.
+    short = seen.where(F.col("members") <= SHORT)
+    other = short.select("token", F.col("node").alias("b"), F.col("class").alias("class2"), F.col("n").alias("nb"), F.col("matches").alias("matches2"))
+    pairs = short.select("token", F.col("node").alias("a"), "class", F.col("n").alias("na"), "matches").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("class") != F.col("class2")) & _fits(share))
+    pairs = pairs.select("a", "b", F.least("matches", "matches2").alias("need"))
+    long = seen.where(F.col("members") > SHORT).join(nodes.select("node", "bits"), "node")
     member = F.struct("node", "class", "n", "matches", "bits")
-    blocks = seen.groupBy("token", F.pmod(F.xxhash64("node", F.lit(9)), "blocks").alias("block")).agg(F.collect_list(member).alias("members"))
-    blocks = table(blocks)
+    blocks = table(long.groupBy("token", F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("members") / MEMBERS)).alias("block")).agg(F.collect_list(member).alias("members")))
     other = blocks.select("token", F.col("block").alias("block2"), F.col("members").alias("members2"))
-    pairs = blocks.join(other, "token").where("block <= block2").select("members", "members2", (F.col("block") == F.col("block2")).alias("same")).mapInArrow(_across(share), "a long, b long, need int")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("need").alias("need")).where("met >= need").select("a", "b")
+    across = blocks.join(other, "token").where("block <= block2").select("members", "members2", (F.col("block") == F.col("block2")).alias("same")).mapInArrow(_across(share), "a long, b long, need int")
+    pairs = pairs.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("need").alias("need")).where("met >= need").select("a", "b")
     found = _verified(pairs, docs, nodes, share)
     return classes if found.isEmpty() else connected_components(edges.unionByName(found))
 

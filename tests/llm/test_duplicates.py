@@ -36,9 +36,10 @@ def family(seed, n=260, size=90):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("members", [16, 2048])
-def test_chains_and_crowded_lists(spark, monkeypatch, members):
+@pytest.mark.parametrize(("members", "short"), [(16, 1), (2048, 1), (2048, 16)])
+def test_chains_and_crowded_lists(spark, monkeypatch, members, short):
     monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "SHORT", short)
     monkeypatch.setattr(ngram_join, "CENTRES", 1)
     rows = family(members)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
