@@ -350,5 +350,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    at = docs.columns.index("text")
-    return _with_spans(docs).select("row.*", "spans").mapInArrow(clean, docs.schema)
+    at, name = docs.columns.index("text"), "spans"
+    while name in docs.columns:
+        name += "_"
+    return _with_spans(docs).select("row.*", F.col("spans").alias(name)).mapInArrow(clean, docs.schema)
