@@ -19,7 +19,8 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
    so the classes are exact.
 
 Verification looks at sizes, then at parity bitmaps of ``BITMAP`` bits (sets that differ in d
-tokens differ in at most d bits, so the test loses nothing), and at last intersects the sets
+tokens differ in at most d bits, so the test loses nothing; sets of over ``LONG`` tokens have a
+larger one besides), and at last intersects the sets
 themselves, which are made and shuffled only for pairs that got that far.
 
 Words, sets and prefixes come from one Arrow pass each.
@@ -53,7 +54,7 @@ CELLS, BLOCK, MOST_MATCHES, CENTRES = 1 << 20, 1 << 16, 4, 3
 #: Cost of verifying one candidate, per token of the set, in scanned list entries.
 VERIFY = 0.05
 #: Bits of a set's parity bitmap, and of the table that tells which sets are asked for.
-BITMAP, FILTER_BITS = 1024, 1 << 22
+BITMAP, LONG, FILTER_BITS = 1024, 1500, 1 << 22
 #: Members of a list that travel in one block, and of a list that gives its pairs at once.
 MEMBERS, SHORT = 2048, 16
 _U = np.uint64
@@ -76,13 +77,23 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, _U).view(np.int64))
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens that fall on each of BITMAP bits."""
-    odd = np.bincount((tokens >> _U(40)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1
+def bitmap(tokens: np.ndarray, bits: int = BITMAP) -> np.ndarray:
+    """Parity of the tokens that fall on each of ``bits`` bits."""
+    odd = np.bincount((tokens >> _U(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_SIGNED = "block int, doc_id long, n long, node long, bits array<long>, counts binary"
+def long_bitmap(tokens: np.ndarray) -> np.ndarray | None:
+    """A bitmap for sets of over LONG tokens, where BITMAP bits are too few: 8 times the bits for 8 times the tokens."""
+    if len(tokens) <= LONG:
+        return None
+    bits = 8 * BITMAP
+    while len(tokens) > 8 * LONG * bits // (8 * BITMAP):
+        bits *= 8
+    return bitmap(tokens, min(bits, 1 << 24))
+
+
+_SIGNED = "block int, doc_id long, n long, node long, bits array<long>, more array<long>, counts binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +106,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate(sets) if sets else np.zeros(0, _U)
         np.add.at(total, (tokens & _U(CELLS - 1)).astype(np.int64), 1)
         bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * words, pa.int32()), pa.array(np.concatenate([bitmap(s) for s in sets])))
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _signed([node_of(s) for s in sets]), bits, pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _signed([node_of(s) for s in sets]), bits, pa.array([long_bitmap(s) for s in sets], pa.list_(pa.int64())), pa.nulls(n, pa.binary())], names=names)
     if total.any():
         n = CELLS // BLOCK
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([x.tobytes() for x in total.reshape(n, BLOCK)], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2, pa.array([x.tobytes() for x in total.reshape(n, BLOCK)], pa.binary())], names=names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +246,20 @@ def _across(share: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     """(source, target) of the pairs (a, b) that link: bitmaps first, then the sets themselves."""
-    left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("xa"), F.col("n").alias("na"))
-    right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("xb"), F.col("n").alias("nb"))
-    apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
     # common >= share / (100 + share) of the sizes' sum, so at most the rest of it differs.
-    near = pairs.join(left, "a").join(right, "b").where((100 + share) * apart <= (100 - share) * (F.col("na") + F.col("nb")))
-    near = cut(near.select("a", "b", "na", "nb"))
+    most = F.lit(100 - share) * (F.col("na") + F.col("nb"))
+
+    def alike(pairs: DataFrame, bits: str, rows: DataFrame) -> DataFrame:
+        left = rows.select(F.col("node").alias("a"), F.col(bits).alias("xa"), F.col("n").alias("na"))
+        right = rows.select(F.col("node").alias("b"), F.col(bits).alias("xb"), F.col("n").alias("nb"))
+        apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+        found = pairs.join(left, "a").join(right, "b").where(F.coalesce(F.size("xa") != F.size("xb"), F.lit(True)) | ((100 + share) * apart <= most))
+        return found.select("a", "b", "na", "nb")
+
+    near_pairs = cut(alike(pairs, "bits", nodes))
+    big = (F.col("na") > LONG) & (F.col("nb") > LONG)
+    big_pairs = alike(near_pairs.where(big).select("a", "b"), "more", nodes.where(F.col("n") > LONG))
+    near = cut(near_pairs.where(~big).unionByName(big_pairs))
     wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"))
     bits = np.unpackbits(bit_table(wanted.mapInArrow(_cells, "cell long"), FILTER_BITS)).astype(bool)
     sets = docs.select("doc_id", "text").mapInArrow(_asked_sets(bits), "node long, tokens array<long>")
@@ -257,13 +276,13 @@ def _fits(share: int):
 
 
 def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node, bits) of every row, and the table of token counts (CELLS numbers)."""
+    """(doc_id, n, node, bits, more) of every row, and the table of token counts (CELLS numbers)."""
     both = table(docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNED))
     blocks = both.where("block is not null").select("block", "counts").repartition(CELLS // BLOCK, "block").mapInArrow(_add_up, "block int, counts binary").toArrow().to_pylist()
     counts = np.zeros(CELLS, np.int64)
     for x in blocks:
         counts[x["block"] * BLOCK : (x["block"] + 1) * BLOCK] = np.frombuffer(x["counts"], np.int64)
-    return both.where("block is null").select("doc_id", "n", "node", "bits"), np.minimum(counts, (1 << 31) - 1).astype(np.int32)
+    return both.where("block is null").select("doc_id", "n", "node", "bits", "more"), np.minimum(counts, (1 << 31) - 1).astype(np.int32)
 
 
 def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int = SHARE) -> DataFrame:
@@ -276,7 +295,7 @@ def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int
     lists = tokens.select("token", "size", "node").repartition(int(parts), "token").sortWithinPartitions("token", "size", "node").mapInArrow(_shared_only(share), "token long, size long, node long")
     lists = table(lists.select("token", "node", F.shiftright("size", 3).alias("n"), F.col("size").bitwiseAND(7).cast("int").alias("matches")))
     nodes = own.where("n > 0").join(lists.select("node").distinct(), "node", "left_semi")
-    nodes = cut(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    nodes = cut(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more")))
     # Base texts of copies have all of their prefix in shared lists: they make the best centres.
     often = lists.groupBy("node").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("matches").alias("matches"))
     often = often.select("node", (F.col("lists") / (F.col("n") - F.ceil(F.col("n") * share / 100) + F.col("matches"))).alias("shared"))
