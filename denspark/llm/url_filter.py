@@ -92,7 +92,7 @@ def url_filter(pages: DataFrame, rules: DataFrame | None = None, default: str =
     # One row per partition, then its active rules: as many as rules nest.
     first = events.groupBy("pid").agg(F.min("key").alias("first"))
     begins = first.select("pid", F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda n: F.left("first", n))).alias("key"))
-    carried = begins.join(starts.select("key", "rule"), "key").join(first, "pid").where("key < first").orderBy("pid", "key").collect()
+    carried = begins.join(starts.select("key", "rule"), "key").join(first, "pid").where("key <= first").orderBy("pid", "key").collect()
     active: dict[int, list[tuple]] = {}
     for x in carried:
         active.setdefault(x["pid"], []).append((x["key"], x["rule"]["size"], x["rule"]["host_size"], x["rule"]["rule"], x["rule"]["verdict"]))
