@@ -10,6 +10,14 @@ themselves: the longest common subsequence with the item, and with its answer (i
 sentence or last quarter). A paraphrase that keeps most of the words in order is found; shared
 common words alone are not enough.
 
+A short item fills too little of a passage for the cosine to show it, so items are also looked up
+by their words. A stretch that holds o of an item's n words in order holds at least ``MET`` of the
+item's n - o + ``MET`` rarest words, whichever they are: places where that many lie within
+``STRETCH`` times the item's length are the only ones where such a stretch can be, and each is
+compared in full. No stretch of that length with the shares below is missed, whatever its cosine.
+Items of over ``PASSAGE`` words are looked up by their passages too: one that is there nearly
+whole (``SURE``) is a leak, however long the item.
+
 The benchmark is handled in blocks of ``ITEMS`` rows, so what tasks receive is bounded.
 
 Defined cases: null or empty text is never contaminated, null or empty items match nothing;
@@ -20,6 +28,7 @@ no part; long texts are searched whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,6 +44,8 @@ PASSAGE, TERMS, RANK, EXTRA = 32, 8192, 48, 8
 ITEMS, LEAST = 2000, 8
 #: Least cosine of a candidate, least share of its distinct terms in the passage (by bitmaps of BITS), and least shares of the item's and the answer's words in common order.
 COSINE, TERMS_SHARED, BITS, SHARED, ANSWER, SURE = 0.5, 0.5, 1024, 0.6, 0.5, 0.8
+#: Rarest words of an item that a place must hold, and the length of a stretch in item lengths.
+MET, STRETCH = 3, 1.5
 _BLOCK = 512
 _WIDTH = RANK + EXTRA
 _MATCH = "doc_id long, item_id long, cosine double, lcs double, answer double"
@@ -148,11 +159,17 @@ def answer_of(text: str) -> int:
     return len(words) - inner[-1] - 1 if inner else -(-len(words) // 4)
 
 
+def least(share: float, n: int) -> int:
+    """Least whole number of n words that is at least ``share`` of them."""
+    return -int(-(share * n - 1e-9) // 1)
+
+
 class Items:
-    """Benchmark items of one block: their word hashes, answers and latent pieces."""
+    """Benchmark items of one block: their word hashes, answers, latent pieces and index of rarest words."""
 
     def __init__(self, rows: list, space: np.ndarray):
         self.ids, self.words, self.answers, vectors, self.owner, terms = [], [], [], [], [], []
+        self.pieces, self.whole = [], []
         for item_id, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             words = textops.Words(raw, np.array([0, len(raw)]))
@@ -169,6 +186,8 @@ class Items:
                 held[own_terms[a:b] % BITS] = True
                 terms.append(np.packbits(held))
                 self.owner.append(len(self.ids))
+                self.pieces.append(words.hashes[a:b].tolist())
+                self.whole.append(b - a == len(own))
             self.ids.append(item_id)
             self.words.append(words.hashes.tolist())
             self.answers.append(min(len(own), answer_of(text)))
@@ -176,6 +195,62 @@ class Items:
         self.terms = np.array(terms, np.uint8).reshape(len(terms), BITS // 8).view(np.uint64)
         self.distinct = np.bitwise_count(self.terms).sum(1)
         self.latent = _unit(np.array(vectors, np.float32).reshape(len(vectors), RANK)).T.copy()
+        self._index()
+
+    def _index(self) -> None:
+        """Postings (word, piece) of the rarest words of each piece; the order of words only decides the cost."""
+        counts = Counter(x for words in self.words for x in set(words))
+        rows = set()
+        for p, piece in enumerate(self.pieces):
+            o = least(SHARED if self.whole[p] else SURE, len(piece))
+            rows.update((x, p) for x in sorted(piece, key=lambda x: (counts[x], x))[: len(piece) - o + min(MET, o)])
+        rows = sorted(rows)
+        self.spans = np.array([least(STRETCH, len(piece)) for piece in self.pieces], np.int64)
+        self.posted = np.array([p for _, p in rows], np.int64)
+        self.keys, first = np.unique(np.array([x for x, _ in rows], np.uint64), return_index=True)
+        self.posts = np.append(first, len(rows)).astype(np.int64)
+        self.cells = np.zeros(1 << 16, bool)
+        self.cells[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+
+    def places(self, words: textops.Words, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(piece, low, high): the parts of a document where a piece's stretch can be; ``doc``: document of each word."""
+        at = np.flatnonzero(self.cells[(words.hashes >> np.uint64(48)).astype(np.int64)])
+        key = np.minimum(np.searchsorted(self.keys, words.hashes[at]), len(self.keys) - 1)
+        known = self.keys[key] == words.hashes[at]
+        at, key = at[known], key[known]
+        many = self.posts[key + 1] - self.posts[key]
+        ends = np.cumsum(many)
+        piece = self.posted[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.posts[key] - (ends - many), many)]
+        hit = np.sort(piece << 40 | np.repeat(at, many))
+        a, b = hit[: 1 - MET], hit[MET - 1 :]
+        near = a >> 40 == b >> 40
+        a, b = a[near], b[near]
+        piece, a, b = a >> 40, a & ((1 << 40) - 1), b & ((1 << 40) - 1)
+        near = (b - a < self.spans[piece]) & (doc[a] == doc[b])
+        piece, a, b = piece[near], a[near], b[near]
+        low = np.maximum(words.bounds[doc[a]], b - self.spans[piece] + 1)
+        high = np.minimum(words.bounds[doc[a] + 1], a + self.spans[piece])
+        return zip(piece.tolist(), low.tolist(), high.tolist(), strict=True)
+
+
+def stretch(piece: list, answer: int, near: list, span: int) -> tuple[int, float, float] | None:
+    """(begin, share, answer share) of the best stretch of ``span`` words in ``near`` that confirms a piece.
+
+    ``answer``: words of the item's answer at the piece's end, 0 for a part of an item.
+    """
+    n, own = len(piece), set(piece)
+    held = set(near)
+    few = least(SHARED if answer else SURE, n)
+    if sum(x in held for x in piece) < few or lcs(piece, near) < few:
+        return None
+    best = None
+    for begin in (k for k, x in enumerate(near) if x in own):
+        part = near[begin : begin + span]
+        share = lcs(piece, part) / n
+        told = lcs(piece[n - answer :], part) / answer if answer else 0.0
+        if (share >= SURE or answer and share >= SHARED and told >= ANSWER) and (best is None or share > best[1]):
+            best = begin, share, told
+    return best
 
 
 def matches(raw: np.ndarray, offs: np.ndarray, items: Items, space: np.ndarray) -> list[tuple]:
@@ -218,6 +293,16 @@ def matches(raw: np.ndarray, offs: np.ndarray, items: Items, space: np.ndarray)
         told = lcs(answer, near) / len(answer)
         if share >= SURE or share >= SHARED and told >= ANSWER:
             found[d, i] = (d, items.ids[i], round(float(cosine[w, p]), 3), share, told)
+    word_doc = np.repeat(np.arange(len(offs) - 1), np.diff(words.bounds))
+    for p, low, high in items.places(words, word_doc):
+        d, i = int(word_doc[low]), int(items.owner[p])
+        if (d, i) in found:
+            continue
+        hit = stretch(items.pieces[p], items.answers[i] if items.whole[p] else 0, words.hashes[low:high].tolist(), int(items.spans[p]))
+        if hit:
+            begin, share, told = hit
+            own = space[terms[low + begin : min(high, low + begin + int(items.spans[p]))]].sum(0, keepdims=True)
+            found[d, i] = (d, items.ids[i], round(float((_unit(own) @ items.latent[:, p])[0]), 3), share, told)
     return [found[k] for k in sorted(found)]
 
 

@@ -1,6 +1,11 @@
 """Inputs on which an operator once did less than the whole job."""
 
-from denspark.llm import url_filter
+import random
+
+import numpy as np
+import pytest
+
+from denspark.llm import decontaminate, url_filter
 
 
 def test_hot_key_equal_to_a_rule(spark):
@@ -18,3 +23,43 @@ def test_hot_key_equal_to_a_rule(spark):
     want = {0: ("net/", "block"), 1: ("example.net/en/", "allow"), 2: (None, "allow")}
     assert len(got) == n
     assert [r for r in got if (r["rule"], r["verdict"]) != want[r["page_id"] % 3]] == []
+
+
+def holds(item, words):
+    """Whether a stretch of the words has enough of the item in order, by brute force."""
+    n, answer = len(item), decontaminate.answer_of(" ".join(item))
+    for k in range(len(words)):
+        part = words[k : k + -(-3 * n // 2)]
+        share = decontaminate.lcs(item, part) / n
+        if share >= 0.8 or share >= 0.6 and decontaminate.lcs(item[n - answer :], part) / answer >= 0.5:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("size", [8, 10, 15, 20])
+def test_short_items_against_brute_force(size):
+    rng = random.Random(size)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(1500)]
+    text = lambda n: [rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else rng.choice(words) for _ in range(n)]
+    items, docs = [text(size) for _ in range(60)], []
+    for k, item in enumerate(items):
+        kept = (1.0, 0.75, 0.6)[k % 3]
+        docs.append(text(rng.randint(20, 90)) + [w if rng.random() < kept else rng.choice(words) for w in item] + text(rng.randint(20, 90)))
+    # A space without any cosine: what the words alone find.
+    space = np.zeros((decontaminate.TERMS, decontaminate.RANK), np.float32)
+    raw = [" ".join(d).encode() for d in docs]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    block = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)], space)
+    got = {(d, i) for d, i, *_ in decontaminate.matches(np.frombuffer(b"".join(raw), np.uint8), offs, block, space)}
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if holds(item, doc)}
+    assert len({(d, i) for d, i in want if d == i}) >= 20
+    assert got == want
+
+
+def test_part_of_a_long_item():
+    words = [f"w{i}" for i in range(400)]
+    space = np.zeros((decontaminate.TERMS, decontaminate.RANK), np.float32)
+    block = decontaminate.Items([(1, " ".join(words[:200]))], space)
+    raw = " ".join(words[300:340] + words[50:110] + words[340:380]).encode()
+    got = decontaminate.matches(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), block, space)
+    assert [x[1] for x in got] == [1]
