@@ -17,8 +17,12 @@ of suffixes are refined in three steps, and only what a step leaves open goes on
    Suffixes whose common prefix with a neighbour reaches SIZE start a repeated string.
 
 Steps 1 and 2 are one shuffle of 32 bytes for each anchor, read as a sorted stream; step 3 reads
-the open stretches again from the texts and shuffles only those. A task holds one block's
-different open stretches (337 bytes each) at a time, and otherwise a row.
+the open stretches again from the texts and shuffles only those. A task holds at most ``ROWS`` and
+one block's different open stretches at a time, and otherwise a row. A block of over ``HOT``
+stretches is split first: a shared window has half of what it holds beyond the block's common
+bytes on one side of them at least, so the block's stretches are dealt once by that many more
+bytes on the left and once on the right. What is still too large is split again, until the common
+bytes are a window themselves, which then needs no comparison.
 
 Defined cases: null text is empty; texts shorter than SIZE keep everything; equal rows are
 repeats of each other, so nothing of at least SIZE bytes is left of them; rows are told apart by
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,8 @@ BEFORE = SIZE - GRAM
 WIDTH = BEFORE + SIZE
 #: Bits of the table that tells which stretches are asked for; rows that step 3 refines at once.
 FILTER_BITS, ROWS = 1 << 27, 1 << 15
+#: Different open stretches that a block may have before it is split.
+HOT = 1 << 15
 _U = np.uint64
 _PLACE = 22
 _BYTES = textops.mix(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D))
@@ -274,6 +281,33 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(kept)
 
 
+def split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks of at most HOT rows for :func:`_refine`, and (stretch, low, high) of those that all share a window.
+
+    ``rows``: (stretch, gram, back, body), distinct. A block of the result shares ``left`` bytes before and
+    ``right`` bytes after its anchor; ``gram`` becomes the hash of all that it shares.
+    """
+    names = ["stretch", "gram", "back", "body"]
+    rows = table(rows.select(*names, F.lit(0).alias("left"), F.lit(0).alias("right")))
+    cold, known = [], 0
+    while True:
+        sizes = cut(rows.groupBy("gram", "left", "right").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram", "left", "right"))
+        if sizes.isEmpty():
+            return reduce(DataFrame.unionByName, [*cold, rows.select(*names)]), None
+        cold.append(rows.join(sizes, ["gram", "left", "right"], "left_anti").select(*names))
+        hot = rows.join(sizes, ["gram", "left", "right"])
+        if known == BEFORE:
+            same = hot.select("stretch", (-F.col("left")).alias("low"), (F.col("right") + GRAM).alias("high"))
+            return reduce(DataFrame.unionByName, cold), same
+        more = (BEFORE - known + 1) // 2
+        known += more
+        sides = F.explode(F.array(*[F.struct((F.col("left") + a).alias("left"), (F.col("right") + b).alias("right")) for a, b in ((more, 0), (0, more))]))
+        dealt = hot.select(*names, sides.alias("side")).select(*names, "side.*")
+        dealt = dealt.where((F.col("left") <= F.col("back")) & (F.col("back") + GRAM + F.col("right") <= F.length("body")))
+        shared = F.substring("body", F.col("back") - F.col("left") + 1, F.col("left") + GRAM + F.col("right"))
+        rows = table(dealt.withColumn("gram", F.xxhash64(shared, "left", "right")))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, start, end): the stretches of bytes to remove in texts with that xxhash64, possibly overlapping."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -288,7 +322,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     bits = bit_table(open_.select(F.col("stretch").bitwiseAND(FILTER_BITS - 1).alias("cell")), FILTER_BITS)
     bodies = texts.select("text").mapInArrow(_asked(bits), "stretch long, gram long, back int, body binary")
     bodies = bodies.dropDuplicates(["stretch"]).join(open_, "stretch", "left_semi")
+    bodies, same = split_hot(bodies)
     found = bodies.repartition(parts, "gram").sortWithinPartitions("gram").select("stretch", "gram", "back", "body").mapInArrow(_refine, "stretch long, low int, high int")
+    found = found if same is None else found.unionByName(same)
     rest = blocks.where("kind = 1").join(cut(found), "stretch").select("key", (anchor + F.col("low")).alias("start"), (anchor + F.col("high")).alias("end"))
     return sure.unionByName(rest)
 

@@ -2,10 +2,11 @@
 
 import random
 
+import brute
 import numpy as np
 import pytest
 
-from denspark.llm import decontaminate, url_filter
+from denspark.llm import decontaminate, suffix_dedup, url_filter
 
 
 def test_hot_key_equal_to_a_rule(spark):
@@ -63,3 +64,28 @@ def test_part_of_a_long_item():
     raw = " ".join(words[300:340] + words[50:110] + words[340:380]).encode()
     got = decontaminate.matches(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), block, space)
     assert [x[1] for x in got] == [1]
+
+
+def test_blocks_with_a_common_anchor_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    sizes, split = [], suffix_dedup.split_hot
+
+    def seen(rows):
+        cold, same = split(rows)
+        sizes.append((rows.groupBy("gram").count().agg({"count": "max"}).first()[0], cold.groupBy("gram").count().agg({"count": "max"}).first()[0], same is not None))
+        return cold, same
+
+    monkeypatch.setattr(suffix_dedup, "split_hot", seen)
+    rng = random.Random(11)
+    body = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, left, right = body(100), body(150), body(150)
+    # Every context differs; some share 199, 200 or more bytes around the line, on either side.
+    texts = [body(150) + line + body(150) for _ in range(30)]
+    for k in (0, 1, 30, 49, 50, 51, 70, 99, 100, 101, 120):
+        texts += [body(150) + left[len(left) - k :] + line + right[: rng.choice([0, 99 - k, 100 - k, 101 - k]) if k < 99 else 0] + body(150) for _ in range(3)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.repeats(rows)
+    ((before, after, same),) = sizes
+    assert before > 5 >= after
+    assert same
