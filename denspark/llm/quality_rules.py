@@ -7,7 +7,8 @@ the documents, no shuffle: it scales with the number of input splits.
 Defined cases: null or empty text has no words, so ``base_failed`` is true and ``kept``
 false; other nulls (and any further columns, whatever their names) play no part; repeated
 rows are judged one by one and stay; an empty table gives an empty result; a long text is
-compressed in whole and in chunks, never cut.
+compressed in whole and, above one chunk, in chunks up to its last byte: where a part of a chunk is
+left over, the last ``CHUNK`` bytes are a chunk too.
 """
 
 from __future__ import annotations
@@ -68,14 +69,14 @@ def band(n_bytes: int, bands=BANDS) -> tuple[float, float]:
 
 
 def compression(text: bytes, packer: zstandard.ZstdCompressor, bands=BANDS, chunk: int = CHUNK) -> tuple[float, int, int, bool]:
-    """Ratio of the whole text, its full chunks, those outside the chunk band, and the verdict."""
+    """Ratio of the whole text, its chunks, those outside the chunk band, and the verdict."""
     if not text:
         return 0.0, 0, 0, False
     ratio = len(text) / len(packer.compress(text))
     low, high = band(len(text), bands)
     chunks = outside = 0
-    if len(text) >= 2 * chunk:
-        for i in range(0, len(text) - chunk + 1, chunk):
+    if len(text) > chunk:
+        for i in [*range(0, len(text) - chunk, chunk), len(text) - chunk]:
             chunks += 1
             part = chunk / len(packer.compress(text[i : i + chunk]))
             outside += not CHUNK_LOW <= part <= CHUNK_HIGH

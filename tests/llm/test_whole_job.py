@@ -5,8 +5,9 @@ import random
 import brute
 import numpy as np
 import pytest
+import zstandard
 
-from denspark.llm import decontaminate, suffix_dedup, url_filter
+from denspark.llm import decontaminate, quality_rules, suffix_dedup, url_filter
 
 
 def test_hot_key_equal_to_a_rule(spark):
@@ -89,3 +90,18 @@ def test_blocks_with_a_common_anchor_are_split(spark, monkeypatch):
     ((before, after, same),) = sizes
     assert before > 5 >= after
     assert same
+
+
+def test_the_last_chunk_is_judged():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    prose = " ".join(rng.choice(words) for _ in range(4000)).encode()
+    noise = bytes(rng.randrange(33, 127) for _ in range(4095))
+    packer = zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    chunks = lambda text: quality_rules.compression(text, packer)[1:]
+    assert chunks(prose[:8192] + noise) == (3, 1, False)
+    assert chunks(prose[:12288]) == (3, 0, True)
+    assert chunks(prose[:4097])[:2] == (2, 0)
+    assert chunks(prose[:2000] + noise)[:2] == (2, 1)
+    assert chunks(prose[:8192])[:2] == (2, 0)
+    assert chunks(prose[:4096])[:2] == (0, 0)
