@@ -234,23 +234,29 @@ class Items:
 
 
 def stretch(piece: list, answer: int, near: list, span: int) -> tuple[int, float, float] | None:
-    """(begin, share, answer share) of the best stretch of ``span`` words in ``near`` that confirms a piece.
+    """(begin, share, answer share) of a stretch of ``span`` words in ``near`` that confirms a piece.
 
-    ``answer``: words of the item's answer at the piece's end, 0 for a part of an item.
+    ``answer``: words of the item's answer at the piece's end, 0 for a part of an item. Stretches that
+    begin as the piece does are tried before others; the first that confirms is given.
     """
-    n, own = len(piece), set(piece)
-    held = set(near)
-    few = least(SHARED if answer else SURE, n)
-    if sum(x in held for x in piece) < few or lcs(piece, near) < few:
-        return None
-    best = None
-    for begin in (k for k, x in enumerate(near) if x in own):
-        part = near[begin : begin + span]
+    n, own, held = len(piece), set(piece), set(near)
+    tail = piece[n - answer :] if answer else []
+
+    def shares(part: list) -> tuple[float, float] | None:
         share = lcs(piece, part) / n
-        told = lcs(piece[n - answer :], part) / answer if answer else 0.0
-        if (share >= SURE or answer and share >= SHARED and told >= ANSWER) and (best is None or share > best[1]):
-            best = begin, share, told
-    return best
+        if share < (SHARED if answer else SURE):
+            return None
+        told = lcs(tail, part) / answer if answer else 0.0
+        return (share, told) if share >= SURE or told >= ANSWER else None
+
+    # No stretch can have more than all of them together.
+    if sum(x in held for x in piece) < least(SHARED if answer else SURE, n) or not shares(near):
+        return None
+    for begin in sorted((k for k, x in enumerate(near) if x in own), key=lambda k: near[k] != piece[0]):
+        found = shares(near[begin : begin + span])
+        if found:
+            return begin, *found
+    return None
 
 
 def matches(raw: np.ndarray, offs: np.ndarray, items: Items, space: np.ndarray) -> list[tuple]:
