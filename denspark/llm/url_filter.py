@@ -6,7 +6,8 @@ its host that has as many labels as some rule's host. Rules and keys are range-p
 sorted together (with a hash of the row, so a popular address is spread over tasks); each task
 sweeps its keys once with a stack of the rules that are still active, innermost on top. Rules
 that began in an earlier partition are exactly those that the partition's first key begins
-with; one short list per partition is looked up and handed to the sweep.
+with; it is looked up at the lengths that rules have, and one short list per partition is handed
+to the sweep. Keys are cut at the longest rule's length, so a very long address costs no more.
 
 Defined cases: a null address or one without ``://`` has an empty host and path and no rule;
 repeated rows each get their result; the longest fitting rule wins (then the longer host, then
@@ -78,12 +79,15 @@ def url_filter(pages: DataFrame, rules: DataFrame | None = None, default: str =
     rules = rule_table(spark) if rules is None else rules
     host, path = split_url(F.col(url))
     rows = cut(pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id()))
-    # As many numbers of labels as the rules' hosts have, at most that of a host name.
-    depths = [x["labels"] for x in rules.select("labels").distinct().orderBy("labels").limit(128).collect()]
+    # Different numbers of labels in the rules' hosts, and lengths of their keys: small numbers, never the rules themselves.
+    depths = [x["labels"] for x in rules.select("labels").distinct().orderBy("labels").collect()]
+    sizes = [x["n"] for x in rules.select(F.length("key").alias("n")).distinct().orderBy("n").collect()]
     labels = F.split("host", "[.]")
     ends = F.filter(F.lit(depths).cast("array<int>"), lambda n: n <= F.size(labels)) if depths else F.lit([]).cast("array<int>")
     keys = rows.select("row", "path", labels.alias("labels"), F.explode(ends).alias("n"))
-    keys = keys.select(_key(F.slice("labels", F.size("labels") - F.col("n") + 1, F.col("n")), F.col("path")).alias("key"), "row", F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>").alias("rule"))
+    # What follows the longest rule's length decides nothing, so keys end there, however long an address is.
+    key = F.left(_key(F.slice("labels", F.size("labels") - F.col("n") + 1, F.col("n")), F.col("path")), F.lit(sizes[-1] if sizes else 0))
+    keys = keys.select(key.alias("key"), "row", F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>").alias("rule"))
     starts = rules.select("key", F.lit(None).cast("long").alias("row"), F.struct("size", "host_size", "rule", "verdict").alias("rule"))
     # A rule stands before the addresses of its key: nulls come first.
     events = keys.unionByName(starts).withColumn("salt", F.when(F.col("row").isNotNull(), F.xxhash64("row")))
@@ -91,7 +95,8 @@ def url_filter(pages: DataFrame, rules: DataFrame | None = None, default: str =
     events = cut(events.select(F.spark_partition_id().alias("pid"), "key", "row", "rule"))
     # One row per partition, then its active rules: as many as rules nest.
     first = events.groupBy("pid").agg(F.min("key").alias("first"))
-    begins = first.select("pid", F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda n: F.left("first", n))).alias("key"))
+    fitting = F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("first")) if sizes else F.lit([]).cast("array<int>")
+    begins = first.select("pid", F.explode(F.transform(fitting, lambda n: F.left(F.col("first"), n))).alias("key"))
     carried = begins.join(starts.select("key", "rule"), "key").join(first, "pid").where("key <= first").orderBy("pid", "key").collect()
     active: dict[int, list[tuple]] = {}
     for x in carried:

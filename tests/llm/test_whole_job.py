@@ -105,3 +105,19 @@ def test_the_last_chunk_is_judged():
     assert chunks(prose[:2000] + noise)[:2] == (2, 1)
     assert chunks(prose[:8192])[:2] == (2, 0)
     assert chunks(prose[:4096])[:2] == (0, 0)
+
+
+def test_very_long_addresses_and_deep_rules(spark):
+    deep = ".".join(["a"] * 200)
+    many = [("block", ".".join(["b"] * k), "/") for k in range(1, 150)]
+    rules = url_filter.rule_table(spark, [("block", "net", "/"), ("allow", "net", "/x/"), ("block", deep, "/"), *many])
+    urls = [f"http://h.net/x/{'y' * 1_000_000}{i}" for i in range(60)] + [f"http://{'h' * 1_000_000}.net/", f"http://c.{deep}/p", f"http://{'.'.join('b' * 149)}/", f"http://{'b.' * 5_000}c/"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(8), rules)
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in got.select("page_id", "rule", "verdict").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {got[i] for i in range(60)} == {("net/x/", "allow")}
+    assert [got[i] for i in range(60, 64)] == [("net/", "block"), (f"{deep}/", "block"), (f"{'.'.join('b' * 149)}/", "block"), (None, "allow")]
