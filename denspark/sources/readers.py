@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from denspark.errors import INGEST
+from denspark.lineage import cut
 
 
 def number_rows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """``df`` with ids 0, 1, ... in row order (or sorted by ``order``).
+    """``df`` with ids 0, 1, ... in row order (or sorted by ``order``), in the JVM.
 
-    Counts by partition are summed on the driver (one number per partition), so no task sees all rows.
+    A row's number is its place in its partition plus the rows of the partitions before; one count for
+    each partition reaches the driver, and no task sees all rows.
     """
     df = df.orderBy(*order) if order else df
-    schema = T.StructType([T.StructField("id", T.LongType(), False), *df.schema.fields])
-    return df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
+    rows = cut(df.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")))
+    part = F.shiftright("id", 33)
+    counts = dict(rows.groupBy(part.alias("part")).count().toArrow().to_pandas().itertuples(index=False, name=None))
+    before, starts = 0, []
+    for k in range(max(counts, default=-1) + 1):
+        starts.append(before)
+        before += counts.get(k, 0)
+    start = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), part.cast("int") + 1)
+    return rows.select((start + F.col("id").bitwiseAND((1 << 33) - 1)).alias("id"), "row.*")
 
 
 def check_vectors(points: DataFrame, column: str = "item") -> int:
