@@ -155,3 +155,37 @@ def test_pipeline(spark, tmp_path, docs, rows):
             assert seen.where("copies < 1").count() == 0
     run = {r["doc_id"]: (hashlib.md5(r["text"].encode()).hexdigest(), r["copies"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert run == {r["doc_id"]: (hashlib.md5(r["text"].encode()).hexdigest(), r["copies"]) for r in seen.collect()}
+
+
+def test_long_documents_are_drawn_more_often(spark):
+    sizes = [10, 20, 40, 80]
+    rows = [(i, " ".join(["w"] * sizes[i % 4]), f"s{i % 3}") for i in range(9000)] + [(9000, "w " * 20_000, "s0"), (9001, "", "s1")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    groups = defaultdict(list)
+    for r in got:
+        whole = math.floor(r["target"] / r["source_size"])
+        groups[r["source"], r["size"], whole, r["chance"]].append(r["copies"] - whole)
+    partial = {k: v for k, v in groups.items() if 0 < k[3] < 1}
+    assert len(partial) >= 6
+    for (_, _, _, chance), extra in partial.items():
+        assert abs(sum(extra) / len(extra) - chance) < 4.5 * math.sqrt(chance * (1 - chance) / len(extra))
+    for source in {k[0] for k in partial}:
+        own = sorted((k[1], k[3]) for k in partial if k[0] == source)
+        assert all(math.isclose(a[1] / a[0], b[1] / b[0]) for a, b in zip(own, own[1:], strict=False))
+    # A document so long that its share would be over 1 is certain, and one without words never taken in.
+    (long,) = (r for r in got if r["doc_id"] == 9000)
+    assert long["chance"] == 1 or long["copies"] == 2
+    assert next(r for r in got if r["doc_id"] == 9001)["taken"] == 0
+
+
+def test_order_of_ranks_is_not_that_of_the_random_odds(spark):
+    rows = [(i, " ".join(["w"] * (5 if i % 2 else 100)), "a") for i in range(2000)] + [(5000 + i, "w " * 50, "b") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    odds = {r["doc_id"]: r["odds"] for r in df.select("doc_id", mixing._odds().alias("odds")).collect()}
+    part = [d for d in got if d < 5000 and 0 < got[d]["chance"] < 1]
+    taken = [d for d in part if got[d]["copies"] > min(got[x]["copies"] for x in part)]
+    rest = [d for d in part if d not in set(taken)]
+    assert taken
+    assert rest
+    assert max(odds[d] for d in taken) > min(odds[d] for d in rest)
