@@ -181,7 +181,7 @@ def test_long_documents_are_drawn_more_often(spark):
 def test_order_of_ranks_is_not_that_of_the_random_odds(spark):
     rows = [(i, " ".join(["w"] * (5 if i % 2 else 100)), "a") for i in range(2000)] + [(5000 + i, "w " * 50, "b") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(df, weights=(1, 1)).collect()}
     odds = {r["doc_id"]: r["odds"] for r in df.select("doc_id", mixing._odds().alias("odds")).collect()}
     part = [d for d in got if d < 5000 and 0 < got[d]["chance"] < 1]
     taken = [d for d in part if got[d]["copies"] > min(got[x]["copies"] for x in part)]
