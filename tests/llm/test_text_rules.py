@@ -65,6 +65,52 @@ def test_context_raises_scores(spark):
     assert score == ["0.7", "0.5"]
 
 
+def test_other_words_lower_scores(spark):
+    text = "firmware version 10.2.3.4 " + "x " * 60 + "server 10.2.3.4 " + "x " * 60 + "10.2.3.4"
+    score = pii.pii_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["scores"].split(",")
+    assert score == ["0.3", "0.7", "0.5"]
+
+
+def test_account_numbers(spark):
+    good = ["BE68 5390 0754 7034 NEXT", "BE68539007547034.", "GB82 WEST 1234 5698 7654 32 AND", "konto DE89370400440532013000 x", "NO93 8601 1117 947"]
+    bad = ["BE68 5390 0754 7035", "DE8937040044053201300", "ZZ68 5390 0754 7034", "xBE68539007547034", "BE685390075470341"]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")).collect()}
+    assert [x for i in range(5) for x in got[i].split(",") if "iban" in x] == ["iban:0:19", "iban:0:16", "iban:0:27", "iban:6:28", "iban:0:18"]
+    assert not any("iban" in got[i] for i in range(5, 10))
+
+
+def test_very_many_matches(spark):
+    import re
+    import time
+
+    n = 320_000
+    text = "é " + " ".join(f"a{i % 7}@b.c +1555123456{i % 10}" for i in range(n // 2)) + " end"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    began = time.time()
+    got = pii.pii_report(df).where("doc_id = 1").select("n_email", "n_ip", "n_card", "n_phone", "base_sha256").first()
+    assert tuple(got) == brute.pii(text)
+    masked = pii.mask_pii(df).where("doc_id = 1").first()["text"]
+    assert masked == "é " + " ".join(["<EMAIL> <PHONE>"] * (n // 2)) + " end"
+    assert re.search("@|[0-9]", masked) is None
+    assert time.time() - began < 240
+
+
+def test_masking_across_blocks(spark, monkeypatch):
+    from denspark.llm import scans
+
+    monkeypatch.setattr(scans, "BLOCK", 7)
+    monkeypatch.setattr(scans, "CHUNK", 2)
+    text = "é😀 " + "".join(f"{'x' * k} a@b.c{'-' * (k % 3)} +1.2.3.45.678 " for k in range(30)) + "tail of it"
+    want = "é😀 " + "".join(f"{'x' * k} <EMAIL> <PHONE> " for k in range(30)) + "tail of it"
+    columns = "doc_id long, text string, pii_spans int, spans string, body string, `a.b` long, row string, n_chars int"
+    df = spark.createDataFrame([(1, text, 7, "s", "b", 5, "r", 1), (2, None, None, None, None, None, None, None)], columns)
+    rows = {r["doc_id"]: r for r in pii.mask_pii(df).collect()}
+    assert pii.mask_pii(df).schema == df.schema
+    assert tuple(rows[1]) == (1, want, 7, "s", "b", 5, "r", len(want))
+    assert tuple(rows[2]) == (2, *[None] * 7)
+    assert pii.find_spans(df, into="found").columns == [*df.columns, "found"]
+
+
 def test_masking(docs, spark, empty):
     masked = pii.mask_pii(docs)
     assert masked.columns == docs.columns
