@@ -1,34 +1,32 @@
 r"""Suffix-array dedup: bytes inside a ``SIZE``-byte string that also starts elsewhere are removed.
 
-Sorting every suffix of a corpus, or merging its shards' Burrows-Wheeler transforms byte by byte,
-touches all bytes up to ``SIZE`` times. Most suffixes can be told apart much earlier, so blocks
-of suffixes are refined in three steps, and only what a step leaves open goes on:
-
-1. Every ``SIZE``-byte window picks an anchor, the ``GRAM``-byte string with the least hash in
-   it; equal windows pick equal anchors at equal distances. Suffixes at anchors (about one in
-   70) are put in blocks by their first GRAM bytes; a block of one has no repeat.
-2. A block is refined by the whole stretch that the anchor's windows cover. Stretches that occur
-   twice or more are repeated intervals in whole; a stretch alone in its block has none.
-3. Blocks that hold several stretches, one of them only once, are merged by interleave
-   refinement: their stretches are aligned at the anchor, and from the last column to the first
-   the order of the suffixes that start in a column follows from the order one column later by
-   a stable sort on one symbol, as in merging Burrows-Wheeler transforms; the longest common
-   prefix of neighbours is one more than the least one between their places before, or 0.
-   Suffixes whose common prefix with a neighbour reaches SIZE start a repeated string.
-
-Steps 1 and 2 are one shuffle of 32 bytes for each anchor, read as a sorted stream; step 3 reads
-the open stretches again from the texts and shuffles only those. A task holds at most ``ROWS`` and
-one block's different open stretches at a time, and otherwise a row. A block of over ``HOT``
-stretches is split first: a shared window has half of what it holds beyond the block's common
-bytes on one side of them at least, so the block's stretches are dealt once by that many more
-bytes on the left and once on the right. What is still too large is split again, until the common
-bytes are a window themselves, which then needs no comparison.
+The transforms of shards are merged by interleave refinement:
+
+1. Every ``SIZE``-byte window picks an anchor, the ``GRAM``-byte string with the least hash in it;
+   equal windows pick equal anchors at equal distances. Anchors (about one in 70 bytes) are counted;
+   where one occurs once, no window around it has an equal. That is all that hashes decide.
+2. The stretches that the windows of the other anchors cover are the strings of the collection, and
+   those with one anchor a block: equal windows lie in one block, at equal columns if stretches are
+   aligned at the anchor. Each shard, a few MB of stretches, makes the Burrows-Wheeler transform of
+   each of its blocks: for each column the symbols that stand before the sorted suffixes of the next
+   one. Stretches that a shard holds twice, byte for byte, enter it once.
+3. The transforms of all shards of a block are merged, without the stretches themselves and without
+   sorting suffixes again: the interleaving of the shards' suffixes in one column follows from that of
+   the next one by a stable sort on one symbol each, read from the transforms in turn. The longest
+   common prefix of neighbours is one more than the least one between their places before, or 0.
+   Suffixes whose common prefix with a neighbour reaches SIZE begin a repeated interval.
+
+One shuffle counts anchors (8 bytes each, combined before it), one carries the transforms. A task
+holds at most ``ROWS`` and one block's stretches at a time. A block whose anchor occurs over ``HOT``
+times is split first: a shared window has half of what it holds beyond the block's common bytes on
+one side of them at least, so the block's stretches are dealt once by that many more bytes on the left
+and once on the right. What is still too large is split again, until the common bytes are a window
+themselves; then any part of the block shows the repeat.
 
 Defined cases: null text is empty; texts shorter than SIZE keep everything; equal rows are
-repeats of each other, so nothing of at least SIZE bytes is left of them; rows are told apart by
-their text only, so repeated or null ids do no harm; an empty table gives an empty result;
-further columns play no part. Equality of texts and stretches is that of 64-bit hashes; in step
-3 bytes are compared themselves.
+repeats of each other, so nothing of at least SIZE bytes is left of them; repeated or null ids do no
+harm; an empty table gives an empty result; further columns play no part. Repeats are found by
+comparing bytes; a stretch goes back to its texts by their 64-bit hash and length.
 """
 
 from __future__ import annotations
@@ -50,31 +48,33 @@ SIZE, GRAM = 200, 64
 #: Columns of an aligned stretch: places of a window before its anchor, and the window.
 BEFORE = SIZE - GRAM
 WIDTH = BEFORE + SIZE
-#: Bits of the table that tells which stretches are asked for; rows that step 3 refines at once.
-FILTER_BITS, ROWS = 1 << 27, 1 << 15
-#: Different open stretches that a block may have before it is split.
-HOT = 1 << 15
+#: Bytes of stretches in a shard, stretches merged at once, and stretches that a block may have before it is split.
+SHARD, ROWS, HOT = 4_000_000, 1 << 15, 1 << 15
+#: Bits for each anchor that occurs again in the table that tells them from others, and least and most of them. A full
+#: table lets more stretches into the merge, never fewer.
+BITS, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 28
 _U = np.uint64
 _PLACE = 22
 _BYTES = textops.mix(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D))
 
 
 def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram, stretch, document, anchor, first, last) of each anchor in a slice; the last three count bytes in the document."""
+    """(gram, document, anchor, first, last) of each anchor in a slice; the last three count bytes in the document."""
     n = len(raw)
+    none = (np.zeros(0, _U),) + (np.zeros(0, np.int64),) * 4
     if n < SIZE:
-        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 4
+        return none
     up, down = textops.powers(n + 1)
     sums = np.zeros(n + 1, _U)
     np.cumsum(_BYTES[raw] * up[:n], out=sums[1:])
-    gram = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
+    gram = textops.mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
     width = BEFORE + 1
     best = np.empty(n - SIZE + 1, np.int64)
     step = (1 << _PLACE) - width
     for at in range(0, len(best), step):
         # Hash above, place below: the least is the leftmost of the least hashes. Running minima of
         # blocks of ``width`` from both sides give those of every window.
-        part = textops.mix(gram[at : at + step + width - 1])
+        part = gram[at : at + step + width - 1]
         part = (part & ~_U((1 << _PLACE) - 1)) | np.arange(len(part), dtype=_U)
         blocks = np.concatenate([part, np.full(-len(part) % width, ~_U(0))]).reshape(-1, width)
         left = np.minimum.accumulate(blocks, axis=1).ravel()
@@ -85,124 +85,162 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.repeat(offs[1:], np.diff(offs))
     start = np.flatnonzero(np.arange(len(best)) + SIZE <= ends[: len(best)])
     if not len(start):
-        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 4
+        return none
     best = best[start]
     new = np.ones(len(start), bool)
     new[1:] = (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(new)
     first, last, anchor = start[at], start[np.append(at[1:], len(start)) - 1], best[at]
-    body = (sums[last + SIZE] - sums[first]) * down[first]
-    stretch = textops.mix(body ^ textops.mix((anchor - first).astype(_U) * _U(1 << 20) + (last - first).astype(_U) + _U(1)))
     doc = np.searchsorted(offs, first, "right") - 1
-    return gram[anchor], stretch, doc, anchor - offs[doc], first - offs[doc], last - offs[doc]
+    # Least hashes are alike in their high bits; spread them again.
+    return textops.mix(gram[anchor]), doc, anchor - offs[doc], first - offs[doc], last - offs[doc]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == _U else x, pa.int64())
 
 
-def _pack(anchor, first, last):
-    """Place of the anchor and how far its windows reach, in one number."""
-    return anchor << 16 | (anchor - first) << 8 | (anchor - last)
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors; those that a slice holds twice stand in it twice."""
     for batch in batches:
-        key = batch.column(batch.schema.get_field_index("key")).to_numpy()
-        for row, raw, offs in textops.slices(textops.text_column(batch)):
-            gram, stretch, doc, anchor, first, last = anchors(raw, offs)
-            yield pa.RecordBatch.from_arrays([_signed(gram), _signed(stretch), _signed(key[row + doc]), _signed(_pack(anchor, first, last))], names=["gram", "stretch", "key", "place"])
-
-
-_BLOCKS = "kind int, gram long, stretch long, key long, place long"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Refines blocks by stretch along rows sorted by (gram, stretch, key, place).
-
-    kind 0: a stretch that occurs again; 1: a stretch that is single in a block with others; 2: one
-    row for each repeated stretch in such a block. Between batches one row is held: the last one,
-    with whether its stretch occurred before (and the row is out) and whether its block had others.
-    """
-    held, again, others = None, False, False
-
-    def out(kind, columns, mask):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(int(mask.sum()), kind), pa.int32()), *(pa.array(c[mask]) for c in columns)], names=["kind", "gram", "stretch", "key", "place"])
-
-    def finish(columns, ended):
-        """Emits what is known; the last run stays open unless the input has ended."""
-        nonlocal held, again, others
-        gram, stretch, key, place = columns
-        n = len(gram)
-        fresh = np.ones(n, bool)
-        fresh[1:] = (gram[1:] != gram[:-1]) | (stretch[1:] != stretch[:-1])
-        starts = np.flatnonzero(fresh)
-        run = np.cumsum(fresh) - 1
-        many = np.diff(np.append(starts, n)) > 1
-        run_gram = gram[starts]
-        before = np.zeros(len(starts), bool)
-        before[1:] = run_gram[1:] == run_gram[:-1]
-        after = np.append(before[1:], False)
-        carried = held is not None
-        if carried:
-            many[0] |= again
-            before[0] = others
-        closed = np.ones(len(starts), bool)
-        closed[-1] = ended
-        repeat = many[run]
-        if carried and again:
-            repeat = repeat.copy()
-            repeat[0] = False  # it is out
-        repeat[1:] &= (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | fresh[1:]
-        shared = before | after
-        single = np.zeros(n, bool)
-        single[starts[closed & ~many & shared]] = True
-        open_repeat = np.zeros(n, bool)
-        open_repeat[starts[closed & many & shared]] = True
-        held, again, others = [c[-1:] for c in columns], bool(many[-1]), bool(before[-1])
-        return [out(k, columns, m) for k, m in ((0, repeat), (1, single), (2, open_repeat)) if m.any()]
-
-    for batch in batches:
-        columns = [batch.column(i).to_numpy() for i in range(4)]
-        if not len(columns[0]):
-            continue
-        if held is not None:
-            columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
-        yield from finish(columns, False)
-    if held is not None:
-        yield from finish(held, True)
-
-
-def _asked(bits: np.ndarray):
-    """Stretches whose bit is set: (stretch, gram, back, bytes), once for each slice."""
+        for _, raw, offs in textops.slices(textops.text_column(batch)):
+            yield pa.RecordBatch.from_arrays([_signed(anchors(raw, offs)[0])], names=["gram"])
+
+
+class Stretches:
+    """Different stretches of a shard with their owners: (text's hash, its length, place of the anchor and of its windows)."""
+
+    def __init__(self):
+        self.number: dict[tuple[bytes, int], int] = {}
+        self.grams: list[int] = []
+        self.owners: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, whole: bytes, key: np.ndarray, size: np.ndarray, gram: np.ndarray, begin: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Stretches of a slice ``whole``, where they begin at ``begin``."""
+        number, grams = self.number, self.grams
+        rows = []
+        for g, a, b, back in zip(gram.view(np.int64).tolist(), begin.tolist(), (begin + last - first + SIZE).tolist(), (anchor - first).tolist(), strict=True):
+            known = (whole[a:b], back)
+            i = number.get(known)
+            if i is None:
+                i = number[known] = len(grams)
+                grams.append(g)
+                self.bytes += b - a
+            rows.append(i)
+        place = anchor << 16 | (anchor - first) << 8 | (anchor - last)
+        self.owners.append(np.stack([np.array(rows, np.int64), key, size, place]))
+
+    def rows(self) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """gram, bytes and back of each stretch, whether it occurs again, and owners (row, hash, length, place), all by gram."""
+        gram = np.array(self.grams, np.int64)
+        order = np.argsort(gram, kind="stable")
+        known = list(self.number)
+        owners = np.concatenate(self.owners, axis=1)
+        again = np.bincount(owners[0], minlength=len(gram)) > 1
+        place = np.empty(len(gram), np.int64)
+        place[order] = np.arange(len(gram))
+        owners[0] = place[owners[0]]
+        owners = owners[:, np.lexsort(owners[::-1])]
+        owners = owners[:, np.concatenate([[True], (owners[:, 1:] != owners[:, :-1]).any(0)])]
+        return gram[order], [known[i][0] for i in order.tolist()], np.array([known[i][1] for i in order.tolist()], np.int64), again[order], owners
+
+
+def _open(bits: np.ndarray, hot_bits: np.ndarray, hot: bool):
+    """Shards of the stretches whose anchors occur again: the hot ones as rows, the others as transforms."""
+
+    def held(table_: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        cell = (gram & _U(len(table_) * 8 - 1)).astype(np.int64)
+        return (table_[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Stretches()
         for batch in batches:
-            for _, raw, offs in textops.slices(textops.text_column(batch)):
-                gram, stretch, doc, anchor, first, last = anchors(raw, offs)
-                cell = (stretch & _U(FILTER_BITS - 1)).astype(np.int64)
-                at = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
-                at = at[np.unique(stretch[at], return_index=True)[1]]
+            key = batch.column(batch.schema.get_field_index("key")).to_numpy()
+            for row, raw, offs in textops.slices(textops.text_column(batch)):
+                gram, doc, anchor, first, last = anchors(raw, offs)
+                at = np.flatnonzero(held(bits, gram) & (held(hot_bits, gram) == hot))
                 if len(at):
-                    begin, end = first[at] + offs[doc[at]], last[at] + offs[doc[at]] + SIZE
-                    sizes = end - begin
-                    ends = np.concatenate([[0], np.cumsum(sizes)])
-                    body = raw[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)]
-                    data = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body.tobytes())])
-                    yield pa.RecordBatch.from_arrays([_signed(stretch[at]), _signed(gram[at]), pa.array((anchor - first)[at], pa.int32()), data], names=["stretch", "gram", "back", "body"])
+                    doc = doc[at]
+                    own.add(raw.tobytes(), key[row + doc], np.diff(offs)[doc], gram[at], first[at] + offs[doc], anchor[at], first[at], last[at])
+                if own.bytes >= SHARD:
+                    yield (_hot_rows if hot else _transforms)(*own.rows())
+                    own = Stretches()
+        if own.grams:
+            yield (_hot_rows if hot else _transforms)(*own.rows())
 
     return run
 
 
+_OWNERS = "keys array<long>, sizes array<long>, places array<long>"
+_HOT = f"gram long, back int, body binary, again boolean, {_OWNERS}"
+_SHARDS = f"gram long, n int, symbols binary, rows array<int>, {_OWNERS}"
+
+
+def _hot_rows(gram: np.ndarray, bodies: list[bytes], back: np.ndarray, again: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+    counts = np.bincount(owners[0], minlength=len(gram))
+    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(back, pa.int32()), pa.array(bodies, pa.binary()), pa.array(again), *(_lists(x, counts, pa.int64()) for x in owners[1:])], names=["gram", "back", "body", "again", "keys", "sizes", "places"])
+
+
 def aligned(bodies: list[bytes], back: np.ndarray) -> np.ndarray:
     """Stretches as rows, aligned at their anchors; bytes plus 1, 0 where a stretch has none (UTF-8 has no byte 255)."""
     out = np.zeros((len(bodies), WIDTH), np.uint8)
-    for i, (body, b) in enumerate(zip(bodies, back.tolist(), strict=True)):
-        out[i, BEFORE - b : BEFORE - b + len(body)] = np.frombuffer(body, np.uint8)
-        out[i, BEFORE - b : BEFORE - b + len(body)] += 1
+    sizes = np.array([len(x) for x in bodies], np.int64)
+    ends = np.cumsum(sizes)
+    column = np.arange(ends[-1] if len(ends) else 0) + np.repeat(BEFORE - back - (ends - sizes), sizes)
+    out[np.repeat(np.arange(len(bodies)), sizes), column] = np.frombuffer(b"".join(bodies), np.uint8) + np.uint8(1)
     return out
 
 
+def transform(symbols: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The transform of each block of rows: in column c of row k the symbol before the block's k-th suffix of column c + 1.
+
+    ``block``: sorted block number of each row.
+    """
+    columns = np.ascontiguousarray(symbols.T)
+    out = np.empty_like(columns)
+    order, base = np.arange(len(symbols)), block.astype(np.int64) << 8
+    for c in range(WIDTH - 1, -1, -1):
+        out[c] = columns[c][order]
+        order = order[np.argsort(base + out[c], kind="stable")]
+    return np.ascontiguousarray(out.T)
+
+
+def _transforms(gram: np.ndarray, bodies: list[bytes], back: np.ndarray, again: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+    """One row for each block of a shard: its transform, and the owners of its stretches (row number doubled, plus 1 if it occurs again)."""
+    symbols = aligned(bodies, back)
+    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    sizes = np.diff(np.append(starts, len(gram)))
+    block = np.repeat(np.arange(len(starts)), sizes)
+    several = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    if len(several):
+        symbols[several] = transform(symbols[several], block[several])
+    counts = np.bincount(block[owners[0]], minlength=len(starts))
+    rows = (owners[0] - starts[block[owners[0]]]) * 2 + again[owners[0]]
+    ends = np.concatenate([[0], np.cumsum(sizes * WIDTH)]).astype(np.int32)
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(symbols)])
+    return pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(sizes, pa.int32()), data, _lists(rows, counts, pa.int32()), *(_lists(x, counts, pa.int64()) for x in owners[1:])], names=["gram", "n", "symbols", "rows", "keys", "sizes", "places"])
+
+
+def _hot_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Transforms of the rows of each batch."""
+    for batch in batches:
+        if batch.num_rows:
+            gram, back, again = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("gram", "back", "again"))
+            bodies = batch.column(batch.schema.get_field_index("body")).to_pylist()
+            lists = [batch.column(batch.schema.get_field_index(c)) for c in ("keys", "sizes", "places")]
+            counts = np.diff(lists[0].offsets.to_numpy())
+            order = np.argsort(gram, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            owners = np.stack([np.repeat(place, counts), *(x.flatten().to_numpy() for x in lists)])
+            yield _transforms(gram[order], [bodies[i] for i in order.tolist()], back[order], again[order], owners[:, np.argsort(owners[0], kind="stable")])
+
+
 def _between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least of values[low+1 .. high], with minima over stretches of doubled length."""
     gap = high - low
@@ -220,113 +258,161 @@ def _between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
         k += 1
 
 
-def interleave(symbols: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def interleave(symbols: np.ndarray, block: np.ndarray, run: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """First and last column (-1: none) at which each row's suffix shares SIZE symbols with another of its block.
 
-    ``block``: sorted block number of each row.
+    ``symbols``: transforms of runs of rows, as :func:`transform` gives them (a run of one row is that
+    row); ``run`` and ``block``: sorted run and block number of each row, every row a run if ``run`` is
+    left out. What is refined is the interleaving of the runs: which run each suffix of a block belongs
+    to, in their common order. A run's suffixes keep their own order in it, so the next symbol of a run
+    is the next one of its transform.
     """
     n = len(symbols)
     columns = np.ascontiguousarray(symbols.T)
-    order, common = np.arange(n), np.zeros(n, np.int16)
+    run = np.arange(n) if run is None else run
+    start = np.searchsorted(run, run)
+    several = np.zeros(n, bool)
+    several[1:] = run[1:] == run[:-1]
+    several[:-1] |= several[1:]
+    mixed = bool(several.any())
+    # By place in the common order: the row, the first row of its run, and whether its run has others.
+    row, common = np.arange(n), np.zeros(n, np.int16)
     first, last = np.full(n, -1), np.full(n, -1)
     base = block.astype(np.int64) << 8
     for c in range(WIDTH - 1, -1, -1):
-        key = base + columns[c][order]
+        slot = start
+        if mixed:
+            at = np.flatnonzero(several)
+            of = start[at]
+            by = np.argsort(of, kind="stable")
+            ranked = of[by]
+            nth = np.arange(len(at)) - np.searchsorted(ranked, ranked)
+            slot = start.copy()
+            slot[at[by]] += nth
+        key = base + columns[c][slot]
         new = np.argsort(key, kind="stable")
         ranked = key[new]
         alike = np.flatnonzero((ranked[1:] == ranked[:-1]) & (ranked[1:] & 255 > 0)) + 1
         fresh = np.zeros(n, np.int16)
         if len(alike):
             fresh[alike] = np.minimum(_between(common, new[alike - 1], new[alike]) + 1, SIZE)
-        order, common = order[new], fresh
+        row, start, common = row[new], start[new], fresh
+        if mixed:
+            several = several[new]
         if c <= BEFORE:
             at = np.flatnonzero(common >= SIZE)
-            rows = np.unique(np.concatenate([order[at], order[at - 1]]))
+            rows = np.unique(np.concatenate([row[at], row[at - 1]]))
             first[rows] = c
             last[rows] = np.where(last[rows] < 0, c, last[rows])
     return first, last
 
 
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(stretch, low, high): where the repeated strings of a stretch begin and end, from its anchor. Rows are sorted by gram."""
+_SPANS = "key long, size long, start long, end long"
 
-    def solve(rows):
-        stretch, gram, back = (np.concatenate([r[k] for r in rows]) for k in range(3))
-        bodies = [x for r in rows for x in r[3]]
-        block = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
-        first, last = interleave(aligned(bodies, back), block)
-        at = np.flatnonzero(first >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(stretch[at]), pa.array(first[at] - BEFORE, pa.int32()), pa.array(last[at] - BEFORE + SIZE, pa.int32())], names=["stretch", "low", "high"])
 
-    kept, count = [], 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            stretch, gram, back = (part.column(i).to_numpy() for i in range(3))
-            bodies = part.column(3).to_pylist()
-            # Up to the last change of block the rows can be refined; the rest waits for its block.
+def _merge(most: int):
+    """Spans of repeated intervals from transforms sorted by gram; blocks are merged ``most`` rows at a time, or one if it is larger."""
+
+    def solve(parts: list) -> pa.RecordBatch:
+        gram, n, symbols, counts, rows, keys, sizes, places = (np.concatenate([p[k] for p in parts]) for k in range(8))
+        starts = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(n)), n)
+        block = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])[run]
+        others = np.flatnonzero(np.bincount(block)[block] > 1)
+        first, last = np.full(len(run), -1), np.full(len(run), -1)
+        if len(others):
+            first[others], last[others] = interleave(symbols.reshape(-1, WIDTH)[others], block[others], run[others])
+        own = np.repeat(starts, counts) + (rows >> 1)
+        again, hit = (rows & 1).astype(bool), first[own] >= 0
+        anchor = places >> 16
+        start = np.where(again, anchor - (places >> 8 & 255), anchor + first[own] - BEFORE)
+        end = np.where(again, anchor - (places & 255) + SIZE, anchor + last[own] - BEFORE + SIZE)
+        at = np.flatnonzero(again | hit)
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (keys, sizes, start, end)], names=["key", "size", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram = batch.column(0).to_numpy()
             change = np.flatnonzero(gram[1:] != gram[:-1]) + 1
-            begins = bool(kept) and gram[0] != kept[-1][1][-1]
-            stop = int(change[-1]) if len(change) else 0
-            if count + stop >= ROWS and (stop or begins):
-                if stop:
-                    kept.append((stretch[:stop], gram[:stop], back[:stop], bodies[:stop]))
-                yield solve(kept)
-                kept, count = [], 0
-            else:
-                stop = 0
-            kept.append((stretch[stop:], gram[stop:], back[stop:], bodies[stop:]))
-            count += len(gram) - stop
-    if kept:
-        yield solve(kept)
+            bounds = [0, *change.tolist(), len(gram)]
+            n = batch.column(1).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(n)])
+            at = 0
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                # Before a new block begins, what is held can be merged.
+                if count + ends[a] - ends[at] >= most and (a > 0 or kept and kept[-1][0][-1] != gram[0]):
+                    if a > at:
+                        kept.append(_unpacked(batch.slice(at, a - at)))
+                    yield solve(kept)
+                    kept, count, at = [], 0, a
+            kept.append(_unpacked(batch.slice(at)))
+            count += int(ends[-1] - ends[at])
+        if kept:
+            yield solve(kept)
+
+    return run
+
+
+def _unpacked(part: pa.RecordBatch) -> tuple:
+    """gram, n, symbols, owners of each block, and the owners: row, hash, length, place."""
+    lists = [part.column(i) for i in range(3, 7)]
+    symbols = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8)
+    return part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64), symbols, np.diff(lists[0].offsets.to_numpy()), *(x.flatten().to_numpy().astype(np.int64) for x in lists)
 
 
 def split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Blocks of at most HOT rows for :func:`_refine`, and (stretch, low, high) of those that all share a window.
+    """Blocks of at most HOT rows, and (or None) parts of blocks that all share a window, about as large.
 
-    ``rows``: (stretch, gram, back, body), distinct. A block of the result shares ``left`` bytes before and
-    ``right`` bytes after its anchor; ``gram`` becomes the hash of all that it shares.
+    ``rows``: as _HOT. A block of the result shares ``left`` bytes before and ``right`` bytes after its
+    anchor; ``gram`` becomes the hash of all that it shares.
     """
-    names = ["stretch", "gram", "back", "body"]
+    names = rows.columns
     rows = table(rows.select(*names, F.lit(0).alias("left"), F.lit(0).alias("right")))
-    cold, known = [], 0
+    cold, known, lefts = [], 0, {0}
     while True:
-        sizes = cut(rows.groupBy("gram", "left", "right").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram", "left", "right"))
+        sizes = cut(rows.groupBy("gram", "left", "right").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
         if sizes.isEmpty():
             return reduce(DataFrame.unionByName, [*cold, rows.select(*names)]), None
         cold.append(rows.join(sizes, ["gram", "left", "right"], "left_anti").select(*names))
         hot = rows.join(sizes, ["gram", "left", "right"])
         if known == BEFORE:
-            same = hot.select("stretch", (-F.col("left")).alias("low"), (F.col("right") + GRAM).alias("high"))
+            piece = F.pmod(F.xxhash64("body", "back"), F.ceil(F.col("n") / HOT))
+            same = hot.withColumn("gram", F.xxhash64("gram", "left", "right", piece)).select(*names)
             return reduce(DataFrame.unionByName, cold), same
         more = (BEFORE - known + 1) // 2
         known += more
-        sides = F.explode(F.array(*[F.struct((F.col("left") + a).alias("left"), (F.col("right") + b).alias("right")) for a, b in ((more, 0), (0, more))]))
+        # What is reached from two sides comes from the right one only, so that no stretch meets itself.
+        once = ~F.col("left").isin([x for x in lefts if x + more in lefts] or [-1])
+        lefts |= {x + more for x in lefts}
+        sides = F.explode(F.array(*[F.struct((F.col("left") + a).alias("left"), (F.col("right") + b).alias("right"), fits.alias("fits")) for a, b, fits in ((more, 0, once), (0, more, F.lit(True)))]))
         dealt = hot.select(*names, sides.alias("side")).select(*names, "side.*")
-        dealt = dealt.where((F.col("left") <= F.col("back")) & (F.col("back") + GRAM + F.col("right") <= F.length("body")))
+        dealt = dealt.where(F.col("fits") & (F.col("left") <= F.col("back")) & (F.col("back") + GRAM + F.col("right") <= F.length("body")))
         shared = F.substring("body", F.col("back") - F.col("left") + 1, F.col("left") + GRAM + F.col("right"))
-        rows = table(dealt.withColumn("gram", F.xxhash64(shared, "left", "right")))
+        rows = table(dealt.withColumn("gram", F.xxhash64(shared, "left", "right")).drop("fits"))
+
+
+def _bits(grams: DataFrame, n: int) -> np.ndarray:
+    """A table of bits for n anchors."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * n).bit_length()))
+    return bit_table(grams.select(F.col("gram").bitwiseAND(size - 1).alias("cell")), size)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, start, end): the stretches of bytes to remove in texts with that xxhash64, possibly overlapping."""
+    """(key, size, start, end): the stretches of bytes to remove in texts of that xxhash64 and length, possibly overlapping."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    rows = texts.mapInArrow(_emit, "gram long, stretch long, key long, place long")
-    blocks = table(rows.repartition(parts, "gram").sortWithinPartitions("gram", "stretch", "key", "place").mapInArrow(_blocks, _BLOCKS))
-    anchor = F.shiftright("place", 16)
-    first = anchor - F.shiftright("place", 8).bitwiseAND(255)
-    last = anchor - F.col("place").bitwiseAND(255)
-    sure = blocks.where("kind = 0").select("key", first.alias("start"), (last + SIZE).alias("end"))
-    open_ = blocks.where("kind > 0").select("stretch").distinct()
-    bits = bit_table(open_.select(F.col("stretch").bitwiseAND(FILTER_BITS - 1).alias("cell")), FILTER_BITS)
-    bodies = texts.select("text").mapInArrow(_asked(bits), "stretch long, gram long, back int, body binary")
-    bodies = bodies.dropDuplicates(["stretch"]).join(open_, "stretch", "left_semi")
-    bodies, same = split_hot(bodies)
-    found = bodies.repartition(parts, "gram").sortWithinPartitions("gram").select("stretch", "gram", "back", "body").mapInArrow(_refine, "stretch long, low int, high int")
-    found = found if same is None else found.unionByName(same)
-    rest = blocks.where("kind = 1").join(cut(found), "stretch").select("key", (anchor + F.col("low")).alias("start"), (anchor + F.col("high")).alias("end"))
-    return sure.unionByName(rest)
+    again = cut(docs.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = again.where(F.col("n") > HOT)
+    n_hot = hot.count()
+    bits, hot_bits = _bits(again, again.count()), _bits(hot, n_hot)
+    shards = texts.mapInArrow(_open(bits, hot_bits, False), _SHARDS)
+    if n_hot:
+        cold, same = split_hot(texts.mapInArrow(_open(bits, hot_bits, True), _HOT))
+        shards = shards.unionByName((cold if same is None else cold.unionByName(same)).mapInArrow(_hot_shards, _SHARDS))
+    return cut(shards.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_merge(ROWS), _SPANS))
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -367,9 +453,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` as struct ``row`` with its ``spans``; the text is shuffled once, by its hash."""
-    spans = repeated_spans(docs).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("of"))
-    return rows.join(spans, F.col("of") == F.col("key"), "left").select("row", "spans")
+    # Sets: the tasks combine what copies of a text say of it.
+    spans = repeated_spans(docs).groupBy("key", "size").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("of"), F.octet_length(text).cast("long").alias("n"))
+    return rows.join(spans, (F.col("of") == F.col("key")) & (F.col("n") == F.col("size")), "left").select("row", "spans")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

@@ -133,3 +133,29 @@ def test_interleave_finds_common_prefixes():
         for r in range(9):
             hits = [c for c in range(suffix_dedup.BEFORE + 1) if any(o != r and block[o] == block[r] and (rows[r, c : c + size] > 0).all() and (rows[o, c : c + size] == rows[r, c : c + size]).all() for o in range(9))]
             assert (first[r], last[r]) == ((hits[0], hits[-1]) if hits else (-1, -1))
+
+
+def test_merging_transforms_is_sorting_all_suffixes():
+    rng = np.random.default_rng(8)
+    width = suffix_dedup.WIDTH
+    for _ in range(5):
+        base = rng.integers(1, 4, (4, width)).astype(np.uint8)
+        rows = base[rng.integers(0, 4, 40)]
+        for r in range(40):
+            rows[r, rng.integers(0, width, rng.integers(0, 3))] = rng.integers(1, 4)
+            rows[r, : rng.integers(0, 60)] = 0
+        block = np.sort(rng.integers(0, 3, 40))
+        # Runs (the blocks of a shard) of one to six rows, none over a block's end.
+        run = np.cumsum(np.concatenate([[0], (block[1:] != block[:-1]) | (rng.random(39) < 0.3)]).astype(np.int64))
+        shards = suffix_dedup.transform(rows, run)
+        alone = np.bincount(run)[run] == 1
+        assert (shards[alone] == rows[alone]).all()
+        # A column of a transform holds a run's symbols of that column, sorted by what follows.
+        for r in set(run[~alone].tolist()):
+            own, c = rows[run == r], int(rng.integers(0, width))
+            order = sorted(range(len(own)), key=lambda k: own[k, c + 1 :].tolist())  # noqa: B023
+            assert shards[run == r][:, c].tolist() == [int(own[k, c]) for k in order]
+        want = suffix_dedup.interleave(rows, block)
+        got = suffix_dedup.interleave(shards, block, run)
+        assert (want[0] == got[0]).all()
+        assert (want[1] == got[1]).all()
