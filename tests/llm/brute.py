@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -104,3 +105,75 @@ def licenses(text):
     places = [(i, v) for k, v in phrases.items() for i in range(len(words)) if words[i : i + len(k.split())] == k.split()]
     at = sorted(i for i, _ in places)
     return len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted({v for _, v in places}))
+
+
+def license_verdict(text, phrases, tags, weight, label_of, is_exception, is_open):
+    """(labels, score, is_open) by plain searches and a recursive parser over the same tables."""
+    text = text or ""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    there = lambda phrase: any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))
+    found = [p for p in phrases if there(p)]
+    labels = {phrases[p] for p in found}
+    low, gap, word = re.sub("[A-Z]", lambda m: m[0].lower(), text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+    ends = {m.end(1) for tag in tags for m in re.finditer(rf"(?<!{word})(?=({gap.join(tag.split())})(?!{word}))", low)}
+    choices = []
+    for end in sorted(ends):
+        rest = re.match(r"[\"']?[ \t]*[:=]?[ \t]*[\"']?(.*)", text[end:])[1]
+        parts = []
+        while m := re.match(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:_-]*)", rest):
+            parts.append(m[1].lower().rstrip(".:-_") if len(m[1]) > 1 else m[1].lower())
+            rest = rest[m.end() :]
+        for n in range(len(parts), 0, -1):
+            got = whole_expression(parts[:n], label_of, is_exception, is_open)
+            if got:
+                labels |= got[0]
+                choices.append(got[1])
+                break
+    score = 1.0 if choices else min(0.95, round(1 - math.prod(1 - weight(p) for p in sorted(found)), 6))
+    return ",".join(sorted(labels)), score, choices
+
+
+def whole_expression(parts, label_of, is_exception, is_open):
+    """Recursive descent: or, and, with; None unless all parts are one expression."""
+    at = 0
+
+    def peek():
+        return parts[at] if at < len(parts) else None
+
+    def atom():
+        nonlocal at
+        x = peek()
+        at += 1
+        if x == "(":
+            inner = either()
+            if inner is None or peek() != ")":
+                return None
+            at += 1
+        elif x is None or x in ("and", "or", "with", ")") or label_of(x) is None:
+            return None
+        else:
+            inner = {label_of(x)}, is_open(label_of(x))
+        if peek() == "with":
+            at += 1
+            if peek() is None or not is_exception(peek()):
+                return None
+            at += 1
+        return inner
+
+    def series(word, item, join):
+        nonlocal at
+        left = item()
+        while left is not None and peek() == word:
+            at += 1
+            right = item()
+            left = None if right is None else (left[0] | right[0], join((left[1], right[1])))
+        return left
+
+    def both():
+        return series("and", atom, all)
+
+    def either():
+        return series("or", both, any)
+
+    got = either()
+    return got if got is not None and at == len(parts) else None

@@ -138,3 +138,29 @@ def test_licence_expressions():
         assert license_scan.to_postfix(text) == want
     assert license_scan.evaluate(["mit", "gpl-3.0", "or"]) == ({"mit", "gpl"}, True)
     assert license_scan.evaluate(["mit", "gpl-3.0", "and"]) == ({"mit", "gpl"}, False)
+
+
+def test_licence_verdicts_against_plain_searches(spark):
+    import random
+
+    rng = random.Random(12)
+    names = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0+", "BSD-3-Clause", "CC-BY-SA-4.0", "LicenseRef-own", "mitsubishi", "contact", "this", "Apache-9.0", "LGPL-2.1-or-later"]
+    glue = [" OR ", " and ", " AND ", " WITH Classpath-exception-2.0 ", " with ", " (", ") ", " ", "\n", ". ", ", "]
+    lead = ["SPDX-License-Identifier: ", "SPDX License Identifier ", "spdx license identifier: ", 'License-Expression = "', "license ", "SPDX-License-Identifiers: "]
+    phrases = license_scan.NOTICES | license_scan.BASE
+    texts = ["SPDX License Identifier: MIT", "SPDX-License-Identifier: MIT or contact us", "SPDX-License-Identifier: Apache-2.0 and this file is free", "SPDX-License-Identifier: MIT and", "SPDX-License-Identifier: mitsubishi", "SPDX-License-Identifier:", "x SPDX-License-Identifier"]
+    for _ in range(300):
+        text = "".join(rng.choice([rng.choice(lead), rng.choice(names), rng.choice(glue), rng.choice(glue), rng.choice(names), " " + rng.choice(list(phrases)).title() + " "]) for _ in range(rng.randint(1, 12)))
+        texts.append(text)
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    exception = lambda x: bool(license_scan._EXCEPTION.fullmatch(x))
+    for i, text in enumerate(texts):
+        labels, score, choices = brute.license_verdict(text, phrases, license_scan.TAGS, license_scan.weight, license_scan.label_of, exception, lambda x: x in license_scan.OPEN)
+        assert (got[i]["labels"], got[i]["score"]) == (labels, score), text
+        if choices:
+            assert got[i]["is_open"] == (all(choices) and all(x in license_scan.OPEN for x in got[i]["base_labels"].split(",") if x)), text
+        else:
+            assert got[i]["is_open"] == (bool(labels) and all(x in license_scan.OPEN for x in labels.split(","))), text
+    assert [got[i]["labels"] for i in range(7)] == ["mit", "mit", "apache", "mit", "", "", ""]
+    assert {0.0, 0.5, 0.95, 1.0} <= {r["score"] for r in got.values()}
+    assert len({r["score"] for r in got.values()}) > 6
