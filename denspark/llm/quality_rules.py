@@ -7,8 +7,8 @@ the documents, no shuffle: it scales with the number of input splits.
 Defined cases: null or empty text has no words, so ``base_failed`` is true and ``kept``
 false; other nulls (and any further columns, whatever their names) play no part; repeated
 rows are judged one by one and stay; an empty table gives an empty result; a long text is
-compressed in whole and, above one chunk, in chunks up to its last byte: where a part of a chunk is
-left over, the last ``CHUNK`` bytes are a chunk too.
+compressed in whole and, above one chunk, in chunks up to its last byte: what is left over is a
+chunk too, judged by the limits of its own length.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ SYMBOLS = b"#*$%&|<>"
 
 #: (smallest number of bytes, lowest ratio, highest ratio) for whole documents.
 BANDS = ((0, 0.0, 100.0), (64, 0.7, 3.0), (256, 1.15, 3.5), (1024, 1.4, 4.0), (4096, 1.5, 5.0), (16384, 1.6, 6.0))
-#: Bytes of a chunk, its lowest and highest ratio, and the share of chunks that may lie outside.
-CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4096, 1.4, 6.0, 0.2
+#: Bytes of a chunk, the same limits for chunks by their length, and the share of chunks that may lie outside.
+CHUNK, CHUNK_SHARE = 4096, 0.2
+CHUNK_BANDS = ((0, 0.0, 100.0), (64, 0.7, 3.5), (256, 1.1, 4.0), (1024, 1.25, 5.0), (4096, 1.4, 6.0))
 LEVEL = 3
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, zstd_ratio double, chunks long, chunks_outside long"
@@ -64,22 +65,23 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def band(n_bytes: int, bands=BANDS) -> tuple[float, float]:
-    """The lowest and highest ratio for a document of that many bytes."""
+    """The lowest and highest ratio for a document (or chunk) of that many bytes."""
     return next((low, high) for least, low, high in reversed(bands) if n_bytes >= least)
 
 
 def compression(text: bytes, packer: zstandard.ZstdCompressor, bands=BANDS, chunk: int = CHUNK) -> tuple[float, int, int, bool]:
-    """Ratio of the whole text, its chunks, those outside the chunk band, and the verdict."""
+    """Ratio of the whole text, its chunks, those outside the limits of their length, and the verdict."""
     if not text:
         return 0.0, 0, 0, False
     ratio = len(text) / len(packer.compress(text))
     low, high = band(len(text), bands)
     chunks = outside = 0
     if len(text) > chunk:
-        for i in [*range(0, len(text) - chunk, chunk), len(text) - chunk]:
+        for i in range(0, len(text), chunk):
             chunks += 1
-            part = chunk / len(packer.compress(text[i : i + chunk]))
-            outside += not CHUNK_LOW <= part <= CHUNK_HIGH
+            part = text[i : i + chunk]
+            least, most = band(len(part), CHUNK_BANDS)
+            outside += not least <= len(part) / len(packer.compress(part)) <= most
     return ratio, chunks, outside, low <= ratio <= high and outside <= CHUNK_SHARE * chunks
 
 
@@ -110,8 +112,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that :func:`quality_rules` keeps, with their columns as they were.
 
-    The verdict is joined back by ``doc_id``; rows that share a ``doc_id`` (or have none) are
-    judged inside the same pass instead, so the text is never shuffled.
+    Rows are judged and dropped in one pass, so the text is never shuffled or joined: rows that share a
+    ``doc_id`` (or have none), repeated rows and columns of any name are no special case, a null or
+    empty text goes, and an empty table stays empty.
     """
     return docs.mapInArrow(_keeper, docs.schema)
 
