@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from denspark.lineage import cut, table
 from denspark.llm import textops
-from denspark.llm.bits import bit_table
+from denspark.llm.bits import bit_table, held, table_size
 
 SIZE, GRAM = 200, 64
 #: Columns of an aligned stretch: places of a window before its anchor, and the window.
@@ -50,9 +50,6 @@ BEFORE = SIZE - GRAM
 WIDTH = BEFORE + SIZE
 #: Bytes of stretches in a shard, stretches merged at once, and stretches that a block may have before it is split.
 SHARD, ROWS, HOT = 4_000_000, 1 << 15, 1 << 15
-#: Bits for each anchor that occurs again in the table that tells them from others, and least and most of them. A full
-#: table lets more stretches into the merge, never fewer.
-BITS, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 28
 _U = np.uint64
 _PLACE = 22
 _BYTES = textops.mix(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D))
@@ -153,16 +150,13 @@ class Stretches:
 def _open(bits: np.ndarray, hot_bits: np.ndarray, hot: bool):
     """Shards of the stretches whose anchors occur again: the hot ones as rows, the others as transforms."""
 
-    def held(table_: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        cell = (gram & _U(len(table_) * 8 - 1)).astype(np.int64)
-        return (table_[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Stretches()
         for batch in batches:
             key = batch.column(batch.schema.get_field_index("key")).to_numpy()
             for row, raw, offs in textops.slices(textops.text_column(batch)):
                 gram, doc, anchor, first, last = anchors(raw, offs)
+                # A full table lets more stretches into the merge, never fewer.
                 at = np.flatnonzero(held(bits, gram) & (held(hot_bits, gram) == hot))
                 if len(at):
                     doc = doc[at]
@@ -396,7 +390,7 @@ def split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def _bits(grams: DataFrame, n: int) -> np.ndarray:
     """A table of bits for n anchors."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * n).bit_length()))
+    size = table_size(n)
     return bit_table(grams.select(F.col("gram").bitwiseAND(size - 1).alias("cell")), size)
 
 
