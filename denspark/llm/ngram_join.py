@@ -11,12 +11,12 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
    scanning its lists and verifying the candidates left is least: sets made of common tokens
    ask for more matches before a candidate counts.
 3. Lists of one set are dropped as they stream out of the shuffle. Every list first pairs its
-   sets with ``CENTRES`` centres only, and every set tries the ``CENTRES`` it meets most often,
-   so a large group of near copies costs its size and not its square; verified pairs are
-   contracted to classes.
+   sets with ``CENTRES`` centres only, and every set tries the ``CENTRES`` it meets most often, if
+   often enough, so a large group of near copies costs its size and not its square; verified pairs
+   are contracted to classes.
 4. Lists that still hold several classes are compared across classes (long ones block
-   against block); pairs with enough matches are verified. No link between different classes can be missed,
-   so the classes are exact.
+   against block, dealt over tasks by pairs of groups of ``TOGETHER`` blocks); pairs with enough matches
+   are verified. No link between different classes can be missed, so the classes are exact.
 
 Verification looks at sizes, then at parity bitmaps of ``BITMAP`` bits (sets that differ in d
 tokens differ in at most d bits, so the test loses nothing; sets of over ``LONG`` tokens have a
@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from denspark.lineage import cut, table
 from denspark.llm import textops
-from denspark.llm.bits import bit_table
+from denspark.llm.bits import added_up, bit_table, held, table_size
 from denspark.operators.components import connected_components
 
 SIZE, SHARE = 5, 80
@@ -53,10 +53,10 @@ SIZE, SHARE = 5, 80
 CELLS, BLOCK, MOST_MATCHES, CENTRES = 1 << 20, 1 << 16, 4, 3
 #: Cost of verifying one candidate, per token of the set, in scanned list entries.
 VERIFY = 0.05
-#: Bits of a set's parity bitmap, and of the table that tells which sets are asked for.
-BITMAP, LONG, FILTER_BITS = 1024, 1500, 1 << 22
-#: Members of a list that travel in one block, and of a list that gives its pairs at once.
-MEMBERS, SHORT = 2048, 16
+#: Bits of a set's parity bitmap, and tokens of a set that has a larger one.
+BITMAP, LONG = 1024, 1500
+#: Members of a list that travel in one block, blocks that a task compares with as many, and members of a list that gives its pairs at once.
+MEMBERS, TOGETHER, SHORT = 2048, 8, 16
 _U = np.uint64
 
 
@@ -109,7 +109,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _signed([node_of(s) for s in sets]), bits, pa.array([long_bitmap(s) for s in sets], pa.list_(pa.int64())), pa.nulls(n, pa.binary())], names=names)
     if total.any():
         n = CELLS // BLOCK
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2, pa.array([x.tobytes() for x in total.reshape(n, BLOCK)], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2, pa.array([x.astype(np.int64).tobytes() for x in total.reshape(n, BLOCK)], pa.binary())], names=names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(data, np.int32).astype(np.int64)
+            own = np.frombuffer(data, np.int64)
             sums[block] = sums[block] + own if block in sums else own
     for block, own in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
@@ -196,7 +196,7 @@ def _asked_sets(bits: np.ndarray):
         for ids, sets in _sets(batches):
             nodes = np.array([node_of(s) for s in sets], _U)
             own = pc.fill_null(ids.cast(pa.int64()), 0).to_numpy()
-            at = np.flatnonzero(bits[_asked_cell(nodes.view(np.int64), own)])
+            at = np.flatnonzero(held(bits, _asked_cell(nodes.view(np.int64), own)))
             if len(at):
                 offsets = np.concatenate([[0], np.cumsum([len(sets[i]) for i in at])])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(np.concatenate([sets[i] for i in at])))
@@ -206,14 +206,17 @@ def _asked_sets(bits: np.ndarray):
 
 
 def _asked_cell(node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """Place of a set's first document in the table of sets that are asked for."""
-    return (textops.mix(node.astype(np.int64).view(_U) ^ textops.mix(doc_id.astype(np.int64).view(_U))) & _U(FILTER_BITS - 1)).astype(np.int64)
+    """A number for a set's first document, whose low bits are its place in the table of sets that are asked for."""
+    return textops.mix(node.astype(np.int64).view(_U) ^ textops.mix(doc_id.astype(np.int64).view(_U)))
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, doc_id = batch.column(0).to_numpy(), pc.fill_null(batch.column(1), 0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_asked_cell(node, doc_id)), pa.int64())], names=["cell"])
+def _cells(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, doc_id = batch.column(0).to_numpy(), pc.fill_null(batch.column(1), 0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_asked_cell(node, doc_id) & _U(size - 1)), pa.int64())], names=["cell"])
+
+    return run
 
 
 def _across(share: int):
@@ -261,7 +264,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: int) -
     big_pairs = alike(near_pairs.where(big).select("a", "b"), "more", nodes.where(F.col("n") > LONG))
     near = cut(near_pairs.where(~big).unionByName(big_pairs))
     wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"))
-    bits = np.unpackbits(bit_table(wanted.mapInArrow(_cells, "cell long"), FILTER_BITS)).astype(bool)
+    size = table_size(wanted.count())
+    bits = bit_table(wanted.mapInArrow(_cells(size), "cell long"), size)
     sets = docs.select("doc_id", "text").mapInArrow(_asked_sets(bits), "node long, tokens array<long>")
     # Both joins read the one shuffle that drops repeated rows.
     sets = sets.dropDuplicates(["node"])
@@ -278,7 +282,7 @@ def _fits(share: int):
 def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, node, bits, more) of every row, and the table of token counts (CELLS numbers)."""
     both = table(docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNED))
-    blocks = both.where("block is not null").select("block", "counts").repartition(CELLS // BLOCK, "block").mapInArrow(_add_up, "block int, counts binary").toArrow().to_pylist()
+    blocks = added_up(both.where("block is not null").select("block", "counts"), _add_up, "block int, counts binary", CELLS // BLOCK).toArrow().to_pylist()
     counts = np.zeros(CELLS, np.int64)
     for x in blocks:
         counts[x["block"] * BLOCK : (x["block"] + 1) * BLOCK] = np.frombuffer(x["counts"], np.int64)
@@ -299,14 +303,15 @@ def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int
     # Base texts of copies have all of their prefix in shared lists: they make the best centres.
     often = lists.groupBy("node").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("matches").alias("matches"))
     often = often.select("node", (F.col("lists") / (F.col("n") - F.ceil(F.col("n") * share / 100) + F.col("matches"))).alias("shared"))
-    ranks = [F.struct((-F.col("shared") if k == 0 else F.lit(0.0)).alias("r"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "n") for k in range(CENTRES)]
+    ranks = [F.struct((-F.col("shared") if k == 0 else F.lit(0.0)).alias("r"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "matches") for k in range(CENTRES)]
     centre = lists.join(often, "node").groupBy("token").agg(*[F.min(r).alias(f"c{k}") for k, r in enumerate(ranks)])
-    centre = centre.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"c{k}.node"), F.col(f"c{k}.n")) for k in range(CENTRES)])).alias("centres"))
-    pairs = lists.join(centre, "token").select("node", F.col("n").alias("na"), F.explode("centres").alias("c"))
-    pairs = pairs.select("node", "na", F.col("c.node").alias("b"), F.col("c.n").alias("nb")).where((F.col("node") != F.col("b")) & _fits(share))
+    centre = centre.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"c{k}.node"), F.col(f"c{k}.n"), F.col(f"c{k}.matches")) for k in range(CENTRES)])).alias("centres"))
+    pairs = lists.join(centre, "token").select("node", F.col("n").alias("na"), "matches", F.explode("centres").alias("c"))
+    pairs = pairs.select("node", "na", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.least("matches", "c.matches").alias("need")).where((F.col("node") != F.col("b")) & _fits(share))
     # The centres that a set meets most often are its likeliest partners; step 4 finds what others would have added.
     met = Window.partitionBy("node").orderBy(F.desc("met"), "b")
-    pairs = pairs.groupBy("node", "b").agg(F.count("*").alias("met")).withColumn("place", F.row_number().over(met)).where(F.col("place") <= CENTRES)
+    pairs = pairs.groupBy("node", "b").agg(F.count("*").alias("met"), F.first("need").alias("need")).where("met >= need")
+    pairs = pairs.withColumn("place", F.row_number().over(met)).where(F.col("place") <= CENTRES)
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     edges = _verified(pairs, docs, nodes, share)
     classes = connected_components(edges)
@@ -326,9 +331,13 @@ def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int
     pairs = pairs.select("a", "b", F.least("matches", "matches2").alias("need"))
     long = seen.where(F.col("members") > SHORT).join(nodes.select("node", "bits"), "node")
     member = F.struct("node", "class", "n", "matches", "bits")
-    blocks = table(long.groupBy("token", F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("members") / MEMBERS)).alias("block")).agg(F.collect_list(member).alias("members")))
-    other = blocks.select("token", F.col("block").alias("block2"), F.col("members").alias("members2"))
-    across = blocks.join(other, "token").where("block <= block2").select("members", "members2", (F.col("block") == F.col("block2")).alias("same")).mapInArrow(_across(share), "a long, b long, need int")
+    n_blocks = F.ceil(F.col("members") / MEMBERS)
+    blocks = table(long.groupBy("token", F.pmod(F.xxhash64("node", F.lit(9)), n_blocks).alias("block"), n_blocks.alias("blocks")).agg(F.collect_list(member).alias("members")))
+    # Groups of blocks meet group by group, so one token's pairs of blocks are dealt over many tasks.
+    group, groups = F.floor(F.col("block") / TOGETHER), F.ceil(F.col("blocks") / TOGETHER)
+    left = blocks.select("token", "block", "members", group.alias("low"), F.explode(F.sequence(group, groups - 1)).alias("high"))
+    right = blocks.select("token", F.col("block").alias("block2"), F.col("members").alias("members2"), F.explode(F.sequence(F.lit(0).cast("long"), group)).alias("low"), group.alias("high"))
+    across = left.join(right, ["token", "low", "high"]).where("block <= block2").select("members", "members2", (F.col("block") == F.col("block2")).alias("same")).mapInArrow(_across(share), "a long, b long, need int")
     pairs = pairs.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("need").alias("need")).where("met >= need").select("a", "b")
     found = _verified(pairs, docs, nodes, share)
     return classes if found.isEmpty() else connected_components(edges.unionByName(found))
@@ -347,17 +356,18 @@ def ngram_join(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, node) from (row, text)."""
     for batch in batches:
         for row, raw, offs in textops.slices(textops.text_column(batch)):
             found = textops.shingle_sets(raw, offs, SIZE)
-            part = batch.slice(row, len(found))
-            yield pa.RecordBatch.from_arrays([*part.columns, _signed([node_of(s) for s in found])], names=[*part.schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), _signed([node_of(s) for s in found])], names=["row", "node"])
 
 
 def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The documents without near copies: of each class the row with the smallest doc_id stays (nulls last).
 
-    Of rows equal in doc_id and set one stays; documents without words link with nothing and stay.
+    Of rows equal in doc_id and set one stays; documents without words (null and empty texts too) link
+    with nothing and all stay; an empty table stays empty; columns of any name stay as they are.
     """
     word = r"[^\x20\x09-\x0D]"
     worded = F.coalesce(F.col("text").rlike(word), F.lit(False))
@@ -365,8 +375,10 @@ def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     classes = node_classes(docs.where(worded), own, counts, share)
     heads = own.groupBy("node").agg(F.min("doc_id").alias("id")).join(classes, "node", "left")
     best = F.min_by(F.struct("node", "id"), F.struct(F.col("id").isNull(), "id", "node")).alias("best")
-    chosen = heads.groupBy(F.coalesce("component", "node")).agg(best).select(F.col("best.node").alias("_of"), F.col("best.id").alias("_id"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.where(worded).mapInArrow(_with_node, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
-    rows = rows.join(chosen, (F.col("_node") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_node"])
-    return rows.select(*names).unionByName(docs.where(~worded))
+    chosen = heads.groupBy(F.coalesce("component", "node")).agg(best).select(F.col("best.node").alias("of"), F.col("best.id").alias("id"))
+    # The caller's columns stay inside one struct, so that helper names can't clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kind = T.StructType([T.StructField("row", docs.select(row).schema["row"].dataType), T.StructField("node", T.LongType())])
+    rows = docs.where(worded).select(row, "text").mapInArrow(_with_node, kind)
+    rows = rows.join(chosen, (F.col("node") == F.col("of")) & F.col("row")["doc_id"].eqNullSafe(F.col("id"))).dropDuplicates(["node"])
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(~worded))
