@@ -18,10 +18,15 @@ compared in full. No stretch of that length with the shares below is missed, wha
 Items of over ``PASSAGE`` words are looked up by their passages too: one that is there nearly
 whole (``SURE``) is a leak, however long the item.
 
-The benchmark is handled in blocks of ``ITEMS`` rows, so what tasks receive is bounded.
+Items of under ``LEAST`` words are looked up as they are: a text that holds all their words in a row
+holds them, unless words as common as theirs are in the documents would stand so by chance at least
+once ("the of and"), which tells nothing.
 
-Defined cases: null or empty text is never contaminated, null or empty items match nothing;
-items of under ``LEAST`` words are left out, being too short to tell from prose; repeated rows
+The benchmark is handled in blocks of at most ``ITEMS`` rows and ``ITEM_WORDS`` words (or one longer
+item), so what tasks receive is bounded.
+
+Defined cases: null or empty text is never contaminated, null or empty items match nothing; short
+items whose words would meet by chance match nothing; repeated rows
 are judged one by one; an empty table or benchmark gives an empty result; other columns play
 no part; long texts are searched whole.
 """
@@ -38,10 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from denspark.llm import textops
+from denspark.llm.bits import added_up
 
 PASSAGE, TERMS, RANK, EXTRA = 32, 8192, 48, 8
-#: Items of the benchmark in one pass; least words of an item.
-ITEMS, LEAST = 2000, 8
+#: Items of the benchmark and their words in one pass; words from which paraphrases of an item are looked for.
+ITEMS, ITEM_WORDS, LEAST = 2000, 400_000, 8
 #: Least cosine of a candidate, least share of its distinct terms in the passage (by bitmaps of BITS), and least shares of the item's and the answer's words in common order.
 COSINE, TERMS_SHARED, BITS, SHARED, ANSWER, SURE = 0.5, 0.5, 1024, 0.6, 0.5, 0.8
 #: Rarest words of an item that a place must hold, and the length of a stretch in item lengths.
@@ -69,7 +75,7 @@ def _passages(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _fit(start: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS, _WIDTH + 1), np.float64)
+        total = np.zeros((TERMS, _WIDTH + 2), np.float64)
         passages = 0.0
         for batch in batches:
             weights = batch.column(batch.schema.get_field_index("weight")).to_numpy()
@@ -88,6 +94,7 @@ def _fit(start: np.ndarray):
                 total[sorted_terms[first], :_WIDTH] += np.add.reduceat((z * weight[:, None])[sorted_passages], first)
                 once = np.concatenate([[True], (sorted_terms[1:] != sorted_terms[:-1]) | (sorted_passages[1:] != sorted_passages[:-1])])
                 total[:, _WIDTH] += np.bincount(sorted_terms[once], minlength=TERMS)
+                total[:, _WIDTH + 1] += np.bincount(terms, minlength=TERMS)
                 passages += len(starts)
         for k in range(0, TERMS, _BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK], pa.int32()), pa.array([passages]), pa.array([total[k : k + _BLOCK].astype(np.float32).tobytes()], pa.binary())], names=["block", "passages", "sums"])
@@ -108,20 +115,21 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([passages[block]]), pa.array([own.astype(np.float32).tobytes()], pa.binary())], names=["block", "passages", "sums"])
 
 
-def latent_space(docs: DataFrame, benchmark: DataFrame) -> np.ndarray:
-    """TERMS x RANK: idf times the leading right singular directions of the TF-IDF passages.
+def latent_space(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """TERMS x RANK: idf times the leading right singular directions of the TF-IDF passages; and how often each term stands there.
 
     Benchmark passages weigh as much as the documents' in all, so that the space tells items apart.
     """
     start = _start()
     weight = max(1.0, docs.count() / max(1, benchmark.count()))
     texts = docs.select("text", F.lit(1.0).alias("weight")).unionByName(benchmark.select("text", F.lit(float(weight)).alias("weight")))
-    blocks = texts.mapInArrow(_fit(start), "block int, passages double, sums binary").repartition(TERMS // _BLOCK, "block").mapInArrow(_add_up, "block int, passages double, sums binary").toArrow().to_pylist()
+    schema = "block int, passages double, sums binary"
+    blocks = added_up(texts.mapInArrow(_fit(start), schema), _add_up, schema, TERMS // _BLOCK).toArrow().to_pylist()
     if not blocks:
-        return np.zeros((TERMS, RANK), np.float32)
-    total = np.zeros((TERMS, _WIDTH + 1))
+        return np.zeros((TERMS, RANK), np.float32), np.zeros(TERMS)
+    total = np.zeros((TERMS, _WIDTH + 2))
     for x in blocks:
-        total[x["block"] * _BLOCK : (x["block"] + 1) * _BLOCK] = np.frombuffer(x["sums"], np.float32).reshape(_BLOCK, _WIDTH + 1)
+        total[x["block"] * _BLOCK : (x["block"] + 1) * _BLOCK] = np.frombuffer(x["sums"], np.float32).reshape(_BLOCK, _WIDTH + 2)
     idf = np.log((blocks[0]["passages"] + 1) / (total[:, _WIDTH] + 1))
     idf[total[:, _WIDTH] == 0] = 0
     # With A = T diag(idf): A'A omega for omega = start / idf; Nystroem's core gives the rotation.
@@ -132,7 +140,7 @@ def latent_space(docs: DataFrame, benchmark: DataFrame) -> np.ndarray:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     # Directions weigh alike: otherwise the first, what all prose has in common, hides the rest.
     scale = 1 / np.sqrt(np.maximum(values[::-1][:RANK], 1e-9 * max(1e-9, values[-1])))
-    return (idf[:, None] * (q @ vectors[:, ::-1][:, :RANK]) * scale).astype(np.float32)
+    return (idf[:, None] * (q @ vectors[:, ::-1][:, :RANK]) * scale).astype(np.float32), total[:, _WIDTH + 1]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -164,18 +172,31 @@ def least(share: float, n: int) -> int:
     return -int(-(share * n - 1e-9) // 1)
 
 
+def by_chance(terms: np.ndarray, counts: np.ndarray | None) -> bool:
+    """Whether words as common as these would stand in a row at least once by chance in all documents."""
+    if counts is None or not counts.sum():
+        return False
+    return bool(np.log(counts.sum()) + np.log(np.maximum(counts[terms], 0.5) / counts.sum()).sum() >= 0)
+
+
 class Items:
-    """Benchmark items of one block: their word hashes, answers, latent pieces and index of rarest words."""
+    """Benchmark items of one block: their word hashes, answers, latent pieces and index of rarest words.
+
+    ``counts``: how often each term stands in the documents, where short items are to be judged by chance.
+    """
 
-    def __init__(self, rows: list, space: np.ndarray):
+    def __init__(self, rows: list, space: np.ndarray, counts: np.ndarray | None = None):
         self.ids, self.words, self.answers, vectors, self.owner, terms = [], [], [], [], [], []
         self.pieces, self.whole = [], []
+        short: dict[int, list] = {}
         for item_id, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             words = textops.Words(raw, np.array([0, len(raw)]))
+            own_terms = _terms(words)
             if len(words.hashes) < LEAST:
+                if len(words.hashes) and not by_chance(own_terms, counts):
+                    short.setdefault(len(words.hashes), []).append((item_id, words))
                 continue
-            own_terms = _terms(words)
             own = space[own_terms]
             cuts = [(0, len(own))]
             if len(own) > PASSAGE:
@@ -195,8 +216,26 @@ class Items:
         self.terms = np.array(terms, np.uint8).reshape(len(terms), BITS // 8).view(np.uint64)
         self.distinct = np.bitwise_count(self.terms).sum(1)
         self.latent = _unit(np.array(vectors, np.float32).reshape(len(vectors), RANK)).T.copy()
+        # By their number of words: a hash of the words in a row, sorted, and the items.
+        self.short = {}
+        for n, known in short.items():
+            hashes = np.array([textops.windows(w.hashes, w.bounds, n)[0][0] for _, w in known], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[order], [known[i][0] for i in order.tolist()], [known[i][1].hashes for i in order.tolist()]
         self._index()
 
+    def in_a_row(self, words: textops.Words) -> Iterator[tuple[int, int, int]]:
+        """(document, item id, first word) where all words of a short item stand in a row."""
+        for n, (hashes, ids, own) in self.short.items():
+            found, bounds = textops.windows(words.hashes, words.bounds, n)
+            low, high = np.searchsorted(hashes, found), np.searchsorted(hashes, found, "right")
+            for at in np.flatnonzero(high > low).tolist():
+                d = int(np.searchsorted(bounds, at, "right")) - 1
+                first = int(words.bounds[d] + at - bounds[d])
+                for k in range(low[at], high[at]):
+                    if (words.hashes[first : first + n] == own[k]).all():
+                        yield d, ids[k], first
+
     def _index(self) -> None:
         """Postings (word, piece) of the rarest words of each piece; the order of words only decides the cost."""
         counts = Counter(x for words in self.words for x in set(words))
@@ -264,8 +303,13 @@ def matches(raw: np.ndarray, offs: np.ndarray, items: Items, space: np.ndarray)
     words = textops.Words(raw, offs)
     half = PASSAGE // 2
     starts, ends = _passages(words.bounds, half)
-    if not len(starts) or not len(items.ids):
+    if not len(starts):
         return []
+    found = {}
+    for d, item, _ in items.in_a_row(words):
+        found[d, ("short", item)] = (d, item, 1.0, 1.0, 1.0)
+    if not len(items.ids):
+        return list(found.values())
     terms = _terms(words)
     sums = np.add.reduceat(space[terms], starts)
     held = np.zeros((len(starts), BITS), bool)
@@ -281,7 +325,7 @@ def matches(raw: np.ndarray, offs: np.ndarray, items: Items, space: np.ndarray)
     common = np.bitwise_count(held[at] & items.terms[piece]).sum(1)
     likely = common >= TERMS_SHARED * items.distinct[piece]
     at, piece = at[likely], piece[likely]
-    found, tried = {}, set()
+    tried = set()
     for w, p in sorted(zip(at.tolist(), piece.tolist(), strict=True), key=lambda x: -cosine[x]):
         d, i = int(doc[w]), int(items.owner[p])
         if (d, i) in found or (w, i) in tried:
@@ -309,7 +353,7 @@ def matches(raw: np.ndarray, offs: np.ndarray, items: Items, space: np.ndarray)
             begin, share, told = hit
             own = space[terms[low + begin : min(high, low + begin + int(items.spans[p]))]].sum(0, keepdims=True)
             found[d, i] = (d, items.ids[i], round(float((_unit(own) @ items.latent[:, p])[0]), 3), share, told)
-    return [found[k] for k in sorted(found)]
+    return [found[k] for k in sorted(found, key=str)]
 
 
 def _searcher(items: Items, space: np.ndarray):
@@ -336,29 +380,36 @@ def _cleaner(items: Items, space: np.ndarray):
     return run
 
 
-def item_blocks(benchmark: DataFrame, space: np.ndarray) -> Iterator[Items]:
-    """The benchmark in blocks of ITEMS rows, ordered by item_id and text."""
+def item_blocks(benchmark: DataFrame, space: np.ndarray, counts: np.ndarray | None = None) -> Iterator[Items]:
+    """The benchmark in blocks of at most ITEMS rows and about ITEM_WORDS words, ordered by item_id and text."""
     rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator()
     block: list = []
+    size = 0
     for x in rows:
+        n = len(x["text"].split())
+        if block and (len(block) == ITEMS or size + n > ITEM_WORDS):
+            yield Items(block, space, counts)
+            block, size = [], 0
         block.append((x["item_id"], x["text"]))
-        if len(block) == ITEMS:
-            yield Items(block, space)
-            block = []
+        size += n
     if block:
-        yield Items(block, space)
+        yield Items(block, space, counts)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): the benchmark items that documents hold."""
-    space = latent_space(docs, benchmark)
-    found = [docs.select("doc_id", "text").mapInArrow(_searcher(items, space), _MATCH) for items in item_blocks(benchmark, space)]
+    space, counts = latent_space(docs, benchmark)
+    found = [docs.select("doc_id", "text").mapInArrow(_searcher(items, space), _MATCH) for items in item_blocks(benchmark, space, counts)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _MATCH)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns as they were; no shuffle."""
-    space = latent_space(docs, benchmark)
-    for items in item_blocks(benchmark, space):
+    """The documents that hold no benchmark item, with their columns as they were; no shuffle.
+
+    Null and empty texts stay, repeated rows are judged one by one, an empty benchmark drops nothing, an
+    empty table stays empty, and columns of any name are no special case.
+    """
+    space, counts = latent_space(docs, benchmark)
+    for items in item_blocks(benchmark, space, counts):
         docs = docs.mapInArrow(_cleaner(items, space), docs.schema)
     return docs
