@@ -2,9 +2,10 @@
 
 Presence of hashed character n-grams is counted by class over a bounded sample of labelled
 rows (``TRAIN_ROWS``, smallest hashes of the id first). The log-count ratio of each n-gram
-scales its feature; the ``FEATURES`` n-grams whose ratio stands out most from its sampling
-error get a weight by logistic regression. The model is a table of fixed size, so scoring is
-one Arrow pass over all documents whatever their number.
+scales its feature. Logistic regression weighs them: the ``FEATURES`` n-grams whose ratio stands out
+most from its sampling error each get a weight of their own, all others share one, on their mean
+ratio in the text. So every n-gram that training saw counts, and the model is a table of fixed
+size; scoring is one Arrow pass over all documents whatever their number.
 
 Defined cases: null or empty text has no n-gram and gets the score of the intercept; rows of
 ``labels`` without a doc_id or a toxic mark are left out, several marks of one document count
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from denspark.lineage import table
 from denspark.llm import textops
 
-#: Bounds of the model: labelled rows learned from, hash buckets of n-grams, features kept.
+#: Bounds of the model: labelled rows learned from, hash buckets of n-grams, n-grams with a weight of their own.
 TRAIN_ROWS, BUCKETS, FEATURES = 12_000, 1 << 18, 2048
 SIZES = (4, 5)
 SMOOTHING, PENALTY, STEPS = 1.0, 2.0, 120
@@ -34,10 +35,11 @@ _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np
 
 @dataclass(frozen=True)
 class Model:
-    """``slot`` maps a bucket to a feature (-1: none); ``weight`` has the scaled weight of each feature."""
+    """``slot`` maps a bucket to a feature (-1: none); ``weight`` has the scaled weight of each feature, ``rest`` that of other buckets."""
 
     slot: np.ndarray
     weight: np.ndarray
+    rest: np.ndarray
     intercept: float
 
 
@@ -66,16 +68,22 @@ def buckets(points: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def presence(raw: np.ndarray, offs: np.ndarray, slot: np.ndarray, n_features: int) -> np.ndarray:
-    """Documents x features: which features each document of a slice holds."""
+def presence(raw: np.ndarray, offs: np.ndarray, slot: np.ndarray, n_features: int, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents x features: which features each document of a slice holds; and the mean of ``rest`` over its n-grams."""
     points, ends = characters(raw, offs)
-    held = np.zeros((len(offs) - 1, n_features), bool)
-    doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(ends))
+    n = len(offs) - 1
+    held = np.zeros((n, n_features), bool)
+    total, grams = np.zeros(n), np.zeros(n)
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
     for size in SIZES:
-        feature = slot[buckets(points, ends, size)]
+        bucket = buckets(points, ends, size)
+        own = doc[: len(bucket)]
+        feature = slot[bucket]
         at = np.flatnonzero(feature >= 0)
-        held[doc[at], feature[at]] = True
-    return held
+        held[own[at], feature[at]] = True
+        total += np.bincount(own, rest[bucket], n)
+        grams += np.maximum(np.diff(ends) - size + 1, 0)
+    return held, total / np.maximum(grams, 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +100,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[1, used]), pa.array(counts[0, used])], names=["bucket", "toxic", "clean"])
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on features scaled by ``ratio``: full-batch gradient with momentum from the naive Bayes start."""
-    x = x.astype(np.float32) * ratio.astype(np.float32)
+def _fit(x: np.ndarray, mean: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Logistic regression on features scaled by ``ratio`` and on ``mean``: full-batch gradient with momentum. Weights, that of ``mean``, intercept."""
+    middle, spread = float(mean.mean()), float(max(mean.std(), 1e-9))
+    x = np.hstack([x.astype(np.float32) * ratio.astype(np.float32), ((mean - middle) / spread)[:, None].astype(np.float32)])
     w, b = np.zeros(x.shape[1], np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     step = np.float32(4 / max(1e-9, float((x * x).sum(1).mean())))
     vw, vb = np.zeros_like(w), 0.0
@@ -105,7 +114,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, f
         vw = keep * vw - step * (e @ x / len(y) + np.float32(PENALTY / len(y)) * w)
         vb = float(keep) * vb - float(e.mean())
         w, b = w + vw, b + vb
-    return w * ratio, b
+    return w[:-1] * ratio, float(w[-1]) / spread, b - float(w[-1]) * middle / spread
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -119,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     n_toxic, n = sizes["t"] or 0, sizes["n"]
     slot = np.full(BUCKETS + 1, -1, np.int16)
     if not 0 < n_toxic < n:
-        return Model(slot, np.zeros(1), float(np.log((n_toxic + 0.5) / (n - n_toxic + 1))))
+        return Model(slot, np.zeros(1), np.zeros(BUCKETS + 1, np.float32), float(np.log((n_toxic + 0.5) / (n - n_toxic + 1))))
     # BUCKETS rows at most reach the driver.
     counts = learned.mapInArrow(_count, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).toArrow()
     bucket, t, c = (counts.column(k).to_numpy() for k in ("bucket", "t", "c"))
@@ -127,21 +136,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     clear = np.abs(ratio) / np.sqrt(1 / (t + SMOOTHING) + 1 / (c + SMOOTHING))
     best = np.lexsort((bucket, -clear))[:FEATURES]
     slot[bucket[best]] = np.arange(len(best))
+    rest = np.zeros(BUCKETS + 1, np.float32)
+    rest[bucket] = ratio
+    rest[bucket[best]] = 0
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(batch.schema.get_field_index("toxic"))
             for row, raw, offs in textops.slices(textops.text_column(batch)):
-                bits = np.packbits(presence(raw, offs, slot, len(best)), axis=1)
-                yield pa.RecordBatch.from_arrays([toxic.slice(row, len(bits)).cast(pa.int32()), pa.array([x.tobytes() for x in bits], pa.binary())], names=["toxic", "bits"])
+                held, mean = presence(raw, offs, slot, len(best), rest)
+                bits = np.packbits(held, axis=1)
+                yield pa.RecordBatch.from_arrays([toxic.slice(row, len(bits)).cast(pa.int32()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(mean)], names=["toxic", "bits", "mean"])
 
     # ``rows`` rows of FEATURES bits at most reach the driver.
-    seen = learned.mapInArrow(design, "toxic int, bits binary").toArrow()
+    seen = learned.mapInArrow(design, "toxic int, bits binary, mean double").toArrow()
     packed = np.frombuffer(b"".join(seen.column("bits").to_pylist()), np.uint8).reshape(seen.num_rows, -1)
-    order = np.lexsort(packed[:, :8].T)
+    mean = seen.column("mean").to_numpy()
+    order = np.lexsort((mean, *packed[:, :8].T))
     x = np.unpackbits(packed[order], axis=1)[:, : len(best)]
-    weight, intercept = _fit(x, seen.column("toxic").to_numpy()[order], ratio[best])
-    return Model(slot, weight, intercept)
+    weight, common, intercept = _fit(x, mean[order], seen.column("toxic").to_numpy()[order], ratio[best])
+    return Model(slot, weight, rest * np.float32(common), intercept)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -151,7 +165,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for row, raw, offs in textops.slices(textops.text_column(batch)):
-                z = presence(raw, offs, model.slot, len(model.weight)) @ model.weight.astype(np.float32) + model.intercept
+                held, mean = presence(raw, offs, model.slot, len(model.weight), model.rest)
+                z = held @ model.weight.astype(np.float32) + mean + model.intercept
                 yield pa.RecordBatch.from_arrays([ids.slice(row, len(z)), pa.array(1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30))))], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, score double")
