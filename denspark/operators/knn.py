@@ -1,22 +1,32 @@
-"""Nearest neighbours: exact search in blocks, range join, and a hashed approximate search.
+"""Nearest neighbours: exact search in groups, range join, and an approximate search of measured recall.
 
 Points are (id, item). Results are (query, id, distance, rank), ordered by (distance, id).
+
+Metrics that work on arrays are searched group against group: a task gets two groups of points as
+Arrow batches, holds one and streams the other past it. Euclidean distances are first estimated by
+a matrix product; those that can matter are worked out as differences, so that results and ties are
+the same as by definition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from denspark.functions.distance import EUCLIDEAN, Metric
 from denspark.lineage import cut
 
-#: Points in a block; a task holds two blocks and their distances.
-BLOCK = 2000
+#: Points of a group, least points that are worth a group, distances held at once, pairs worked out at once.
+GROUP, LEAST, TILE, EXACT = 20_000, 250, 2_000_000, 100_000
+#: Cells of the approximate search at most; its sample of queries, and the share of their neighbours that the cells looked into must hold.
+CELLS, SAMPLE, TARGET = 1 << 14, 256, 0.95
+_FOUND = "query long, id long, distance float"
+
+Rows = dict[str, np.ndarray]
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -33,109 +43,302 @@ def brute_force(points: DataFrame, k: int, queries: DataFrame | None = None, met
     return best(pairs.select("query", "id", metric.column(F.col("_q"), F.col("item")).alias("distance")), k)
 
 
-def blocks(points: DataFrame, size: int = BLOCK, n: int | None = None) -> DataFrame:
-    """(block, ids, items, extra...): points packed by a hash of their id into blocks of about ``size``."""
-    n = points.count() if n is None else n
-    count = max(1, -(-n // size))
-    return points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count))).groupBy("block").agg(F.collect_list(F.struct(*points.columns)).alias("rows"))
+def _column(values: pa.Array) -> np.ndarray:
+    if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _rows(parts: list[pa.RecordBatch], names: list[str]) -> Rows:
+    return {name: np.concatenate([_column(p.column(p.schema.get_field_index(name))) for p in parts]) for name in names}
+
+
+def _length(rows: Rows) -> int:
+    return len(rows["id"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of rows equal in ``keys``, as they stream past in batches."""
+    for batch in batches:
+        if batch.num_rows:
+            of = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in of], axis=0)) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
+                yield tuple(int(x[a]) for x in of), batch.slice(a, b - a)
 
 
-def _stack(rows) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["id"] for r in rows]), np.array([r["item"] for r in rows])
+def _held_and_streamed(meet: Callable[[Rows, Rows, bool], Iterator[pa.RecordBatch]], names: list[str], n_keys: int, alone: bool):
+    """For rows sorted by keys and role: those of role 0 are held, and those of role 1 meet them as they stream past.
+
+    With ``alone`` a group without a second one meets itself.
+    """
+    keys = [f"key{i}" for i in range(n_keys)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held = None, [], None
+        for (*key, role), part in _runs(batches, [*keys, "role"]):
+            if key != at:
+                if alone and parts and held is None:
+                    own = _rows(parts, names)
+                    yield from meet(own, own, True)
+                at, parts, held = key, [], None
+            if role == 0:
+                parts.append(part)
+            elif parts:
+                held = _rows(parts, names) if held is None else held
+                yield from meet(held, _rows([part], names), False)
+        if alone and parts and held is None:
+            own = _rows(parts, names)
+            yield from meet(own, own, True)
+
+    return run
 
 
-def exact_knn(points: DataFrame, k: int, metric: Metric = EUCLIDEAN, block: int = BLOCK) -> DataFrame:
-    """Exact neighbours, block against block in NumPy.
+def groups_of(n: int, tasks: int) -> int:
+    """Groups for n points: bounded in size, and enough to keep ``tasks`` tasks busy where points are worth it."""
+    return max(1, -(-n // GROUP), min(int(np.ceil(np.sqrt(2 * tasks))), n // LEAST))
 
-    The pairs of blocks are joined, never pairs of points; each task keeps k candidates a query, so
-    the shuffle is k rows for each query and block. Work grows with the square of the points, as
-    any exact search of unindexed points does; see :func:`approximate_knn`.
+
+def meet_all(points: DataFrame, meet: Callable[[Rows, Rows, bool], Iterator[pa.RecordBatch]], schema: str, n: int | None = None) -> DataFrame:
+    """What ``meet`` (rows, rows, whether they are the same) gives for every unordered pair of groups of points, itself included.
+
+    A point travels once for each group, and a pair of groups is a task.
+    """
+    spark = points.sparkSession
+    count = groups_of(points.count() if n is None else n, spark.sparkContext.defaultParallelism)
+    rows = points.select("*", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("group"))
+    rows = rows.select(*points.columns, "group", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other"))
+    keyed = rows.select(F.least("group", "other").alias("key0"), F.greatest("group", "other").alias("key1"), (F.col("group") > F.col("other")).cast("int").alias("role"), *points.columns)
+    dealt = keyed.repartition(max(1, count * (count + 1) // 2), "key0", "key1").sortWithinPartitions("key0", "key1", "role")
+    return dealt.mapInArrow(_held_and_streamed(meet, points.columns, 2, True), schema)
+
+
+def _near(q: Rows, c: Rows, metric: Metric, reach: Callable[[np.ndarray], np.ndarray], weigh: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of pairs within ``reach``, tile by tile.
+
+    ``reach``: the limit of each row of (estimated) distances; ``weigh``: (distances, i, j) -> what is
+    compared with it, infinite for pairs that don't count (i, j are places or slices of them).
+    """
+    a, b = q["item"], c["item"]
+    squares = metric is EUCLIDEAN or metric.name == EUCLIDEAN.name
+    if squares:
+        a, b = a.astype(np.float64), b.astype(np.float64)
+        na, nb = (a * a).sum(1), (b * b).sum(1)
+        squares = bool(np.isfinite(na).all() and np.isfinite(nb).all())
+    step = max(1, TILE // max(1, len(b)))
+    for at in range(0, len(a), step):
+        rows = slice(at, min(len(a), at + step))
+        if squares:
+            d = np.sqrt(np.maximum(na[rows, None] + nb[None] - 2 * (a[rows] @ b.T), 0))
+            slack = 2e-6 * np.sqrt(na[rows] + nb.max(initial=0.0))
+        else:
+            d = metric.block(q["item"][rows], c["item"])
+            slack = np.zeros(len(d))
+        w = d if weigh is None else weigh(d, rows, slice(None))
+        limit = reach(w)
+        with np.errstate(invalid="ignore"):
+            # Not "within": distances that are no numbers come out as well.
+            i, j = np.nonzero(~(w > (limit * (1 + 5e-7) + slack)[:, None]))
+        if not squares:
+            yield i + at, j, d[i, j]
+            continue
+        for k in range(0, len(i), EXACT):
+            x, y = i[k : k + EXACT] + at, j[k : k + EXACT]
+            yield x, y, np.sqrt(((b[y] - a[x]) ** 2).sum(1)).astype(np.float32)
+
+
+def _top(q: Rows, c: Rows, k: int, metric: Metric, skip_self: bool) -> Iterator[pa.RecordBatch]:
+    """(query, id, distance): the k nearest of c to each of q, some more where distances are equal to rounding."""
+
+    def reach(d: np.ndarray) -> np.ndarray:
+        most = min(k, d.shape[1]) - 1
+        limit = np.partition(d, most, axis=1)[:, most]
+        return np.where(np.isnan(limit), np.inf, limit)
+
+    def others(d: np.ndarray, i, j) -> np.ndarray:
+        return np.where(q["id"][i][:, None] == c["id"][j][None], np.inf, d)
+
+    if not len(q["id"]) or not len(c["id"]):
+        return
+    for i, j, distance in _near(q, c, metric, reach, others if skip_self else None):
+        keep = q["id"][i] != c["id"][j] if skip_self else np.ones(len(i), bool)
+        i, j, distance = i[keep], j[keep], distance[keep]
+        order = np.lexsort((c["id"][j], distance, i))
+        i, j, distance = i[order], j[order], distance[order]
+        # Tiles end within a row at times; the final choice is made by all of a query's rows together.
+        first = np.searchsorted(i, i)
+        near = np.arange(len(i)) - first < k
+        yield pa.RecordBatch.from_arrays([pa.array(q["id"][i[near]]), pa.array(c["id"][j[near]]), pa.array(distance[near], pa.float32())], names=["query", "id", "distance"])
+
+
+def exact_knn(points: DataFrame, k: int, metric: Metric = EUCLIDEAN) -> DataFrame:
+    """Exact neighbours. Each task keeps k candidates a query, so the shuffle is k rows for each query and group.
+
+    Work grows with the square of the points, as any exact search of unindexed points does; see
+    :func:`approximate_knn`.
     """
     if metric.block is None:
         return brute_force(points, k, metric=metric)
     if k < 1:
-        return points.sparkSession.createDataFrame([], "query long, id long, distance float, rank int")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                (qid, q), (cid, c) = _stack(a), _stack(b)
-                by = np.argsort(cid, kind="stable")
-                cid, c = cid[by], c[by]
-                d = metric.block(q, c)
-                d = np.where(qid[:, None] == cid[None], np.inf, d)
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                out = pd.DataFrame({"query": np.repeat(qid, near.shape[1]), "id": cid[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()})
-                yield out[out["query"] != out["id"]]
-
-    packed = cut(blocks(points.select("id", "item"), block))
-    left, right = packed.select(F.col("rows").alias("a")), packed.select(F.col("rows").alias("b"))
-    tasks = left.crossJoin(right).repartition(max(1, min(2000, packed.count() ** 2)))
-    return best(tasks.mapInPandas(search, "query long, id long, distance float"), k)
-
-
-def approximate_knn(points: DataFrame, k: int, dimension: int, tables: int = 8, bits: int | None = None, seed: int = 7) -> DataFrame:
-    """Neighbours among points that share a bucket of random hyperplanes in one of ``tables`` tables (Euclidean).
-
-    Buckets are split into blocks of bounded size that meet block by block, so a crowded bucket is
-    many tasks. Recall is to be measured with :func:`denspark.operators.quality.recall`.
+        return points.sparkSession.createDataFrame([], _FOUND + ", rank int")
+
+    def meet(a: Rows, b: Rows, same: bool) -> Iterator[pa.RecordBatch]:
+        yield from _top(a, b, k, metric, True)
+        if not same:
+            yield from _top(b, a, k, metric, True)
+
+    return best(meet_all(points.select(F.col("id").cast("long").alias("id"), "item"), meet, _FOUND), k)
+
+
+def search(points: DataFrame, queries: DataFrame, ef: int, metric: Metric = EUCLIDEAN, with_self: bool = True) -> DataFrame:
+    """The ``ef`` nearest items of each query (id, item); with ``with_self`` a query that is itself a point comes with it.
+
+    Queries are held, GROUP at a time, and the points stream past them.
     """
+    if metric.block is None:
+        return brute_force(points, ef, queries, metric, with_self)
+    spark = points.sparkSession
+    held = max(1, -(-queries.count() // GROUP))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // held)
+
+    def meet(q: Rows, c: Rows, same: bool) -> Iterator[pa.RecordBatch]:
+        yield from _top(q, c, ef, metric, not with_self)
+
+    mine = [F.col("id").cast("long").alias("id"), F.col("item")]
+    own = F.pmod(F.xxhash64("id"), F.lit(held)).cast("int")
+    rows = queries.select(own.alias("key0"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("key1"), F.lit(0).alias("role"), *mine)
+    lots = points.select(F.explode(F.sequence(F.lit(0), F.lit(held - 1))).alias("key0"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("key1"), F.lit(1).alias("role"), *mine)
+    dealt = rows.unionByName(lots).repartition(held * parts, "key0", "key1").sortWithinPartitions("key0", "key1", "role")
+    return best(dealt.mapInArrow(_held_and_streamed(meet, ["id", "item"], 2, False), _FOUND), ef)
+
+
+def _nearest_cells(x: np.ndarray, centres: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` nearest centres of each vector, nearest first."""
+    x, c = x.astype(np.float64), centres.astype(np.float64)
+    d = (c * c).sum(1)[None] - 2 * (x @ c.T)
+    if most < len(c):
+        near = np.argpartition(d, most - 1, axis=1)[:, :most]
+        return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+    return np.argsort(d, axis=1, kind="stable")
+
+
+def approximate_knn(points: DataFrame, k: int, target: float = TARGET, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+    """Neighbours (Euclidean) among the points of the cells around each point.
+
+    Up to CELLS sampled points are centres of cells; every point lies in the cell of its nearest centre
+    and looks into those of its nearest few. How many that must be is measured: the exact neighbours of
+    ``sample`` points are found in one pass, and so many cells are looked into that they hold the share
+    ``target`` of them, whatever the number of points. Where that is over a third of all cells the
+    index is no use, and the search is exact. Only centres and sample reach the driver and tasks;
+    crowded cells are split into parts of at most about GROUP points.
+    """
+    if k < 1:
+        return exact_knn(points, k)
+    points = points.select(F.col("id").cast("long").alias("id"), "item")
     n = points.count()
-    bits = max(1, int(np.log2(max(2, n / 200)))) if bits is None else bits
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((tables, bits, dimension)).astype(np.float32)
-    centre = points.agg(*[F.avg(F.col("item")[j]).alias(str(j)) for j in range(dimension)]).first()
-    middle = np.array([centre[j] for j in range(dimension)], np.float32)
-
-    def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["item"].tolist(), np.float32).reshape(len(pdf), dimension) - middle
-            for t in range(tables):
-                keys = ((x @ planes[t].T > 0) * (1 << np.arange(bits))).sum(1)
-                yield pd.DataFrame({"table": t, "bucket": keys, "id": pdf["id"], "item": pdf["item"]})
-
-    hashed = points.select("id", "item").mapInPandas(bucket, "table int, bucket long, id long, item array<float>")
-    packed = hashed.groupBy("table", "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, n // BLOCK))).alias("part")).agg(F.collect_list(F.struct("id", "item")).alias("rows"))
-    packed = cut(packed)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                (qid, q), (cid, c) = _stack(a), _stack(b)
-                d = np.where(qid[:, None] == cid[None], np.inf, EUCLIDEAN.block(q, c))
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                out = pd.DataFrame({"query": np.repeat(qid, near.shape[1]), "id": cid[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()})
-                yield out[out["query"] != out["id"]]
-
-    left = packed.select("table", "bucket", F.col("rows").alias("a"))
-    right = packed.select("table", "bucket", F.col("rows").alias("b"))
-    found = left.join(right, ["table", "bucket"]).select("a", "b").mapInPandas(search, "query long, id long, distance float")
-    return best(found.groupBy("query", "id").agg(F.min("distance").alias("distance")), k)
+    cells = min(CELLS, int(np.sqrt(n)))
+    if cells < 8:
+        return exact_knn(points, k)
+    picked = _rows(points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(cells + sample).toArrow().combine_chunks().to_batches(), ["id", "item"])
+    centres = picked["item"][:cells]
+    asked = {name: x[-sample:] for name, x in picked.items()}
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = _rows([batch], ["id", "item"])
+                place = dict(zip(own["id"].tolist(), range(len(own["id"])), strict=True))
+                for found in _top(asked, own, k, EUCLIDEAN, True):
+                    at = np.array([place[i] for i in found.column(1).to_pylist()], np.int64)
+                    yield found.append_column("cell", pa.array(_nearest_cells(own["item"][at], centres, 1)[:, 0], pa.int32()))
+
+    known = points.mapInArrow(look, _FOUND + ", cell int")
+    order = Window.partitionBy("query").orderBy("distance", "id")
+    known = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "cell").toArrow()
+    where = {q: r for q, r in zip(asked["id"].tolist(), np.argsort(_nearest_cells(asked["item"], centres, cells), axis=1), strict=True)}
+    ranks = np.sort([where[q][c] for q, c in zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True)])
+    looked = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1
+    if 3 * looked > cells:
+        return exact_knn(points, k)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                near = _nearest_cells(_column(part.column(1)), centres, looked)
+                for r in range(looked + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(near[:, max(0, r - 1)], pa.int32()), pa.array(np.full(len(near), min(r, 1)), pa.int32()), *part.columns], names=["key0", "role", "id", "item"])
+
+    kind = points.schema["item"].dataType.simpleString()
+    placed = points.mapInArrow(place, f"key0 int, role int, id long, item {kind}")
+    # CELLS rows at most.
+    parts = cut(placed.where("role = 0").groupBy("key0").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")))
+    placed = placed.join(F.broadcast(parts), "key0")
+    part = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    placed = placed.select("key0", F.explode(part).alias("key1"), "role", "id", "item")
+    number = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (looked + 1) // (GROUP * 10))
+    dealt = placed.repartition(number, "key0", "key1").sortWithinPartitions("key0", "key1", "role")
+
+    def meet(stored: Rows, queries: Rows, same: bool) -> Iterator[pa.RecordBatch]:
+        yield from _top(queries, stored, k, EUCLIDEAN, True)
+
+    return best(dealt.mapInArrow(_held_and_streamed(meet, ["id", "item"], 2, False), _FOUND), k)
 
 
 def similarity_join(points: DataFrame, eps: float, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """Pairs source < target within ``eps``, block against block where the metric allows."""
+    """Pairs source < target within ``eps``, group against group where the metric allows."""
     if metric.block is None:
         right = points.select(F.col("id").alias("target"), F.col("item").alias("_b"))
         pairs = points.join(right, F.col("id") < F.col("target"))
         return pairs.select(F.col("id").alias("source"), "target", metric.column(F.col("item"), F.col("_b")).alias("distance")).where(F.col("distance") <= eps)
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                (qid, q), (cid, c) = _stack(a), _stack(b)
-                d = metric.block(q, c)
-                i, j = np.nonzero((d <= eps) & (qid[:, None] < cid[None]))
-                yield pd.DataFrame({"source": qid[i], "target": cid[j], "distance": d[i, j]})
+    def meet(a: Rows, b: Rows, same: bool) -> Iterator[pa.RecordBatch]:
+        for i, j, d in _near(a, b, metric, lambda w: np.full(len(w), float(eps))):
+            s, t = a["id"][i], b["id"][j]
+            keep = (d <= eps) & ((s < t) if same else True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)[keep]), pa.array(np.maximum(s, t)[keep]), pa.array(d[keep], pa.float32())], names=["source", "target", "distance"])
 
-    packed = cut(blocks(points.select("id", "item")))
-    left, right = packed.select(F.col("rows").alias("a")), packed.select(F.col("rows").alias("b"))
-    return left.crossJoin(right).repartition(max(1, min(2000, packed.count() ** 2))).mapInPandas(near, "source long, target long, distance float")
+    return meet_all(points.select(F.col("id").cast("long").alias("id"), "item"), meet, "source long, target long, distance float")
 
 
-def search(points: DataFrame, queries: DataFrame, ef: int, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """The ``ef`` nearest items of each query (id, item); a query that is itself a point comes with it."""
-    return brute_force(points, ef, queries, metric, with_self=True)
+def lightest_edges(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
+    """(tree, source, target, weight, sequence): candidates for the lightest edge that leaves each tree.
+
+    ``points``: id, item, core, tree. A weight is the largest of distance and both core distances; each
+    task gives one edge a tree and group at most.
+    """
+
+    def one(q: Rows, c: Rows) -> Iterator[pa.RecordBatch]:
+        def weigh(d: np.ndarray, i, j) -> np.ndarray:
+            w = np.maximum(np.maximum(d, q["core"][i][:, None]), c["core"][j][None])
+            return np.where(q["tree"][i][:, None] == c["tree"][j][None], np.inf, w)
+
+        def reach(w: np.ndarray) -> np.ndarray:
+            least = w.min(1)
+            # Rows without another tree have no edge.
+            return np.where(np.isfinite(least), least, -np.inf)
+
+        found = []
+        for i, j, d in _near(q, c, metric, reach, weigh):
+            w = np.maximum(np.maximum(d, q["core"][i]), c["core"][j]).astype(np.float32)
+            s, t = np.minimum(q["id"][i], c["id"][j]), np.maximum(q["id"][i], c["id"][j])
+            keep = q["tree"][i] != c["tree"][j]
+            rows = [x[keep] for x in (q["tree"][i], w, s, t)]
+            order = np.lexsort(rows[::-1])
+            rows = [x[order] for x in rows]
+            first = np.concatenate([[True], rows[0][1:] != rows[0][:-1]]) if len(order) else np.zeros(0, bool)
+            found.append([x[first] for x in rows])
+        if found:
+            tree, w, s, t = (np.concatenate([f[k] for f in found]) for k in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(s), pa.array(t), pa.array(w, pa.float32()), pa.array(np.zeros(len(s), np.int64))], names=["tree", "source", "target", "weight", "sequence"])
+
+    def meet(a: Rows, b: Rows, same: bool) -> Iterator[pa.RecordBatch]:
+        yield from one(a, b)
+        if not same:
+            yield from one(b, a)
+
+    own = points.select(F.col("id").cast("long").alias("id"), "item", F.col("core").cast("float").alias("core"), F.col("tree").cast("long").alias("tree"))
+    return meet_all(own, meet, "tree long, source long, target long, weight float, sequence long")
 
 
 def adjacency(neighbours: DataFrame, m: int = 16) -> DataFrame:

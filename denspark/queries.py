@@ -376,7 +376,7 @@ def blobs_agreement(spark, sf_dir):
 
 @query()
 def approximate_recall(spark, sf_dir):
-    """Recall at 10 of the hashed search against the exact one."""
+    """Recall at 10 of the approximate search, as it is set by default, against the exact one."""
     points = cut(_vectors(spark, sf_dir))
-    found = knn.approximate_knn(points, 10, 64, tables=16, bits=2)
+    found = knn.approximate_knn(points, 10)
     return quality.total_recall(quality.recall(knn.exact_knn(points, 10), found, 10))

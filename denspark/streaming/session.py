@@ -15,7 +15,7 @@ from denspark.errors import DATA_SOURCE, ENGINE
 from denspark.functions.distance import EUCLIDEAN, Metric
 from denspark.functions.scalar import effective_ef
 from denspark.operators.density import candidate_edges, core_distances
-from denspark.operators.knn import brute_force
+from denspark.operators.knn import search
 
 
 class ClusteringSession:
@@ -64,7 +64,7 @@ class ClusteringSession:
         old = self.table("points")
         points = old.unionByName(new)
         n = points.count()
-        near = brute_force(points, effective_ef(n, self.config.min_cluster_size, self.config.params.ef_construction), new, self.metric)
+        near = search(points, new, effective_ef(n, self.config.min_cluster_size, self.config.params.ef_construction), self.metric, with_self=False)
         edges = candidate_edges(near).join(self.table("edges").select("source", "target"), ["source", "target"], "left_anti")
         dirty = new.select("id", F.lit(None).cast("float").alias("core"), F.lit(True).alias("dirty"))
         self._write({"points": points, "edges": self.table("edges").unionByName(edges), "core": self.table("core").unionByName(dirty), "rejects": self.table("rejects").unionByName(rejects)}, batch)
@@ -98,7 +98,7 @@ class ClusteringSession:
     def _cores(self, queries: DataFrame) -> DataFrame:
         points = self.table("points")
         k = effective_ef(points.count(), self.config.min_cluster_size, self.config.params.ef_construction)
-        return brute_force(points, max(1, k), queries, self.metric)
+        return search(points, queries, max(1, k), self.metric, with_self=False)
 
     def _store(self, fresh: DataFrame) -> None:
         kept = self.table("core").join(fresh, "id", "left_anti")

@@ -188,13 +188,40 @@ def test_rounds_give_the_same_forest_as_one_task(spark, seed):
         assert sorted((tuple(r) for r in spanning_forest(df, finish).collect()), key=lambda e: (e[2], e[0], e[1])) == [tuple(e) for e in want]
 
 
-def test_neighbours_agree_with_brute_force(spark):
+def test_neighbours_agree_with_brute_force(spark, monkeypatch):
     points = synthetic.uniform(spark, 70, 3).cache()
     want = {tuple(r) for r in knn.brute_force(points, 4).collect()}
-    assert {tuple(r) for r in knn.exact_knn(points, 4, block=20).collect()} == want
+    assert {tuple(r) for r in knn.exact_knn(points, 4).collect()} == want
+    monkeypatch.setattr(knn, "GROUP", 9)
+    assert {tuple(r) for r in knn.exact_knn(points, 4).collect()} == want
+    assert {tuple(r) for r in knn.search(points, points.where("id < 30"), 4, with_self=False).collect()} == {r for r in want if r[0] < 30}
     assert knn.exact_knn(points, 0).count() == 0
-    found = quality.total_recall(quality.recall(knn.exact_knn(points, 4), knn.approximate_knn(points, 4, 3, bits=1), 4)).first()
-    assert found["fraction"] > 0.9
+
+
+def test_ties_and_equal_points(spark, monkeypatch):
+    monkeypatch.setattr(knn, "GROUP", 11)
+    rows = [(i, [float(i % 3), 1e3 + float(i % 2)]) for i in range(40)]
+    points = spark.createDataFrame(rows, "id long, item array<float>").cache()
+    assert {tuple(r) for r in knn.exact_knn(points, 6).collect()} == {tuple(r) for r in knn.brute_force(points, 6).collect()}
+    near = {tuple(r) for r in knn.similarity_join(points, 1.0).collect()}
+    assert near == {(a, b, float(np.float32(np.hypot(x[0] - y[0], x[1] - y[1])))) for (a, x), (b, y) in itertools.combinations(rows, 2) if np.hypot(x[0] - y[0], x[1] - y[1]) <= 1}
+
+
+def test_default_recall(spark):
+    rng = np.random.default_rng(3)
+    for n, dimension, clusters in ((600, 4, 1), (3000, 24, 40)):
+        centres = rng.normal(0, 4, (clusters, dimension))
+        x = (centres[rng.integers(0, clusters, n)] + rng.normal(0, 1, (n, dimension))).astype(np.float32)
+        points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, item array<float>").cache()
+        found = quality.total_recall(quality.recall(knn.exact_knn(points, 10), knn.approximate_knn(points, 10), 10)).first()
+        assert found["fraction"] >= 0.9
+        assert knn.approximate_knn(points, 10).count() == 10 * n
+
+
+def test_approximate_clusters(spark):
+    points = synthetic.blobs(spark, 400, 4, clusters=4).cache()
+    row = quality.compare(cluster(points.select("id", "item"), ClusterConfig(5, approximate=True)), points.select("id", "label")).first()
+    assert row["ari"] > 0.95
 
 
 def test_core_distances_fall_back(spark):
