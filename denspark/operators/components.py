@@ -8,27 +8,30 @@ from pyspark.sql import functions as F
 from denspark.lineage import cut
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, within: str | None = None) -> DataFrame:
     """(source, target) -> (node, component), the smallest node of each component; nodes without an edge aren't listed.
 
+    With ``within``, a column of the edges, the graphs of its values are apart, and it comes first in the result.
+
     Every round hooks each label to its smallest neighbour, follows that twice, and replaces the
     edges by those between the new labels, so their number shrinks geometrically. Edges are
     combined before each shuffle; nothing but a count reaches the driver.
     """
-    pairs = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    key = [within] if within else []
+    pairs = edges.select(*key, F.col("source").alias("a"), F.col("target").alias("b"))
+    nodes = pairs.select(*key, F.col("a").alias("node")).union(pairs.select(*key, "b")).distinct()
     labels = nodes.withColumn("component", F.col("node"))
-    live = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = cut(pairs.where("a <> b").select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not live.isEmpty():
-        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("p"))
+        both = live.union(live.select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy(*key, "a").agg(F.min("b").alias("b")).select(*key, F.col("a").alias("x"), F.least("a", "b").alias("p"))
         for _ in range(2):
-            up = hook.select(F.col("x").alias("y"), F.col("p").alias("q"))
-            hook = hook.join(up, F.col("p") == F.col("y"), "left").select("x", F.coalesce("q", "p").alias("p"))
+            up = hook.select(*key, F.col("x").alias("p"), F.col("p").alias("q"))
+            hook = hook.join(up, [*key, "p"], "left").select(*key, "x", F.coalesce("q", "p").alias("p"))
         hook = cut(hook)
-        labels = cut(labels.join(hook, F.col("component") == F.col("x"), "left").select("node", F.coalesce("p", "component").alias("component")))
-        left = hook.select(F.col("x").alias("a"), F.col("p").alias("pa"))
-        right = hook.select(F.col("x").alias("b"), F.col("p").alias("pb"))
-        live = live.join(left, "a").join(right, "b").where("pa <> pb")
-        live = cut(live.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        labels = cut(labels.join(hook.withColumnRenamed("x", "component"), [*key, "component"], "left").select(*key, "node", F.coalesce("p", "component").alias("component")))
+        left = hook.select(*key, F.col("x").alias("a"), F.col("p").alias("pa"))
+        right = hook.select(*key, F.col("x").alias("b"), F.col("p").alias("pb"))
+        live = live.join(left, [*key, "a"]).join(right, [*key, "b"]).where("pa <> pb")
+        live = cut(live.select(*key, F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     return labels

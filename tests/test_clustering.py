@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from denspark import errors
 from denspark.config import ClusterConfig, KnnParams
 from denspark.functions.distance import ABSOLUTE, LEVENSHTEIN
-from denspark.operators import density, graphcheck, knn, quality
+from denspark.operators import density, graphcheck, hierarchy, knn, quality
 from denspark.operators.hierarchy import condense, dendrogram, labels_from_forest
 from denspark.operators.msf import kruskal, spanning_forest
 from denspark.plans.clustering import check_labels, cluster
@@ -144,6 +144,60 @@ def test_labels_follow_the_definition(spark, least):
     assert sizes == sorted(r["size"] for r in condense(spark.range(n), df, least).clusters.collect())
 
 
+@pytest.mark.parametrize("least", [1, 3])
+def test_segments_change_nothing(spark, least):
+    rng = np.random.default_rng(least)
+    n = 60
+    # Random trees with ties, zero weights, and long chains of small clusters.
+    edges = [(int(rng.integers(max(0, i - 4), i)), i, float(np.float32(rng.choice([0, 1, 2, 3, rng.random() * 4]))), 0) for i in range(1, n) if i % 25]
+    df = spark.createDataFrame(edges, "source long, target long, weight float, sequence long").coalesce(1).cache()
+    points = spark.range(n)
+
+    def all_of(tree):
+        clusters = {r["cluster"]: tuple(r) for r in tree.clusters.select("cluster", "parent", "birth", "size", "kept", "side", "step").collect()}
+        return clusters, {r["id"]: r["cluster"] for r in tree.members.collect()}
+
+    assert all_of(condense(points, df, least)) == all_of(condense(points, df, least, chunk=15))
+    if least == 1:
+        order = ["node", "left", "right", "weight", "size"]
+        assert sorted(map(tuple, dendrogram(n, df).select(*order).collect())) == sorted(map(tuple, dendrogram(n, df, chunk=15).select(*order).collect()))
+
+
+def test_rounds_decide_as_one_task(spark):
+    rng = np.random.default_rng(5)
+    rows, open_, number = [(1, None, 0.0, 9.0, 0)], [1], 2
+    # A binary tree: a spine of 12 splits, and bushes beside it; some stabilities are infinite or no numbers.
+    for k in range(22):
+        at = open_.pop() if k < 12 else open_.pop(int(rng.integers(0, len(open_))))
+        for side in (0, 1):
+            value = float(rng.choice([0.5, 1.0, 2.0, 4.0, 8.0, float("inf"), float("nan")], p=[0.2, 0.2, 0.2, 0.15, 0.15, 0.05, 0.05]))
+            rows.append((number, at, 1.0, value, side))
+            open_.append(number)
+            number += 1
+    clusters = spark.createDataFrame([(c, p, b, s, 1, d) for c, p, b, s, d in rows], "cluster long, parent long, birth double, stability double, size long, side int").coalesce(1).cache()
+    best = {r["cluster"]: (r["best"], r["splits"]) for r in hierarchy._contracted(clusters).collect()}
+    want = hierarchy._best(clusters.toPandas())
+    assert len(best) == len(rows)
+    for c, value, splits in want.itertuples(index=False):
+        assert best[c] == (pytest.approx(value, nan_ok=True), splits)
+    steps = {r["cluster"]: (r["kept"], r["step"]) for r in hierarchy.decide(clusters).collect()}
+    assert steps[1][1] == 0
+    # Splits in order: left and right of a split, then those below the left, then those below the right.
+    kids, places = {}, {}
+    for c, p, _, _, d in rows[1:]:
+        kids.setdefault(p, {})[d] = c
+
+    def walk(c):
+        if c in kids:
+            places[c] = len(places)
+            walk(kids[c][0])
+            walk(kids[c][1])
+
+    walk(1)
+    found = {r["cluster"]: r["above"] for r in hierarchy.selected(hierarchy.decide(clusters)).collect()}
+    assert all(found[c] == places[p] for c, p, *_ in rows[1:])
+
+
 def test_all_noise_and_bad_forests(spark):
     none = spark.createDataFrame([], "source long, target long, weight float, sequence long")
     assert labels(labels_from_forest(4, none, 3)) == [0, 0, 0, 0]
