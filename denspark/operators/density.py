@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from denspark.sources.readers import number_rows
+
+#: Edges of a stretch whose windows one task makes.
+STRETCH = 100_000
+
 
 def core_distances(neighbours: DataFrame, min_cluster_size: int, points: DataFrame | None = None) -> DataFrame:
     """(id, core): distance of the ``min_cluster_size``-th neighbour, else of the farthest one, else 0."""
@@ -49,11 +54,23 @@ def harvest_order(edges: DataFrame) -> DataFrame:
 
 
 def edge_windows(edges: DataFrame, size: int, key: str | None = None) -> DataFrame:
-    """Every run of ``size`` consecutive edges in harvest order (within ``key``, if given) as an array."""
-    part = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    order = part.orderBy("sequence", "distance", "source", "target")
-    run = F.collect_list(F.struct("source", "target", "distance", "sequence")).over(order.rowsBetween(0, size - 1))
-    return edges.select(run.alias("edges")).where(F.size("edges") == size)
+    """Every run of ``size`` consecutive edges in harvest order (within ``key``, if given) as an array.
+
+    Without a key edges are numbered, and cut into stretches that also hold the ``size - 1`` edges after them.
+    """
+    fields = ["source", "target", "distance", "sequence"]
+    if key:
+        own = edges.withColumns({"part": F.col(key), "at": F.struct("sequence", "distance", "source", "target"), "begins": F.lit(True)})
+    else:
+        rows = number_rows(edges.select(*fields), ["sequence", "distance", "source", "target"]).withColumnRenamed("id", "at")
+        stretch = max(STRETCH, size)
+        part = F.floor(F.col("at") / stretch)
+        own = rows.withColumns({"part": part, "begins": F.lit(True)})
+        after = rows.where(((F.col("at") % stretch) < size - 1) & (part > 0))
+        own = own.unionByName(after.withColumns({"part": part - 1, "begins": F.lit(False)}))
+    order = Window.partitionBy("part").orderBy("at")
+    run = F.collect_list(F.struct(*fields)).over(order.rowsBetween(0, size - 1))
+    return own.select("begins", run.alias("edges")).where(F.col("begins") & (F.size("edges") == size)).select("edges")
 
 
 def dedup(edges: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ from denspark.operators import density, graphcheck, knn, quality
 from denspark.operators.components import connected_components
 from denspark.operators.hierarchy import condense, dendrogram
 from denspark.operators.msf import kruskal, spanning_forest
-from denspark.plans.clustering import cluster, weighted_edges
+from denspark.plans.clustering import cluster, label_summary, weighted_edges
 from denspark.sources import synthetic
-from denspark.sources.readers import number_rows
+from denspark.sources.readers import bad_rows, clean_line, number_rows, vector_faults
 from denspark.streaming.session import ClusteringSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,9 +103,9 @@ def levenshtein_pairs(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE embedding IS NULL) AS null_rows, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_sizes, count(*) FILTER (WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS not_finite FROM embeddings")
 def vector_validation(spark, sf_dir):
-    v = F.col("item")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return _vectors(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("null_rows"), F.count_if(F.size(v) != 64).alias("wrong_sizes"), F.count_if(bad).alias("not_finite"))
+    v, faults = F.col("item"), vector_faults("item", 64)
+    bad = faults["NULL_VALUE"] | F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    return _vectors(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(faults["NULL_ROW"]).alias("null_rows"), F.count_if(faults["INVALID_ROW_LENGTH"]).alias("wrong_sizes"), F.count_if(bad).alias("not_finite"))
 
 
 @query(f"WITH {_near(10)} SELECT query, id, distance, rank FROM knn")
@@ -285,15 +285,14 @@ def lambda_values(spark, sf_dir):
 
 @query("SELECT min(label)::BIGINT AS low, max(label)::BIGINT AS high, count(DISTINCT label) AS clusters, min(label) = 0 AND max(label) + 1 = count(DISTINCT label) AS contiguous FROM embeddings")
 def assignment_contiguity(spark, sf_dir):
-    label = F.col("label").cast("long")
-    one = _read(spark, sf_dir, "embeddings").agg(F.min(label).alias("low"), F.max(label).alias("high"), F.count_distinct("label").alias("clusters"))
-    return one.withColumn("contiguous", (F.col("low") == 0) & (F.col("high") + 1 == F.col("clusters")))
+    one = label_summary(_read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label")))
+    return one.select("low", "high", F.col("different").alias("clusters"), ((F.col("low") == 0) & (F.col("high") + 1 == F.col("different"))).alias("contiguous"))
 
 
 @query(r"SELECT doc_id, regexp_replace(line, '[\r\n]+$', '') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)")
 def text_lines_clean(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", F.regexp_replace("line", r"[\r\n]+$", "").alias("line"))
+    return docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", clean_line(F.col("line")).alias("line"))
 
 
 @query(f"WITH {_E}, p AS (SELECT a.id AS source, b.id AS target, {_distance('a.item', 'b.item')} AS distance FROM e a JOIN e b ON a.id < b.id) SELECT * FROM p WHERE distance <= 1.2")
@@ -333,11 +332,13 @@ def stream_append(spark, sf_dir):
     return session.table("points").select("id")
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE FALSE")
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'NULL_ROW' WHEN vec_id % 5 = 1 THEN 'INVALID_ROW_LENGTH' ELSE 'NULL_VALUE' END AS reason FROM embeddings WHERE vec_id % 5 < 3")
 def bad_vectors(spark, sf_dir):
-    """Embeddings that ingestion would reject."""
-    v = F.col("item")
-    return _vectors(spark, sf_dir).where(v.isNull() | (F.size(v) != 64) | F.exists(v, lambda x: x.isNull() | F.isnan(x))).select("id")
+    """What ingestion rejects where embeddings are broken: left out, cut short, or with an element missing."""
+    v, kind = F.col("item"), F.col("id") % 5
+    hole = F.concat(F.slice(v, 1, 63), F.array(F.lit(None).cast("float")))
+    broken = F.when(kind == 0, F.lit(None)).when(kind == 1, F.slice(v, 1, 63)).when(kind == 2, hole).otherwise(v)
+    return bad_rows(_vectors(spark, sf_dir).withColumn("item", broken), 64)
 
 
 @query()
@@ -361,7 +362,24 @@ def condensed_tree(spark, sf_dir):
     return condense(points, forest, 5).clusters
 
 
-@query()
+_WEIGHTED = f"""{_near(64, _S)}, {_CORE}, {_EDGES},
+w AS (SELECT source, target, greatest(distance, s.core, t.core) AS weight FROM edges JOIN core s ON s.id = source JOIN core t ON t.id = target),
+both_ways AS (SELECT source AS s, target AS t, weight FROM w UNION ALL SELECT target, source, weight FROM w),
+prim AS (
+  SELECT [0::BIGINT] AS tree, NULL::BIGINT AS source, NULL::BIGINT AS target, NULL::FLOAT AS weight
+  UNION ALL
+  SELECT list_append(tree, x.t), least(x.s, x.t), greatest(x.s, x.t), x.weight
+  FROM prim, LATERAL (SELECT s, t, b.weight FROM both_ways b WHERE list_contains(prim.tree, s) AND NOT list_contains(prim.tree, t) ORDER BY b.weight, least(s, t), greatest(s, t) LIMIT 1) x),
+forest AS (SELECT row_number() OVER (ORDER BY weight, source, target) AS place, source, target, weight FROM prim WHERE source IS NOT NULL),
+-- The last merge above each point, after each edge in order.
+m AS (
+  SELECT 0::BIGINT AS place, (SELECT list(id ORDER BY id) FROM e) AS tops, NULL::BIGINT AS left, NULL::BIGINT AS right, NULL::FLOAT AS weight
+  UNION ALL
+  SELECT f.place, list_transform(m.tops, lambda t: CASE WHEN t = m.tops[f.source + 1] OR t = m.tops[f.target + 1] THEN len(m.tops) + f.place - 1 ELSE t END), m.tops[f.source + 1], m.tops[f.target + 1], f.weight
+  FROM m JOIN forest f ON f.place = m.place + 1)"""
+
+
+@query(f"WITH RECURSIVE {_WEIGHTED} SELECT CAST(len(tops) + place - 1 AS BIGINT) AS node, \"left\", \"right\", weight, CAST(len(list_filter(tops, lambda t: t = len(tops) + place - 1)) AS BIGINT) AS size FROM m WHERE place > 0")
 def dendrogram_supplier(spark, sf_dir):
     points, forest = _supplier_forest(spark, sf_dir)
     return dendrogram(points.count(), forest)

@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,18 @@ def number_rows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     return rows.select((start + F.col("id").bitwiseAND((1 << 33) - 1)).alias("id"), "row.*")
 
 
+def vector_faults(column: str, dimension: int) -> dict[str, Column]:
+    """What ingestion rejects, by code: whether a row has the fault."""
+    v = F.col(column)
+    return {
+        "NULL_ROW": v.isNull(),
+        "INVALID_ROW_LENGTH": F.coalesce(F.size(v) != dimension, F.lit(False)) & v.isNotNull(),
+        "NULL_VALUE": F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(False)),
+    }
+
+
 def check_vectors(points: DataFrame, column: str = "item") -> int:
-    """The dimension of the vectors; raises for null rows, null elements and other lengths, with the first id. One aggregate."""
+    """The dimension of the vectors; raises for null rows, null elements and other lengths, with the first id (and element). One aggregate."""
     v = F.col(column)
     size = points.where(v.isNotNull()).select(F.size(v).alias("d")).limit(1).collect()
     if not size:
@@ -42,17 +52,27 @@ def check_vectors(points: DataFrame, column: str = "item") -> int:
     d = size[0]["d"]
     if d == 0:
         raise INGEST["INVALID_DIMENSION"]("vectors have no elements")
-    first = points.agg(
-        F.min(F.when(v.isNull(), F.col("id"))).alias("NULL_ROW"),
-        F.min(F.when(F.size(v) != d, F.col("id"))).alias("INVALID_ROW_LENGTH"),
-        F.min(F.when(F.exists(v, lambda x: x.isNull()), F.col("id"))).alias("NULL_VALUE"),
-    ).first()
-    for code, row in first.asDict().items():
-        if row is not None:
-            raise INGEST[code](f"row {row}", row=row)
+    faults = vector_faults(column, d)
+    element = F.array_position(F.transform(v, lambda x: x.isNull()), F.lit(True)) - 1
+    first = points.agg(*[F.min(F.when(x, F.struct("id", element.alias("element")))).alias(code) for code, x in faults.items()]).first()
+    for code in faults:
+        if first[code] is not None:
+            row, at = first[code]
+            raise INGEST[code](f"row {row}" + (f", element {at}" if code == "NULL_VALUE" else ""), row=row)
     return d
 
 
+def bad_rows(points: DataFrame, dimension: int, column: str = "item") -> DataFrame:
+    """(id, reason) of the vectors that ingestion rejects, by the first fault."""
+    reason = F.coalesce(*[F.when(x, code) for code, x in vector_faults(column, dimension).items()])
+    return points.select("id", reason.alias("reason")).where("reason is not null")
+
+
+def clean_line(line: Column) -> Column:
+    """A line without the carriage returns and line feeds at its end."""
+    return F.regexp_replace(line, r"[\r\n]+$", "")
+
+
 def _vectors(df: DataFrame, column: str, id_column: str | None) -> DataFrame:
     if column not in df.columns:
         raise INGEST["COLUMN_NOT_FOUND"](column)
@@ -100,7 +120,7 @@ def vectors_from_csv(spark: SparkSession, path: str, dimension: int) -> DataFram
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """One item for each line, blank ones too, without the carriage returns at its end."""
-    df = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", r"[\r\n]+$", "").alias("item"))
+    df = spark.read.text(path, lineSep="\n").select(clean_line(F.col("value")).alias("item"))
     points = number_rows(df)
     if points.isEmpty():
         raise INGEST["EMPTY_INPUT"](path)
