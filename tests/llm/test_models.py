@@ -114,3 +114,87 @@ def test_without_labels(labelled, spark):
     none = spark.createDataFrame([], labels.schema)
     assert {round(r["score"], 3) for r in toxicity.toxicity(docs, none).collect()} == {0.333}
     assert toxicity.toxicity(spark.createDataFrame([], docs.schema), labels).count() == 0
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+
+
+def confirmed(item, words):
+    """Whether a stretch of the words has enough of the item in order, by trying them all."""
+    n, answer = len(item), decontaminate.answer_of(" ".join(item))
+    for k in range(len(words)):
+        part = words[k : k + -(-3 * n // 2)]
+        share = decontaminate.lcs(item, part) / n
+        if share >= decontaminate.SURE or share >= decontaminate.SHARED and decontaminate.lcs(item[n - answer :], part) / answer >= decontaminate.ANSWER:
+            return True
+    return False
+
+
+def test_recall_against_every_stretch(spark):
+    """The whole operator against an exhaustive search: paraphrases of every strength."""
+    rng = random.Random(21)
+    words = words_of(rng, 1200)
+    text = lambda n: [rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.4 else rng.choice(words) for _ in range(n)]
+    items = [text(rng.choice([9, 14, 20, 30])) for _ in range(40)]
+    docs = []
+    for k in range(120):
+        own = [w if rng.random() < (1.0, 0.85, 0.7, 0.55)[k % 4] else rng.choice(words) for w in items[k % 40]]
+        if k % 5 == 0:
+            own = [x for w in own for x in ((w,) if rng.random() < 0.8 else (w, rng.choice(words)))]
+        docs.append(text(rng.randint(0, 60)) + own + text(rng.randint(0, 60)))
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if len(set(item) & set(doc)) >= 0.6 * len(set(item)) and confirmed(item, doc)}
+    frame = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, bench).collect()}
+    assert len(want) >= 60
+    assert len(got & want) >= 0.98 * len(want)
+    # What is found beside that has its words a little further apart than a stretch is long.
+    assert len(got - want) <= 0.1 * len(want)
+    assert all(decontaminate.lcs(items[i], docs[d]) >= 0.6 * len(items[i]) for d, i in got)
+
+
+def test_short_items_stand_word_by_word(spark):
+    rng = random.Random(4)
+    words = words_of(rng, 800)
+    text = lambda n: [rng.choice(["the", "of", "and"]) if rng.random() < 0.5 else rng.choice(words) for _ in range(n)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (3, 4, 5, 6, 7, 5)] + [["the", "of"], ["and", "the", "of"], []]
+    docs = [text(rng.randint(3, 90)) for _ in range(80)]
+    for k in range(24):
+        at = rng.randrange(len(docs[k]))
+        own = list(items[k % 6])
+        if k >= 12:  # torn apart, or one word short: no leak
+            own = own[:-1] if k % 2 else [*own[:2], "between", *own[2:]]
+        docs[k] = docs[k][:at] + own + docs[k][at:]
+    there = lambda item, doc: any(doc[i : i + len(item)] == item for i in range(len(doc)))
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items[:6]) if there(item, doc)}
+    frame = spark.createDataFrame([(d, " ".join(x).title()) for d, x in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, bench).collect()} == want
+    assert len(want) >= 12
+    assert decontaminate.without_leaks(frame, bench).count() == len(docs) - len({d for d, _ in want})
+
+
+def test_scores_against_plain_sums(labelled):
+    docs, labels, _ = labelled
+    model = toxicity.train(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+
+    def bucket(gram):
+        h = len(gram) * 0x1B873593 & 0xFFFFFFFF
+        for j, c in enumerate(gram):
+            h = (h + ord(c) * int(toxicity._ODD[j])) & 0xFFFFFFFF
+        h ^= h >> 15
+        return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 14
+
+    for row in docs.orderBy("doc_id").limit(60).collect():
+        if row["doc_id"] in (3, None):
+            continue
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in row["text"] or "")
+        grams = [bucket(text[i : i + n]) for n in toxicity.SIZES for i in range(len(text) - n + 1)]
+        own = {int(model.slot[b]) for b in grams} - {-1}
+        z = sum(model.weight[f] for f in own) + sum(float(model.rest[b]) for b in grams) / max(1, len(grams)) + model.intercept
+        assert abs(scores[row["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-4
+    # Every n-gram of the training texts is weighed.
+    assert (model.slot >= 0).sum() == toxicity.FEATURES
+    assert np.count_nonzero(model.rest) > toxicity.FEATURES

@@ -189,3 +189,43 @@ def test_order_of_ranks_is_not_that_of_the_random_odds(spark):
     assert taken
     assert rest
     assert max(odds[d] for d in taken) > min(odds[d] for d in rest)
+
+
+#: Names that helpers of the stages use themselves.
+CLASHING = "doc_id long, text string, lang string, source string, n_chars int, row string, node long, body string, spans string, pii_spans string, `key` long, _node long, _of string, _id long, kept boolean, id long, size int, rank double"
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_of_any_name(spark, tmp_path, k):
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, "some words that stand in no document here"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    good = "Write to me@example.org about " + " ".join(f"word{i}" for i in range(40))
+    rest = ("r", 7, "b", "s", "p", 2, 3, "o", 4, True, 5, 6, 0.5)
+    docs = [(1, good, "en", "a", len(good), *rest), (1, good, "en", "a", len(good), *rest), (None, good + " tail", None, None, None, *([None] * 13)), (2, None, None, None, None, *([None] * 13)), (3, "", "en", "a", 0, *rest)]
+    docs = spark.createDataFrame(docs, CLASHING)
+    stage = corpus_pipeline.STAGES[k][1]
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    rows = sorted(out.collect(), key=str)
+    # Quality drops null and empty texts; near duplicates keep them and one of the copies; the others keep every row.
+    assert len(rows) == (3, 3, 5, 5)[k]
+    keys = docs.columns[5:]
+    assert {tuple(r[c] for c in keys) for r in rows} <= {rest, (None,) * 13}
+    if k == 3:
+        masked = next(r for r in rows if r["doc_id"] == 1)
+        assert masked["text"].startswith("Write to <EMAIL> about")
+        assert masked["n_chars"] == len(masked["text"])
+    nothing = stage(spark, docs.where("false"), str(tmp_path))
+    assert (nothing.columns, nothing.count()) == (docs.columns, 0)
+
+
+def test_mixing_stage_with_nulls_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    stage = corpus_pipeline.STAGES[4][1]
+    docs = spark.createDataFrame([(None, None, None, 5, "r"), (1, "a b c", None, 6, "r"), (1, "a b c", None, 6, "r"), (2, "", "s", 7, "r")], "doc_id long, text string, source string, copies long, row string")
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "source", "row", "copies"]
+    assert {r["doc_id"] for r in out.collect()} <= {1, 2, None}
+    assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
