@@ -1,13 +1,14 @@
 """Incremental session: appended items, their candidate edges and core distances, as versioned tables.
 
-State lives in ``root``: ``points``, ``edges``, ``core`` and ``rejects`` have one folder for each
-version, and a pointer row names the version that counts, so readers see one snapshot and a failed
-write is never seen. One writer at a time.
+State lives in ``root``: a version adds a folder with its own rows to ``points``, ``edges`` and
+``rejects``, and replaces ``core`` (a few bytes an item); a pointer row names the version that counts, so
+readers see one snapshot and a failed write is never seen. Replaced folders are deleted one version
+later. One writer at a time. ``metrics`` counts what the writes of all versions held.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from denspark.config import ClusterConfig
@@ -30,6 +31,8 @@ class ClusteringSession:
         item = source.schema["item"].dataType.simpleString()
         self._schemas = {"points": f"id long, item {item}", "edges": "source long, target long, distance float, sequence long", "core": "id long, core float, dirty boolean", "rejects": "id long, reason string"}
         self.version, self.last_batch = 0, -1
+        self._versions: dict[str, list[int]] = {name: [] for name in self._schemas}
+        self.metrics = {"versions": 0, "points": 0, "edges": 0, "rejects": 0, "cores": 0}
         self._write({k: self.spark.createDataFrame([], v) for k, v in self._schemas.items()}, -1)
         self.snapshot_version = 0
 
@@ -37,16 +40,27 @@ class ClusteringSession:
         return f"{self.root}/{name}/v={version}"
 
     def _write(self, tables: dict[str, DataFrame], batch: int) -> None:
-        """Writes the next version of every table, then the pointer."""
-        version = self.version + 1
+        """Writes the next version's new rows (of ``core``: all rows), then the pointer; rows are counted as they are written."""
+        version, seen, replaced = self.version + 1, {}, []
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(self._path(name, version))
+            seen[name] = Observation()
+            df.observe(seen[name], F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self._path(name, version))
         self.spark.createDataFrame([(version, batch)], "version long, batch long").coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+        for name in tables:
+            if name == "core":
+                replaced, self._versions[name] = self._versions[name][:-1], self._versions[name][-1:]
+            self._versions[name].append(version)
+            self.metrics["cores" if name == "core" else name] += seen[name].get["n"]
+        self.metrics["versions"] += 1
         self.version, self.last_batch = version, batch
+        for old in replaced:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("core", old))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def table(self, name: str) -> DataFrame:
         """points, edges, core or rejects as of the last version."""
-        return self.spark.read.schema(self._schemas[name]).parquet(self._path(name, self.version))
+        versions = self._versions[name][-1:] if name == "core" else self._versions[name]
+        return self.spark.read.schema(self._schemas[name]).parquet(*[self._path(name, v) for v in versions])
 
     @property
     def point_count(self) -> int:
@@ -65,9 +79,10 @@ class ClusteringSession:
         points = old.unionByName(new)
         n = points.count()
         near = search(points, new, effective_ef(n, self.config.min_cluster_size, self.config.params.ef_construction), self.metric, with_self=False)
-        edges = candidate_edges(near).join(self.table("edges").select("source", "target"), ["source", "target"], "left_anti")
+        # Each has a new end, so none is known.
+        edges = candidate_edges(near)
         dirty = new.select("id", F.lit(None).cast("float").alias("core"), F.lit(True).alias("dirty"))
-        self._write({"points": points, "edges": self.table("edges").unionByName(edges), "core": self.table("core").unionByName(dirty), "rejects": self.table("rejects").unionByName(rejects)}, batch)
+        self._write({"points": new, "edges": edges, "core": self.table("core").unionByName(dirty), "rejects": rejects}, batch)
 
     def append(self, ids: list[int]) -> None:
         """Appends items in order. The first bad id stops the rest and raises; those before it stay."""
@@ -103,8 +118,7 @@ class ClusteringSession:
     def _store(self, fresh: DataFrame) -> None:
         kept = self.table("core").join(fresh, "id", "left_anti")
         done = fresh.select("id", "core", F.lit(False).alias("dirty"))
-        same = {k: self.table(k) for k in ("points", "edges", "rejects")}
-        self._write(same | {"core": kept.unionByName(done)}, self.last_batch)
+        self._write({"core": kept.unionByName(done)}, self.last_batch)
 
     def recompute_core_distances(self) -> None:
         """Core distances of new items and of older ones among their neighbours; nothing is written if nothing is new."""

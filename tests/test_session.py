@@ -44,4 +44,17 @@ def test_replayed_batches_are_skipped_and_bad_rows_set_aside(session, spark):
     session.append_batch(batch, 0)
     session.append_batch(batch, 0)
     assert session.point_count == 2
+    assert {k: session.metrics[k] for k in ("versions", "points", "edges", "rejects")} == {"versions": 2, "points": 2, "edges": 1, "rejects": 2}
     assert {(r["id"], r["reason"]) for r in session.table("rejects").collect()} == {(1, "DUPLICATE_NODE"), (50, "DATA_SOURCE_OUT_OF_BOUNDS")}
+
+
+def test_appends_write_their_own_rows_only(session, tmp_path):
+    for ids in ([0, 1], [2, 3, 4], [5]):
+        session.append(ids)
+        session.recompute_core_distances()
+    folders = lambda name: sorted(int(x.name[2:]) for x in (tmp_path / "s" / name).iterdir())
+    assert folders("points") == folders("edges") == [1, 2, 4, 6]
+    assert folders("core") == [6, 7]
+    assert session.spark.read.parquet(str(tmp_path / "s" / "points" / "v=4")).count() == 3
+    assert session.point_count == 6
+    assert session.metrics["points"] == 6
