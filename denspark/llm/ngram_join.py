@@ -356,9 +356,12 @@ def ngram_join(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, node) from (row, text)."""
+    """(row, node) from (row), whose field ``text`` is the text."""
     for batch in batches:
-        for row, raw, offs in textops.slices(textops.text_column(batch)):
+        if not batch.num_rows:
+            continue
+        text = batch.column(0).field("text")
+        for row, raw, offs in textops.slices(pc.fill_null(text, "") if text.null_count else text):
             found = textops.shingle_sets(raw, offs, SIZE)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), _signed([node_of(s) for s in found])], names=["row", "node"])
 
@@ -379,6 +382,6 @@ def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     # The caller's columns stay inside one struct, so that helper names can't clash.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kind = T.StructType([T.StructField("row", docs.select(row).schema["row"].dataType), T.StructField("node", T.LongType())])
-    rows = docs.where(worded).select(row, "text").mapInArrow(_with_node, kind)
+    rows = docs.where(worded).select(row).mapInArrow(_with_node, kind)
     rows = rows.join(chosen, (F.col("node") == F.col("of")) & F.col("row")["doc_id"].eqNullSafe(F.col("id"))).dropDuplicates(["node"])
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(~worded))
