@@ -346,22 +346,11 @@ def cluster_labels(spark, sf_dir):
     return cluster(_vectors(spark, sf_dir))
 
 
-@query()
-def cluster_sizes_supplier(spark, sf_dir):
-    return cluster(_suppliers(spark, sf_dir), ClusterConfig(5)).groupBy("label").agg(F.count("*").alias("size"))
-
-
 def _supplier_forest(spark, sf_dir):
     points = cut(_suppliers(spark, sf_dir))
     return points, cut(spanning_forest(weighted_edges(points, ClusterConfig(5), EUCLIDEAN)))
 
 
-@query()
-def condensed_tree(spark, sf_dir):
-    points, forest = _supplier_forest(spark, sf_dir)
-    return condense(points, forest, 5).clusters
-
-
 _WEIGHTED = f"""{_near(64, _S)}, {_CORE}, {_EDGES},
 w AS (SELECT source, target, greatest(distance, s.core, t.core) AS weight FROM edges JOIN core s ON s.id = source JOIN core t ON t.id = target),
 both_ways AS (SELECT source AS s, target AS t, weight FROM w UNION ALL SELECT target, source, weight FROM w),
@@ -385,6 +374,51 @@ def dendrogram_supplier(spark, sf_dir):
     return dendrogram(points.count(), forest)
 
 
+_BIG, _BOTH = "(ls >= 5) <> (rs >= 5)", "ls >= 5 AND rs >= 5"
+_CLUSTERS = f"""{_WEIGHTED},
+d AS (SELECT place, CAST(len(tops) + place - 1 AS BIGINT) AS node, "left" AS l, "right" AS r, CAST(len(list_filter(tops, lambda t: t = len(tops) + place - 1)) AS BIGINT) AS size,
+             CASE WHEN weight = 0 THEN 'Infinity'::DOUBLE ELSE CAST(1::FLOAT / weight AS DOUBLE) END AS density FROM m WHERE place > 0),
+-- Merges of at least five points, with what they merge; clusters are named by the merge that begins them.
+b AS (SELECT d.*, coalesce(x.size, 1) AS ls, coalesce(y.size, 1) AS rs FROM d LEFT JOIN d x ON x.node = d.l LEFT JOIN d y ON y.node = d.r WHERE d.size >= 5),
+named AS (SELECT node, place AS start FROM b WHERE NOT ({_BIG}) UNION ALL
+          SELECT b.node, named.start FROM named JOIN b ON {_BIG} AND named.node = CASE WHEN ls >= 5 THEN l ELSE r END),
+shares AS (SELECT start, density, CASE WHEN NOT ({_BIG}) THEN size WHEN ls >= 5 THEN rs ELSE ls END AS part FROM b JOIN named USING (node)),
+sums AS (SELECT start, sum(density * part) AS total, CAST(sum(part) AS BIGINT) AS size FROM shares GROUP BY 1),
+kids AS (SELECT start, b.place AS parent, density AS birth, 0 AS side FROM b JOIN named n ON n.node = b.l WHERE {_BOTH} UNION ALL
+         SELECT start, b.place, density, 1 FROM b JOIN named n ON n.node = b.r WHERE {_BOTH}),
+c AS (SELECT start, parent, coalesce(birth, 0::DOUBLE) AS birth, coalesce(side, 0) AS side, size, total - coalesce(birth * size, 0) AS stability FROM sums LEFT JOIN kids USING (start)),
+splits AS (SELECT k.parent AS place, max(start) FILTER (side = 0) AS l, max(start) FILTER (side = 1) AS r, max(stability) FILTER (side = 0) AS sl, max(stability) FILTER (side = 1) AS sr,
+                  row_number() OVER (ORDER BY k.parent) AS nth FROM c k WHERE k.parent IS NOT NULL GROUP BY 1),
+-- From the lowest split up: the best that is below each.
+best AS (SELECT 0::BIGINT AS nth, list_transform(range(1, (SELECT max(place) + 1 FROM d)), lambda x: NULL::DOUBLE) AS below UNION ALL
+         SELECT s.nth, list_transform(best.below, lambda x, i: CASE WHEN i = s.place THEN CASE WHEN best.below[s.l] > s.sl THEN best.below[s.l] ELSE s.sl END + CASE WHEN best.below[s.r] > s.sr THEN best.below[s.r] ELSE s.sr END ELSE x END)
+         FROM best JOIN splits s ON s.nth = best.nth + 1),
+k AS (SELECT c.*, NOT coalesce((SELECT arg_max(below, nth) FROM best)[start] > stability, FALSE) AS kept FROM c),
+tops AS (SELECT start, CASE WHEN kept THEN start END AS chosen, '' AS path FROM k WHERE parent IS NULL UNION ALL
+         SELECT k.start, coalesce(t.chosen, CASE WHEN k.kept THEN k.start END), t.path || k.side FROM tops t JOIN k ON k.parent = t.start),
+numbers AS (SELECT chosen, row_number() OVER (ORDER BY path <> '', left(path, greatest(0, len(path) - 1)), right(path, 1)) - 1 AS label FROM tops WHERE chosen = start),
+above AS (SELECT id, arg_min(u.node, u.place) AS node FROM (SELECT place, unnest(range(0, len(m.tops))) AS id, unnest(m.tops) AS node FROM m) u JOIN d ON d.node = u.node WHERE d.size >= 5 GROUP BY 1),
+assigned AS (SELECT e.id, coalesce(label, (SELECT count(*) FROM numbers)) AS label FROM e LEFT JOIN above USING (id) LEFT JOIN named USING (node) LEFT JOIN tops USING (start) LEFT JOIN numbers USING (chosen))"""
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT label, count(*) AS size FROM assigned GROUP BY 1")
+def cluster_sizes_supplier(spark, sf_dir):
+    return cluster(_suppliers(spark, sf_dir), ClusterConfig(5)).groupBy("label").agg(F.count("*").alias("size"))
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT CAST(id AS BIGINT) AS id, label FROM assigned")
+def cluster_labels_supplier(spark, sf_dir):
+    return cluster(_suppliers(spark, sf_dir), ClusterConfig(5))
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT -start AS cluster, -parent AS parent, round(birth, 6) AS birth, round(stability, 4) AS stability, size, kept, side FROM k")
+def condensed_tree(spark, sf_dir):
+    """Clusters are named by the number of the merge that begins them, turned negative."""
+    points, forest = _supplier_forest(spark, sf_dir)
+    tree = condense(points, forest, 5).clusters
+    return tree.select("cluster", "parent", F.round("birth", 6).alias("birth"), F.round("stability", 4).alias("stability"), "size", "kept", "side")
+
+
 @query()
 def blobs_agreement(spark, sf_dir):
     """Clusters of synthetic blobs against the blobs that they were drawn from."""
