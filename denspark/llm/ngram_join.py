@@ -18,6 +18,10 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
    against block, dealt over tasks by pairs of groups of ``TOGETHER`` blocks); pairs with enough matches
    are verified. No link between different classes can be missed, so the classes are exact.
 
+5. Links are counted inside the classes: a class travels in blocks of ``ROWS`` sets, a task holds one block
+   and counts the tokens that its sets share with those of another, and what leaves it is one number a set.
+   So every link between different texts is verified and counted, and no pair is ever a row.
+
 Verification looks at sizes, then at parity bitmaps of ``BITMAP`` bits (sets that differ in d
 tokens differ in at most d bits, so the test loses nothing; sets of over ``LONG`` tokens have a
 larger one besides), and at last intersects the sets
@@ -27,7 +31,7 @@ Words, sets and prefixes come from one Arrow pass each.
 
 Defined cases: null or empty text, or text without words, has an empty set, links with nothing
 and keeps its own doc_id as component; fewer than five words make one token of the whole
-sequence; repeated rows and equal texts share a node; a null doc_id takes part in links and
+sequence; repeated rows and equal texts share a node and are linked with each other; a null doc_id takes part in links and
 gets the smallest doc_id of its class, null if there is none; an empty table gives an empty
 result; further columns play no part. Nodes and tokens are 64-bit hashes.
 """
@@ -57,8 +61,30 @@ VERIFY = 0.05
 BITMAP, LONG = 1024, 1500
 #: Members of a list that travel in one block, blocks that a task compares with as many, and members of a list that gives its pairs at once.
 MEMBERS, TOGETHER, SHORT = 2048, 8, 16
+#: Sets and tokens of a block whose links are counted, sets that are held against a block at once, and columns of a table of both.
+ROWS, TOKENS, CHUNK, WIDTH = 1024, 1 << 21, 256, 4096
 _U = np.uint64
 
+#: The same rows without prefixes: every pair that shares a shingle. For small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT r AS a, r AS b FROM texts UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+classes AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN texts ON b = r GROUP BY a),
+degrees AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(k, 0) AS n_links
+FROM texts JOIN classes ON classes.a = texts.r LEFT JOIN sizes ON sizes.r = texts.r LEFT JOIN degrees ON degrees.a = texts.r
+"""
+
 
 def node_of(tokens: np.ndarray) -> np.uint64:
     """Hash of a set of tokens."""
@@ -247,6 +273,12 @@ def _across(share: int):
     return run
 
 
+def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, tokens) of the nodes in ``wanted`` (node, rep), and a few more; one shuffle drops repeated rows."""
+    bits = bit_table(wanted.mapInArrow(_cells(size := table_size(wanted.count())), "cell long"), size)
+    return docs.select("doc_id", "text").mapInArrow(_asked_sets(bits), "node long, tokens array<long>").dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     """(source, target) of the pairs (a, b) that link: bitmaps first, then the sets themselves."""
     # common >= share / (100 + share) of the sizes' sum, so at most the rest of it differs.
@@ -263,12 +295,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: int) -
     big = (F.col("na") > LONG) & (F.col("nb") > LONG)
     big_pairs = alike(near_pairs.where(big).select("a", "b"), "more", nodes.where(F.col("n") > LONG))
     near = cut(near_pairs.where(~big).unionByName(big_pairs))
-    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"))
-    size = table_size(wanted.count())
-    bits = bit_table(wanted.mapInArrow(_cells(size), "cell long"), size)
-    sets = docs.select("doc_id", "text").mapInArrow(_asked_sets(bits), "node long, tokens array<long>")
-    # Both joins read the one shuffle that drops repeated rows.
-    sets = sets.dropDuplicates(["node"])
+    sets = _node_sets(docs, cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")))
     near = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     near = near.withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return cut(near.where(100 * F.col("common") >= share * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("source"), F.col("b").alias("target")))
@@ -343,16 +370,117 @@ def node_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, share: int
     return classes if found.isEmpty() else connected_components(edges.unionByName(found))
 
 
+class Sets:
+    """Sets of one block: nodes, how many documents have each, sizes, and all tokens one after the other."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
+        self.node, self.copies, self.n, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        self.vocabulary, self.column = np.unique(tokens, return_inverse=True)
+        by = np.argsort(self.column, kind="stable")
+        self.row, self.column, self.tokens = self.row[by], self.column[by], tokens[by]
+
+
+def _part(x: np.ndarray, start: int, stop: int) -> slice:
+    return slice(*np.searchsorted(x, [start, stop]))
+
+
+def linked(a: Sets, b: Sets, share: int) -> np.ndarray:
+    """Which sets of ``a`` link with which of ``b``: tokens in common from products of tables of WIDTH columns."""
+    common = np.zeros((len(a.n), len(b.n)), np.int64)
+    at = np.minimum(np.searchsorted(a.vocabulary, b.tokens), len(a.vocabulary) - 1)
+    hit = a.vocabulary[at] == b.tokens
+    column, row = at[hit], b.row[hit]
+    for start in range(0, len(a.vocabulary), WIDTH):
+        theirs = _part(column, start, start + WIDTH)
+        if theirs.start == theirs.stop:
+            continue
+        own = _part(a.column, start, start + WIDTH)
+        width = min(WIDTH, len(a.vocabulary) - start)
+        left, right = np.zeros((len(a.n), width), np.float32), np.zeros((len(b.n), width), np.float32)
+        left[a.row[own], a.column[own] - start] = 1
+        right[row[theirs], column[theirs] - start] = 1
+        common += (left @ right.T).astype(np.int64)
+    return 100 * common >= share * (a.n[:, None] + b.n - common)
+
+
+def _count_links(share: int):
+    """(node, links) from rows (component, low, high, side, node, copies, tokens) sorted by the first four.
+
+    Holds the sets of side 0 of one pair of blocks; those of side 1 are counted as they stream past.
+    """
+
+    def counts(node: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64))], names=["node", "links"])
+
+    def alone(block: Sets) -> pa.RecordBatch:
+        both = linked(block, block, share)
+        np.fill_diagonal(both, False)
+        return counts(block.node, both @ block.copies)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, block = None, [], None
+        for batch in batches:
+            component, low, high, side, node, copies = (batch.column(k).to_numpy() for k in range(6))
+            tokens = batch.column(6)
+            new = np.ones(len(node), bool)
+            new[1:] = (component[1:] != component[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (side[1:] != side[:-1])
+            starts = np.flatnonzero(new)
+            for start, stop in zip(starts, np.append(starts[1:], len(node)), strict=True):
+                here = (component[start], low[start], high[start])
+                if here != key:
+                    if parts and key[1] == key[2]:
+                        yield alone(Sets(parts))
+                    key, parts, block = here, [], None
+                for at in range(start, stop, CHUNK):
+                    own = slice(at, min(at + CHUNK, stop))
+                    lists = tokens.slice(at, own.stop - at)
+                    part = (node[own], copies[own], pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy())
+                    if side[start] == 0:
+                        parts.append(part)
+                        continue
+                    if not parts:
+                        continue
+                    block = block or Sets(parts)
+                    chunk = Sets([part])
+                    both = linked(block, chunk, share)
+                    yield counts(block.node, both @ chunk.copies)
+                    yield counts(chunk.node, block.copies @ both)
+        if parts and key[1] == key[2]:
+            yield alone(Sets(parts))
+
+    return run
+
+
+def node_links(docs: DataFrame, own: DataFrame, classes: DataFrame, share: int = SHARE) -> DataFrame:
+    """(node, links): how many documents with another set each set of ``classes`` links with."""
+    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    members = cut(classes.join(nodes, "node"))
+    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n") / TOKENS)).alias("blocks"))
+    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), "blocks"))
+    sets = _node_sets(docs, members.select("node", "rep")).join(members, "node")
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = ["component", "low", "high"]
+    sets = sets.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "tokens")
+    counted = sets.repartition(int(parts), *key).sortWithinPartitions(*key, "side").mapInArrow(_count_links(share), "node long, links long")
+    return counted.groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def ngram_join(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its class) and its node."""
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its class), n_links (other documents
+    that it links with, copies included) and its node."""
     own, counts = signatures(docs)
-    classes = node_classes(docs, own, counts, share)
-    heads = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    heads = heads.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "doc_id")
+    classes = cut(node_classes(docs, own, counts, share))
+    heads = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    heads = heads.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "doc_id", "copies")
+    heads = heads.join(node_links(docs, own, classes, share), "node", "left")
     smallest = heads.groupBy("class").agg(F.min("doc_id").alias("least_id"))
-    of_node = heads.join(smallest, "class").select(F.col("node").alias("of"), "least_id")
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    of_node = heads.join(smallest, "class").select(F.col("node").alias("of"), "least_id", links.alias("n_links"))
     rows = own.join(of_node, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("least_id")), "doc_id").alias("component_id"), "node")
+    component = F.coalesce(F.when(F.col("n") > 0, F.col("least_id")), "doc_id")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "node")
 
 
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

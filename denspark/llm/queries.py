@@ -26,7 +26,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from denspark.llm.ngram_join import ngram_join
 
-    return ngram_join(_table(spark, sf_dir, "documents"))
+    return ngram_join(_table(spark, sf_dir, "documents")).drop("node")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from denspark.llm import chat_format, mixing, url_filter
+    from denspark.llm import chat_format, mixing, ngram_join, url_filter
 
-    return {"op5_url_filter": url_filter.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op3_ngram_join": ngram_join.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}

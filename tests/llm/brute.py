@@ -55,7 +55,7 @@ def shingles(text, size=5):
 
 
 def components(docs, share=80):
-    """doc_id -> (n_shingles, smallest doc_id reachable by links)."""
+    """doc_id -> (n_shingles, smallest doc_id reachable by links, number of links)."""
     sets = {d: shingles(t) for d, t in docs}
     ids = sorted(sets)
     root = {d: d for d in ids}
@@ -69,7 +69,7 @@ def components(docs, share=80):
     for d in ids:
         for s in sets[d]:
             holders.setdefault(s, []).append(d)
-    pairs = Counter()
+    pairs, links = Counter(), Counter()
     for own in holders.values():
         for i, a in enumerate(own):
             for b in own[i + 1 :]:
@@ -78,7 +78,9 @@ def components(docs, share=80):
         if 100 * n >= share * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    return {d: (len(sets[d]), find(d)) for d in ids}
+            links[a] += 1
+            links[b] += 1
+    return {d: (len(sets[d]), find(d), links[d]) for d in ids}
 
 
 def repeats(docs, size=200):

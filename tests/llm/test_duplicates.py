@@ -16,9 +16,12 @@ def multiset(df):
 
 
 def test_components(docs, rows):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs).where("doc_id is not null").collect()}
+    found = ngram_join.ngram_join(docs).collect()
+    # Rows are told apart by number where ids are missing or stand twice.
+    by_row = brute.components(list(enumerate(t for _, t in rows)))
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in found) == Counter((d, by_row[i][0], by_row[i][2]) for i, (d, _) in enumerate(rows))
     want = brute.components([(d, t) for d, t in rows if d is not None])
-    assert got == want
+    assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] is not None} == {d: c for d, (_, c, _) in want.items()}
 
 
 def family(seed, n=260, size=90):
@@ -41,11 +44,40 @@ def test_chains_and_crowded_lists(spark, monkeypatch, members, short):
     monkeypatch.setattr(ngram_join, "MEMBERS", members)
     monkeypatch.setattr(ngram_join, "SHORT", short)
     monkeypatch.setattr(ngram_join, "CENTRES", 1)
+    for name, value in {"ROWS": members // 4, "CHUNK": members // 8, "WIDTH": 3 * members}.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rows = family(members)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.components(rows)
 
 
+def test_links_are_counted_block_by_block(monkeypatch):
+    import pyarrow as pa
+
+    for name, value in {"CHUNK": 3, "WIDTH": 7}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(1 << 62), 1 << 62, 30)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(24, 31)], rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 4))])) for _ in range(40)]
+    copies, component, block = rng.integers(1, 4, 40), np.arange(40) // 25, rng.integers(0, 3, 40)
+    rows = [(int(component[i]), min(int(block[i]), o), max(int(block[i]), o), int(block[i] > o), i, int(copies[i]), sets[i].tolist()) for i in range(40) for o in range(3)]
+    rows.sort()
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["component", "low", "high", "side", "node", "copies", "tokens"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + 11]], kind) for k, kind in enumerate(kinds)], names=names) for at in range(0, len(rows), 11)]
+    got = Counter()
+    for batch in ngram_join._count_links(80)(iter(batches)):
+        for r in batch.to_pylist():
+            got[r["node"]] += r["links"]
+    for i in range(40):
+        want = 0
+        for j in range(40):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if i != j and component[i] == component[j] and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                want += copies[j]
+        assert got[i] == want
+
+
 def test_prefixes_share_enough():
     rng = np.random.default_rng(4)
     counts = rng.integers(0, 9, ngram_join.CELLS).astype(np.int32)
@@ -82,7 +114,7 @@ def test_one_of_each_class_stays(docs, rows, empty):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     classes = brute.components([(d, t) for d, t in rows if d is not None])
-    want = {d for d, (n, c) in classes.items() if d == c}
+    want = {d for d, (n, c, _) in classes.items() if d == c}
     assert {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == want
     assert kept.where("doc_id = 3").count() == 1
     assert kept.where("doc_id is null").count() == 2

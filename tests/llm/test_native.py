@@ -144,7 +144,7 @@ def test_pipeline(spark, tmp_path, docs, rows):
         if k == 0:
             assert not any(brute.quality(t)[-1] for t in after.values())
         elif k == 1:
-            assert set(after) == {d for d, (_, c) in brute.components(list(before.items())).items() if c == d}
+            assert set(after) == {d for d, (_, c, _) in brute.components(list(before.items())).items() if c == d}
         elif k == 2:
             assert set(before) - set(after) == {26} & set(before)
         elif k == 3:
