@@ -71,6 +71,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from denspark.llm.simhash_dedup import simhash_dedup
+
+    return simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from denspark.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from denspark.llm.fill_in_middle import fim_report
+
+    return fim_report(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from denspark.llm import chat_format, mixing, ngram_join, url_filter
+    from denspark.llm import chat_format, fill_in_middle, filter_audit, mixing, ngram_join, url_filter
 
-    return {"op3_ngram_join": ngram_join.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op3_ngram_join": ngram_join.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_fill_in_middle": fill_in_middle.ORACLE_SQL}

@@ -179,3 +179,77 @@ def whole_expression(parts, label_of, is_exception, is_open):
 
     got = either()
     return got if got is not None and at == len(parts) else None
+
+
+def low_words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def fingerprint(text, size=4):
+    """Majority of the bits of the shingles' hashes."""
+    import xxhash
+
+    words = low_words(text)
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + size]).encode(), 42) for i in range(max(1, len(words) - size + 1))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_classes(prints, reach=4):
+    """Place -> class of places whose numbers differ in at most ``reach`` bits, by all pairs."""
+    label = list(range(len(prints)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= reach:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def fill_in_middle(doc_id, text):
+    text = text or ""
+    tokens = TOKEN.findall(text)
+    n = len(tokens)
+    digest = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[i : i + 8], 16) for i in range(0, 32, 8))
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    pre, mid, suf = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    form = "plain" if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= 50 else "spm" if h4 % 100 < 80 else "psm"
+    out = {"plain": text, "psm": f"<P>{pre}<S>{suf}<M>{mid}", "spm": f"<S>{suf}<P>{pre}<M>{mid}"}[form]
+    return doc_id, n, form, *((None, None) if form == "plain" else (len(pre), len(mid))), hashlib.sha256(out.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def audit(docs, labels):
+    """(part, order, step) -> the seven counts, document by document in each order. ``docs``: (doc_id, text, source)."""
+    from itertools import permutations
+
+    least = {}
+    for d, t, _ in docs:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    out = Counter()
+    for d, t, s in docs:
+        text, part = t or "", s or ""
+        words = WORD.findall(text)
+        fails = {"A": len(words) < 50, "B": 100 * len(set(words)) < 65 * len(words), "C": 100 * sum("A" <= c <= "Z" for c in text) > 5 * len(text), "D": any(c in "#$%&*|" for c in text), "E": d is not None and least[text] < d}
+        good, toxic = (any(x[k] == 1 for x in labels if x[0] == d and d is not None) for k in (1, 2))
+        for order in permutations("ABCDE"):
+            gone = False
+            for step, f in enumerate(order, 1):
+                key = (part, "".join(order), step)
+                removed = fails[f] and not gone
+                values = (not gone and not fails[f], removed, fails[f] and gone, fails[f] and sum(fails.values()) == 1, removed and good, removed and toxic)
+                for k, v in enumerate(values):
+                    out[key, k] += v
+                out[part, f] += removed
+                gone |= fails[f]
+    keys = {k[0] for k in out if isinstance(k[0], tuple)}
+    return {(*k, *(out[k, i] for i in range(6)), out[k[0], k[1][k[2] - 1]]) for k in keys}
