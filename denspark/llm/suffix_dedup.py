@@ -21,7 +21,7 @@ holds at most ``ROWS`` and one block's stretches at a time. A block whose anchor
 times is split first: a shared window has half of what it holds beyond the block's common bytes on
 one side of them at least, so the block's stretches are dealt once by that many more bytes on the left
 and once on the right. What is still too large is split again, until the common bytes are a window
-themselves; then any part of the block shows the repeat.
+themselves; then every row of the block repeats that window, and no row has to be held against another.
 
 Defined cases: null text is empty; texts shorter than SIZE keep everything; equal rows are
 repeats of each other, so nothing of at least SIZE bytes is left of them; repeated or null ids do no
@@ -358,7 +358,7 @@ def _unpacked(part: pa.RecordBatch) -> tuple:
 
 
 def split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Blocks of at most HOT rows, and (or None) parts of blocks that all share a window, about as large.
+    """Blocks of at most HOT rows, and (or None) the spans, as _SPANS, of rows in blocks that all share a window.
 
     ``rows``: as _HOT. A block of the result shares ``left`` bytes before and ``right`` bytes after its
     anchor; ``gram`` becomes the hash of all that it shares.
@@ -373,8 +373,10 @@ def split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         cold.append(rows.join(sizes, ["gram", "left", "right"], "left_anti").select(*names))
         hot = rows.join(sizes, ["gram", "left", "right"])
         if known == BEFORE:
-            piece = F.pmod(F.xxhash64("body", "back"), F.ceil(F.col("n") / HOT))
-            same = hot.withColumn("gram", F.xxhash64("gram", "left", "right", piece)).select(*names)
+            # Over HOT rows share one window: each of them has it a second time, whatever else it holds.
+            owner = hot.select("left", "right", F.explode(F.arrays_zip("keys", "sizes", "places")).alias("o"))
+            anchor = F.shiftright("o.places", 16)
+            same = owner.select(F.col("o.keys").alias("key"), F.col("o.sizes").alias("size"), (anchor - F.col("left")).alias("start"), (anchor + GRAM + F.col("right")).alias("end"))
             return reduce(DataFrame.unionByName, cold), same
         more = (BEFORE - known + 1) // 2
         known += more
@@ -402,11 +404,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = again.where(F.col("n") > HOT)
     n_hot = hot.count()
     bits, hot_bits = _bits(again, again.count()), _bits(hot, n_hot)
-    shards = texts.mapInArrow(_open(bits, hot_bits, False), _SHARDS)
+    shards, same = texts.mapInArrow(_open(bits, hot_bits, False), _SHARDS), None
     if n_hot:
         cold, same = split_hot(texts.mapInArrow(_open(bits, hot_bits, True), _HOT))
-        shards = shards.unionByName((cold if same is None else cold.unionByName(same)).mapInArrow(_hot_shards, _SHARDS))
-    return cut(shards.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_merge(ROWS), _SPANS))
+        shards = shards.unionByName(cold.mapInArrow(_hot_shards, _SHARDS))
+    spans = shards.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_merge(ROWS), _SPANS)
+    return cut(spans if same is None else spans.unionByName(same))
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -121,3 +121,21 @@ def test_very_long_addresses_and_deep_rules(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert {got[i] for i in range(60)} == {("net/x/", "allow")}
     assert [got[i] for i in range(60, 64)] == [("net/", "block"), (f"{deep}/", "block"), (f"{'.'.join('b' * 149)}/", "block"), (None, "allow")]
+
+
+@pytest.mark.parametrize("hot", [2, 4])
+def test_equal_and_different_texts_in_split_blocks(spark, monkeypatch, hot):
+    """Blocks over HOT whose rows all share a window: equal texts in many shards, and others that only share it."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(hot)
+    body = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = [body(200), body(230)]
+    texts = []
+    for piece in shared:
+        same = body(90) + piece + body(70)
+        texts += [same] * 12 + [body(rng.randint(0, 80)) + piece + body(rng.randint(0, 80)) for _ in range(6)]
+    texts += [rng.choice(["", body(60)]) + rng.choice(shared) + rng.choice(["", body(30)]) for _ in range(12)] + [body(500), body(500)]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.dedup_report(frame).collect()}
+    assert got == brute.repeats(rows)
