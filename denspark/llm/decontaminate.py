@@ -19,14 +19,12 @@ Items of over ``PASSAGE`` words are looked up by their passages too: one that is
 whole (``SURE``) is a leak, however long the item.
 
 Items of under ``LEAST`` words are looked up as they are: a text that holds all their words in a row
-holds them, unless words as common as theirs are in the documents would stand so by chance at least
-once ("the of and"), which tells nothing.
+holds them, however common the words and whatever the size of the corpus.
 
 The benchmark is handled in blocks of at most ``ITEMS`` rows and ``ITEM_WORDS`` words (or one longer
 item), so what tasks receive is bounded.
 
-Defined cases: null or empty text is never contaminated, null or empty items match nothing; short
-items whose words would meet by chance match nothing; repeated rows
+Defined cases: null or empty text is never contaminated, null or empty items match nothing; repeated rows
 are judged one by one; an empty table or benchmark gives an empty result; other columns play
 no part; long texts are searched whole.
 """
@@ -75,7 +73,7 @@ def _passages(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _fit(start: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS, _WIDTH + 2), np.float64)
+        total = np.zeros((TERMS, _WIDTH + 1), np.float64)
         passages = 0.0
         for batch in batches:
             weights = batch.column(batch.schema.get_field_index("weight")).to_numpy()
@@ -94,7 +92,6 @@ def _fit(start: np.ndarray):
                 total[sorted_terms[first], :_WIDTH] += np.add.reduceat((z * weight[:, None])[sorted_passages], first)
                 once = np.concatenate([[True], (sorted_terms[1:] != sorted_terms[:-1]) | (sorted_passages[1:] != sorted_passages[:-1])])
                 total[:, _WIDTH] += np.bincount(sorted_terms[once], minlength=TERMS)
-                total[:, _WIDTH + 1] += np.bincount(terms, minlength=TERMS)
                 passages += len(starts)
         for k in range(0, TERMS, _BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK], pa.int32()), pa.array([passages]), pa.array([total[k : k + _BLOCK].astype(np.float32).tobytes()], pa.binary())], names=["block", "passages", "sums"])
@@ -115,8 +112,8 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([passages[block]]), pa.array([own.astype(np.float32).tobytes()], pa.binary())], names=["block", "passages", "sums"])
 
 
-def latent_space(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """TERMS x RANK: idf times the leading right singular directions of the TF-IDF passages; and how often each term stands there.
+def latent_space(docs: DataFrame, benchmark: DataFrame) -> np.ndarray:
+    """TERMS x RANK: idf times the leading right singular directions of the TF-IDF passages.
 
     Benchmark passages weigh as much as the documents' in all, so that the space tells items apart.
     """
@@ -126,10 +123,10 @@ def latent_space(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, np.
     schema = "block int, passages double, sums binary"
     blocks = added_up(texts.mapInArrow(_fit(start), schema), _add_up, schema, TERMS // _BLOCK).toArrow().to_pylist()
     if not blocks:
-        return np.zeros((TERMS, RANK), np.float32), np.zeros(TERMS)
-    total = np.zeros((TERMS, _WIDTH + 2))
+        return np.zeros((TERMS, RANK), np.float32)
+    total = np.zeros((TERMS, _WIDTH + 1))
     for x in blocks:
-        total[x["block"] * _BLOCK : (x["block"] + 1) * _BLOCK] = np.frombuffer(x["sums"], np.float32).reshape(_BLOCK, _WIDTH + 2)
+        total[x["block"] * _BLOCK : (x["block"] + 1) * _BLOCK] = np.frombuffer(x["sums"], np.float32).reshape(_BLOCK, _WIDTH + 1)
     idf = np.log((blocks[0]["passages"] + 1) / (total[:, _WIDTH] + 1))
     idf[total[:, _WIDTH] == 0] = 0
     # With A = T diag(idf): A'A omega for omega = start / idf; Nystroem's core gives the rotation.
@@ -140,7 +137,7 @@ def latent_space(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, np.
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     # Directions weigh alike: otherwise the first, what all prose has in common, hides the rest.
     scale = 1 / np.sqrt(np.maximum(values[::-1][:RANK], 1e-9 * max(1e-9, values[-1])))
-    return (idf[:, None] * (q @ vectors[:, ::-1][:, :RANK]) * scale).astype(np.float32), total[:, _WIDTH + 1]
+    return (idf[:, None] * (q @ vectors[:, ::-1][:, :RANK]) * scale).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -172,20 +169,10 @@ def least(share: float, n: int) -> int:
     return -int(-(share * n - 1e-9) // 1)
 
 
-def by_chance(terms: np.ndarray, counts: np.ndarray | None) -> bool:
-    """Whether words as common as these would stand in a row at least once by chance in all documents."""
-    if counts is None or not counts.sum():
-        return False
-    return bool(np.log(counts.sum()) + np.log(np.maximum(counts[terms], 0.5) / counts.sum()).sum() >= 0)
-
-
 class Items:
-    """Benchmark items of one block: their word hashes, answers, latent pieces and index of rarest words.
-
-    ``counts``: how often each term stands in the documents, where short items are to be judged by chance.
-    """
+    """Benchmark items of one block: their word hashes, answers, latent pieces and index of rarest words."""
 
-    def __init__(self, rows: list, space: np.ndarray, counts: np.ndarray | None = None):
+    def __init__(self, rows: list, space: np.ndarray):
         self.ids, self.words, self.answers, vectors, self.owner, terms = [], [], [], [], [], []
         self.pieces, self.whole = [], []
         short: dict[int, list] = {}
@@ -194,7 +181,7 @@ class Items:
             words = textops.Words(raw, np.array([0, len(raw)]))
             own_terms = _terms(words)
             if len(words.hashes) < LEAST:
-                if len(words.hashes) and not by_chance(own_terms, counts):
+                if len(words.hashes):
                     short.setdefault(len(words.hashes), []).append((item_id, words))
                 continue
             own = space[own_terms]
@@ -380,7 +367,7 @@ def _cleaner(items: Items, space: np.ndarray):
     return run
 
 
-def item_blocks(benchmark: DataFrame, space: np.ndarray, counts: np.ndarray | None = None) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, space: np.ndarray) -> Iterator[Items]:
     """The benchmark in blocks of at most ITEMS rows and about ITEM_WORDS words, ordered by item_id and text."""
     rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator()
     block: list = []
@@ -388,18 +375,18 @@ def item_blocks(benchmark: DataFrame, space: np.ndarray, counts: np.ndarray | No
     for x in rows:
         n = len(x["text"].split())
         if block and (len(block) == ITEMS or size + n > ITEM_WORDS):
-            yield Items(block, space, counts)
+            yield Items(block, space)
             block, size = [], 0
         block.append((x["item_id"], x["text"]))
         size += n
     if block:
-        yield Items(block, space, counts)
+        yield Items(block, space)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): the benchmark items that documents hold."""
-    space, counts = latent_space(docs, benchmark)
-    found = [docs.select("doc_id", "text").mapInArrow(_searcher(items, space), _MATCH) for items in item_blocks(benchmark, space, counts)]
+    space = latent_space(docs, benchmark)
+    found = [docs.select("doc_id", "text").mapInArrow(_searcher(items, space), _MATCH) for items in item_blocks(benchmark, space)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _MATCH)
 
 
@@ -409,7 +396,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts stay, repeated rows are judged one by one, an empty benchmark drops nothing, an
     empty table stays empty, and columns of any name are no special case.
     """
-    space, counts = latent_space(docs, benchmark)
-    for items in item_blocks(benchmark, space, counts):
+    space = latent_space(docs, benchmark)
+    for items in item_blocks(benchmark, space):
         docs = docs.mapInArrow(_cleaner(items, space), docs.schema)
     return docs

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from denspark.llm import decontaminate, toxicity
 
@@ -27,6 +28,8 @@ def corpus(spark):
         leaked.add((k * 7, k))
     docs += [(900, None), (901, ""), (902, items[3][1].upper()), (903, text(9000)), (None, items[4][1]), (5, docs[5][1])]
     leaked |= {(902, 3), (None, 4)}
+    # A short item of common words is looked up like any other.
+    leaked |= {(d, 52) for d, t in docs if " the of and " in f" {(t or '').lower()} "}
     rows = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string").repartition(3)
     return rows, spark.createDataFrame([*items, (50, None), (51, ""), (52, "the of and")], "item_id long, text string"), leaked
 
@@ -46,8 +49,21 @@ def test_clean_documents_stay(corpus):
     docs, bench, leaked = corpus
     left = decontaminate.without_leaks(docs, bench)
     assert left.schema == docs.schema
-    assert left.count() == docs.count() - len(leaked)
-    assert not {r["doc_id"] for r in left.collect()} & {d for d, _ in leaked}
+    gone = {d for d, _ in leaked}
+    assert left.count() == docs.count() - sum(r["doc_id"] in gone for r in docs.collect())
+    assert not {r["doc_id"] for r in left.collect()} & gone
+
+
+def test_short_items_at_two_sizes(corpus, spark):
+    """What is found doesn't hang on how often the item's words stand in the whole corpus."""
+    docs, bench, leaked = corpus
+    short = bench.where("item_id = 52")
+    one = decontaminate.leaks(docs, short).count()
+    assert one >= 3
+    many = docs.crossJoin(spark.range(20).select(F.col("id").alias("again"))).drop("again")
+    assert decontaminate.leaks(many, short).count() == 20 * one
+    left = decontaminate.without_leaks(many, short)
+    assert left.count() == 20 * decontaminate.without_leaks(docs, short).count() < many.count()
 
 
 def test_empty_tables(corpus, spark):
@@ -167,7 +183,7 @@ def test_short_items_stand_word_by_word(spark):
             own = own[:-1] if k % 2 else [*own[:2], "between", *own[2:]]
         docs[k] = docs[k][:at] + own + docs[k][at:]
     there = lambda item, doc: any(doc[i : i + len(item)] == item for i in range(len(doc)))
-    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items[:6]) if there(item, doc)}
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if item and there(item, doc)}
     frame = spark.createDataFrame([(d, " ".join(x).title()) for d, x in enumerate(docs)], "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, bench).collect()} == want
