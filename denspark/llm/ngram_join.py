@@ -18,8 +18,9 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
    against block, dealt over tasks by pairs of groups of ``TOGETHER`` blocks); pairs with enough matches
    are verified. No link between different classes can be missed, so the classes are exact.
 
-5. Links are counted inside the classes: a class travels in blocks of ``ROWS`` sets, a task holds one block
-   and counts the tokens that its sets share with those of another, and what leaves it is one number a set.
+5. Links are counted inside the classes: a class travels in blocks of ``ROWS`` sets, a task holds one block, in
+   parts of ``PART``, and counts the tokens that its sets share with those of another as they stream past; what
+   leaves it is one number a set. A set travels once for each block of its class, once if there is only one.
    So every link between different texts is verified and counted, and no pair is ever a row.
 
 Verification looks at sizes, then at parity bitmaps of ``BITMAP`` bits (sets that differ in d
@@ -61,8 +62,8 @@ VERIFY = 0.05
 BITMAP, LONG = 1024, 1500
 #: Members of a list that travel in one block, blocks that a task compares with as many, and members of a list that gives its pairs at once.
 MEMBERS, TOGETHER, SHORT = 2048, 8, 16
-#: Sets and tokens of a block whose links are counted, sets that are held against a block at once, and columns of a table of both.
-ROWS, TOKENS, CHUNK, WIDTH = 1024, 1 << 21, 256, 4096
+#: Sets and tokens of a block whose links are counted, sets of its parts, sets that are held against a part at once, and columns of a table of both.
+ROWS, TOKENS, PART, CHUNK, WIDTH = 8192, 1 << 22, 1024, 256, 4096
 _U = np.uint64
 
 #: The same rows without prefixes: every pair that shares a shingle. For small tables.
@@ -407,16 +408,31 @@ def linked(a: Sets, b: Sets, share: int) -> np.ndarray:
 def _count_links(share: int):
     """(node, links) from rows (component, low, high, side, node, copies, tokens) sorted by the first four.
 
-    Holds the sets of side 0 of one pair of blocks; those of side 1 are counted as they stream past.
+    Holds the sets of side 0 of one pair of blocks in parts; those of side 1 are counted as they stream past.
     """
 
     def counts(node: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64))], names=["node", "links"])
 
-    def alone(block: Sets) -> pa.RecordBatch:
-        both = linked(block, block, share)
-        np.fill_diagonal(both, False)
-        return counts(block.node, both @ block.copies)
+    def packed(rows: list) -> list[Sets]:
+        out, own, n = [], [], 0
+        for part in rows:
+            own.append(part)
+            n += len(part[0])
+            if n >= PART:
+                out.append(Sets(own))
+                own, n = [], 0
+        return [*out, Sets(own)] if own else out
+
+    def alone(block: list[Sets]) -> Iterator[pa.RecordBatch]:
+        for i, part in enumerate(block):
+            both = linked(part, part, share)
+            np.fill_diagonal(both, False)
+            yield counts(part.node, both @ part.copies)
+            for other in block[:i]:
+                both = linked(part, other, share)
+                yield counts(part.node, both @ other.copies)
+                yield counts(other.node, part.copies @ both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, block = None, [], None
@@ -430,7 +446,7 @@ def _count_links(share: int):
                 here = (component[start], low[start], high[start])
                 if here != key:
                     if parts and key[1] == key[2]:
-                        yield alone(Sets(parts))
+                        yield from alone(packed(parts))
                     key, parts, block = here, [], None
                 for at in range(start, stop, CHUNK):
                     own = slice(at, min(at + CHUNK, stop))
@@ -441,13 +457,14 @@ def _count_links(share: int):
                         continue
                     if not parts:
                         continue
-                    block = block or Sets(parts)
+                    block = block or packed(parts)
                     chunk = Sets([part])
-                    both = linked(block, chunk, share)
-                    yield counts(block.node, both @ chunk.copies)
-                    yield counts(chunk.node, block.copies @ both)
+                    for held_part in block:
+                        both = linked(held_part, chunk, share)
+                        yield counts(held_part.node, both @ chunk.copies)
+                        yield counts(chunk.node, held_part.copies @ both)
         if parts and key[1] == key[2]:
-            yield alone(Sets(parts))
+            yield from alone(packed(parts))
 
     return run
 

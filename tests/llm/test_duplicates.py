@@ -44,7 +44,7 @@ def test_chains_and_crowded_lists(spark, monkeypatch, members, short):
     monkeypatch.setattr(ngram_join, "MEMBERS", members)
     monkeypatch.setattr(ngram_join, "SHORT", short)
     monkeypatch.setattr(ngram_join, "CENTRES", 1)
-    for name, value in {"ROWS": members // 4, "CHUNK": members // 8, "WIDTH": 3 * members}.items():
+    for name, value in {"ROWS": members // 4, "PART": members // 6, "CHUNK": members // 8, "WIDTH": 3 * members}.items():
         monkeypatch.setattr(ngram_join, name, value)
     rows = family(members)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -54,7 +54,7 @@ def test_chains_and_crowded_lists(spark, monkeypatch, members, short):
 def test_links_are_counted_block_by_block(monkeypatch):
     import pyarrow as pa
 
-    for name, value in {"CHUNK": 3, "WIDTH": 7}.items():
+    for name, value in {"PART": 5, "CHUNK": 3, "WIDTH": 7}.items():
         monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(6)
     base = rng.integers(-(1 << 62), 1 << 62, 30)
