@@ -122,22 +122,24 @@ def license_verdict(text, phrases, tags, weight, label_of, is_exception, is_open
     for end in sorted(ends):
         rest = re.match(r"[\"']?[ \t]*[:=]?[ \t]*[\"']?(.*)", text[end:])[1]
         parts = []
-        while m := re.match(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:_-]*)", rest):
-            parts.append(m[1].lower().rstrip(".:-_") if len(m[1]) > 1 else m[1].lower())
+        while m := re.match(r"[ \t]*([()/]|[A-Za-z0-9][A-Za-z0-9.+:_-]*)", rest):
+            parts.append("or" if m[1] == "/" else m[1].lower().rstrip(".:-_") if len(m[1]) > 1 else m[1].lower())
             rest = rest[m.end() :]
         for n in range(len(parts), 0, -1):
             got = whole_expression(parts[:n], label_of, is_exception, is_open)
             if got:
-                labels |= got[0]
-                choices.append(got[1])
+                if got[0]:
+                    labels |= got[0]
+                    choices.append(got[1])
                 break
     score = 1.0 if choices else min(0.95, round(1 - math.prod(1 - weight(p) for p in sorted(found)), 6))
     return ",".join(sorted(labels)), score, choices
 
 
 def whole_expression(parts, label_of, is_exception, is_open):
-    """Recursive descent: or, and, with; None unless all parts are one expression."""
+    """Recursive descent: or, and, with; None unless all parts are one expression, brackets may stay open at the end."""
     at = 0
+    likely = lambda x: bool(re.fullmatch(r"[a-z0-9][a-z0-9.+]*(-[a-z0-9.+]+)+", x))
 
     def peek():
         return parts[at] if at < len(parts) else None
@@ -148,16 +150,16 @@ def whole_expression(parts, label_of, is_exception, is_open):
         at += 1
         if x == "(":
             inner = either()
-            if inner is None or peek() != ")":
+            if inner is None or peek() not in (")", None):
                 return None
             at += 1
-        elif x is None or x in ("and", "or", "with", ")") or label_of(x) is None:
+        elif x is None or x in ("and", "or", "with", ")") or label_of(x) is None and not likely(x):
             return None
         else:
-            inner = {label_of(x)}, is_open(label_of(x))
+            inner = {label_of(x)} - {None}, is_open(label_of(x))
         if peek() == "with":
             at += 1
-            if peek() is None or not is_exception(peek()):
+            if peek() is None or not (is_exception(peek()) or likely(peek())):
                 return None
             at += 1
         return inner
@@ -178,7 +180,7 @@ def whole_expression(parts, label_of, is_exception, is_open):
         return series("or", both, any)
 
     got = either()
-    return got if got is not None and at == len(parts) else None
+    return got if got is not None and at >= len(parts) else None
 
 
 def low_words(text):

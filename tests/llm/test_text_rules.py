@@ -134,7 +134,7 @@ def test_licences(docs, rows, empty):
 
 
 def test_licence_expressions():
-    for text, want in [("MIT", ["mit"]), ("a OR b AND c", ["a", "b", "c", "and", "or"]), ("(a OR b) AND c", ["a", "b", "or", "c", "and"]), ("a WITH e", ["a", "e", "with"]), ("OR a", None), ("(a", None), ("", None), ("MIT some words", ["mit"])]:
+    for text, want in [("MIT", ["mit"]), ("a OR b AND c", ["a", "b", "c", "and", "or"]), ("(a OR b) AND c", ["a", "b", "or", "c", "and"]), ("a WITH e", ["a", "e", "with"]), ("OR a", None), ("(a", ["a"]), ("a AND (b OR c", ["a", "b", "c", "or", "and"]), ("a/b", ["a", "b", "or"]), ("", None), ("MIT some words", ["mit"])]:
         assert license_scan.to_postfix(text) == want
     assert license_scan.evaluate(["mit", "gpl-3.0", "or"]) == ({"mit", "gpl"}, True)
     assert license_scan.evaluate(["mit", "gpl-3.0", "and"]) == ({"mit", "gpl"}, False)
@@ -144,8 +144,8 @@ def test_licence_verdicts_against_plain_searches(spark):
     import random
 
     rng = random.Random(12)
-    names = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0+", "BSD-3-Clause", "CC-BY-SA-4.0", "LicenseRef-own", "mitsubishi", "contact", "this", "Apache-9.0", "LGPL-2.1-or-later"]
-    glue = [" OR ", " and ", " AND ", " WITH Classpath-exception-2.0 ", " with ", " (", ") ", " ", "\n", ". ", ", "]
+    names = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0+", "BSD-3-Clause", "CC-BY-SA-4.0", "LicenseRef-own", "mitsubishi", "contact", "this", "Apache-9.0", "LGPL-2.1-or-later", "Zlib-acknowledgement", "CeCILL-2.1"]
+    glue = [" OR ", " and ", " AND ", " WITH Classpath-exception-2.0 ", " with ", " (", ") ", "/", " ", "\n", ". ", ", "]
     lead = ["SPDX-License-Identifier: ", "SPDX License Identifier ", "spdx license identifier: ", 'License-Expression = "', "license ", "SPDX-License-Identifiers: "]
     phrases = license_scan.NOTICES | license_scan.BASE
     texts = ["SPDX License Identifier: MIT", "SPDX-License-Identifier: MIT or contact us", "SPDX-License-Identifier: Apache-2.0 and this file is free", "SPDX-License-Identifier: MIT and", "SPDX-License-Identifier: mitsubishi", "SPDX-License-Identifier:", "x SPDX-License-Identifier"]
@@ -164,3 +164,12 @@ def test_licence_verdicts_against_plain_searches(spark):
     assert [got[i]["labels"] for i in range(7)] == ["mit", "mit", "apache", "mit", "", "", ""]
     assert {0.0, 0.5, 0.95, 1.0} <= {r["score"] for r in got.values()}
     assert len({r["score"] for r in got.values()}) > 6
+
+
+def test_valid_parts_of_expressions_and_own_tables(spark):
+    texts = ["(MIT OR Apache-2.0", "Zlib-acknowledgement OR MIT", "MPL-2.0-no-copyleft-exception", "MIT/Apache-2.0", "some-name AND other-name", "CeCILL-2.1 OR GPL-2.0+", "House-1.0"]
+    docs = spark.createDataFrame([(i, f"SPDX-License-Identifier: {t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r["labels"], r["score"]) for r in license_scan.license_scan(docs).orderBy("doc_id").collect()]
+    assert got == [("apache,mit", 1.0), ("mit", 1.0), ("mpl", 1.0), ("apache,mit", 1.0), ("", 0.0), ("cecill,gpl", 1.0), ("", 0.0)]
+    own = license_scan.license_scan(docs.selectExpr("doc_id", "concat(text, ' our own terms') as text"), {"our own terms": "own"}, {"house": ("house", "1.0")}).orderBy("doc_id").collect()
+    assert [r["labels"] for r in own] == ["own"] * 6 + ["house,own"]
