@@ -22,7 +22,7 @@ def _family(base: str, prefix: str, names: str) -> dict[str, type]:
 
 # The stable codes of each family.
 DATA_SOURCE = _family("DataSourceError", "DATA_SOURCE_", "OUT_OF_BOUNDS OUTPUT_LENGTH_MISMATCH DIMENSION_MISMATCH EMPTY ZERO_DIMENSION")
-ENGINE = _family("EngineError", "", "INVALID_MIN_CLUSTER_SIZE EMPTY_SOURCE INSUFFICIENT_ITEMS BACKEND_UNAVAILABLE DATA_SOURCE_FAILURE CPU_HNSW_FAILURE CPU_MST_FAILURE CPU_HIERARCHY_FAILURE MEMORY_LIMIT_EXCEEDED")
+ENGINE = _family("EngineError", "", "INVALID_MIN_CLUSTER_SIZE EMPTY_SOURCE INSUFFICIENT_ITEMS BACKEND_UNAVAILABLE DATA_SOURCE_FAILURE CPU_HNSW_FAILURE CPU_MST_FAILURE CPU_HIERARCHY_FAILURE MEMORY_LIMIT_EXCEEDED SESSION_CONFLICT")
 INDEX = _family("IndexingError", "", "EMPTY_BUILD INVALID_PARAMETERS DUPLICATE_NODE GRAPH_EMPTY GRAPH_INVARIANT_VIOLATION NON_FINITE_DISTANCE")
 FOREST = _family("ForestError", "", "EMPTY_GRAPH INVALID_NODE_ID NON_FINITE_WEIGHT INVARIANT_VIOLATION")
 HIERARCHY = _family("HierarchyError", "", "EMPTY_DATASET MIN_CLUSTER_SIZE_TOO_LARGE INVALID_EDGE_WEIGHT")

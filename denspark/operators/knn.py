@@ -10,6 +10,7 @@ the same as by definition.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 from denspark.functions.distance import EUCLIDEAN, Metric
 from denspark.lineage import cut
 
+log = logging.getLogger(__name__)
+
 #: Points of a group, least points that are worth a group, distances held at once, pairs worked out at once.
 GROUP, LEAST, TILE, EXACT = 20_000, 250, 2_000_000, 100_000
 #: Cells of the approximate search at most; its sample of queries, and the share of their neighbours that the cells looked into must hold.
 CELLS, SAMPLE, TARGET = 1 << 14, 256, 0.95
+#: Most edits for which texts are joined by their segments.
+EDITS = 8
 _FOUND = "query long, id long, distance float"
 
 Rows = dict[str, np.ndarray]
@@ -147,6 +152,15 @@ def _near(q: Rows, c: Rows, metric: Metric, reach: Callable[[np.ndarray], np.nda
             yield x, y, np.sqrt(((b[y] - a[x]) ** 2).sum(1)).astype(np.float32)
 
 
+def estimated(a: np.ndarray, b: np.ndarray, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all pairs, and by how much each row's may be wrong (Euclidean ones come from a matrix product)."""
+    if metric.name != EUCLIDEAN.name:
+        return metric.block(a, b), np.zeros(len(a))
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    return np.sqrt(np.maximum(na[:, None] + nb - 2 * (a @ b.T), 0)), 2e-6 * np.sqrt(na + nb.max(initial=0.0))
+
+
 def _top(q: Rows, c: Rows, k: int, metric: Metric, skip_self: bool) -> Iterator[pa.RecordBatch]:
     """(query, id, distance): the k nearest of c to each of q, some more where distances are equal to rounding."""
 
@@ -259,6 +273,7 @@ def approximate_knn(points: DataFrame, k: int, target: float = TARGET, sample: i
     ranks = np.sort([where[q][c] for q, c in zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True)])
     looked = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1
     if 3 * looked > cells:
+        log.warning("%d of %d cells would have to be looked into: the search is exact", looked, cells)
         return exact_knn(points, k)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +301,18 @@ def approximate_knn(points: DataFrame, k: int, target: float = TARGET, sample: i
 
 
 def similarity_join(points: DataFrame, eps: float, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """Pairs source < target within ``eps``, group against group where the metric allows."""
+    """Pairs source < target within ``eps``: by segments for texts a few edits apart, over cells where the metric obeys the
+    triangle inequality, else group against group."""
     if metric.block is None:
         right = points.select(F.col("id").alias("target"), F.col("item").alias("_b"))
         pairs = points.join(right, F.col("id") < F.col("target"))
         return pairs.select(F.col("id").alias("source"), "target", metric.column(F.col("item"), F.col("_b")).alias("distance")).where(F.col("distance") <= eps)
+    from denspark.operators import cells, edits
+
+    if metric.name == "levenshtein" and 0 <= eps <= EDITS:
+        return edits.edit_join(points, int(eps))
+    if metric.name in cells.METRICS:
+        return cells.similarity_join(points, eps, metric).pairs
 
     def meet(a: Rows, b: Rows, same: bool) -> Iterator[pa.RecordBatch]:
         for i, j, d in _near(a, b, metric, lambda w: np.full(len(w), float(eps))):
@@ -301,41 +323,44 @@ def similarity_join(points: DataFrame, eps: float, metric: Metric = EUCLIDEAN) -
     return meet_all(points.select(F.col("id").cast("long").alias("id"), "item"), meet, "source long, target long, distance float")
 
 
+def lightest_of(q: Rows, c: Rows, metric: Metric) -> Iterator[pa.RecordBatch]:
+    """(tree, source, target, weight, sequence): the lightest edge from each tree of q to another tree of c."""
+
+    def weigh(d: np.ndarray, i, j) -> np.ndarray:
+        w = np.maximum(np.maximum(d, q["core"][i][:, None]), c["core"][j][None])
+        return np.where(q["tree"][i][:, None] == c["tree"][j][None], np.inf, w)
+
+    def reach(w: np.ndarray) -> np.ndarray:
+        least = w.min(1)
+        # Rows without another tree have no edge.
+        return np.where(np.isfinite(least), least, -np.inf)
+
+    found = []
+    for i, j, d in _near(q, c, metric, reach, weigh):
+        w = np.maximum(np.maximum(d, q["core"][i]), c["core"][j]).astype(np.float32)
+        s, t = np.minimum(q["id"][i], c["id"][j]), np.maximum(q["id"][i], c["id"][j])
+        keep = q["tree"][i] != c["tree"][j]
+        rows = [x[keep] for x in (q["tree"][i], w, s, t)]
+        order = np.lexsort(rows[::-1])
+        rows = [x[order] for x in rows]
+        first = np.concatenate([[True], rows[0][1:] != rows[0][:-1]]) if len(order) else np.zeros(0, bool)
+        found.append([x[first] for x in rows])
+    if found:
+        tree, w, s, t = (np.concatenate([f[k] for f in found]) for k in range(4))
+        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(s), pa.array(t), pa.array(w, pa.float32()), pa.array(np.zeros(len(s), np.int64))], names=["tree", "source", "target", "weight", "sequence"])
+
+
 def lightest_edges(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
     """(tree, source, target, weight, sequence): candidates for the lightest edge that leaves each tree.
 
     ``points``: id, item, core, tree. A weight is the largest of distance and both core distances; each
-    task gives one edge a tree and group at most.
+    task gives one edge a tree and group at most. Groups meet all groups; see :mod:`cells` for bounds.
     """
 
-    def one(q: Rows, c: Rows) -> Iterator[pa.RecordBatch]:
-        def weigh(d: np.ndarray, i, j) -> np.ndarray:
-            w = np.maximum(np.maximum(d, q["core"][i][:, None]), c["core"][j][None])
-            return np.where(q["tree"][i][:, None] == c["tree"][j][None], np.inf, w)
-
-        def reach(w: np.ndarray) -> np.ndarray:
-            least = w.min(1)
-            # Rows without another tree have no edge.
-            return np.where(np.isfinite(least), least, -np.inf)
-
-        found = []
-        for i, j, d in _near(q, c, metric, reach, weigh):
-            w = np.maximum(np.maximum(d, q["core"][i]), c["core"][j]).astype(np.float32)
-            s, t = np.minimum(q["id"][i], c["id"][j]), np.maximum(q["id"][i], c["id"][j])
-            keep = q["tree"][i] != c["tree"][j]
-            rows = [x[keep] for x in (q["tree"][i], w, s, t)]
-            order = np.lexsort(rows[::-1])
-            rows = [x[order] for x in rows]
-            first = np.concatenate([[True], rows[0][1:] != rows[0][:-1]]) if len(order) else np.zeros(0, bool)
-            found.append([x[first] for x in rows])
-        if found:
-            tree, w, s, t = (np.concatenate([f[k] for f in found]) for k in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(s), pa.array(t), pa.array(w, pa.float32()), pa.array(np.zeros(len(s), np.int64))], names=["tree", "source", "target", "weight", "sequence"])
-
     def meet(a: Rows, b: Rows, same: bool) -> Iterator[pa.RecordBatch]:
-        yield from one(a, b)
+        yield from lightest_of(a, b, metric)
         if not same:
-            yield from one(b, a)
+            yield from lightest_of(b, a, metric)
 
     own = points.select(F.col("id").cast("long").alias("id"), "item", F.col("core").cast("float").alias("core"), F.col("tree").cast("long").alias("tree"))
     return meet_all(own, meet, "tree long, source long, target long, weight float, sequence long")

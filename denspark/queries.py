@@ -12,12 +12,13 @@ from denspark.config import ClusterConfig, KnnParams
 from denspark.functions import scalar
 from denspark.functions.distance import COSINE, EUCLIDEAN, LEVENSHTEIN, cosine, euclidean, levenshtein, norm
 from denspark.lineage import cut, shared_dir
-from denspark.operators import density, graphcheck, knn, quality
+from denspark.operators import cells, density, graphcheck, knn, quality
 from denspark.operators.components import connected_components
+from denspark.operators.descent import neighbour_graph
+from denspark.operators.edits import edit_join, edit_search
 from denspark.operators.hierarchy import condense, dendrogram
 from denspark.operators.msf import kruskal, spanning_forest
 from denspark.plans.clustering import cluster, label_summary, weighted_edges
-from denspark.sources import synthetic
 from denspark.sources.readers import bad_rows, clean_line, number_rows, vector_faults
 from denspark.streaming.session import ClusteringSession
 
@@ -118,6 +119,34 @@ def knn_text_k5(spark, sf_dir):
     return knn.exact_knn(_names(spark, sf_dir), 5, LEVENSHTEIN)
 
 
+@query(f"WITH {_N} SELECT a.id AS source, b.id AS target, CAST(levenshtein(a.item, b.item) AS FLOAT) AS distance FROM e a JOIN e b ON a.id < b.id WHERE levenshtein(a.item, b.item) <= 6")
+def edit_join_names(spark, sf_dir):
+    """Names of parts within six edits of each other, by the segments that they share."""
+    return edit_join(_names(spark, sf_dir), 6)
+
+
+@query(f"""WITH {_N}, q AS (SELECT p_partkey AS query, p_name AS item FROM part WHERE p_partkey % 20 = 0)
+SELECT query, id, CAST(levenshtein(q.item, e.item) AS FLOAT) AS distance FROM q JOIN e ON levenshtein(q.item, e.item) <= 7""")
+def edit_search_names(spark, sf_dir):
+    """All names within seven edits of those of a stated set of parts."""
+    asked = _read(spark, sf_dir, "part").where(F.col("p_partkey") % 20 == 0).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("item"))
+    return edit_search(_names(spark, sf_dir), asked, 7)
+
+
+_TREES = f"""{_near(5, _S)}, {_CORE}, t AS (SELECT e.id, item, core, s_nationkey AS tree FROM e JOIN core USING (id) JOIN supplier ON s_suppkey = e.id),
+w AS (SELECT a.tree, least(a.id, b.id) AS source, greatest(a.id, b.id) AS target, greatest({_distance('a.item', 'b.item')}, a.core, b.core) AS weight FROM t a JOIN t b ON a.tree <> b.tree)"""
+
+
+@query(f"WITH {_TREES} SELECT CAST(tree AS BIGINT) AS tree, source, target, weight FROM w QUALIFY row_number() OVER (PARTITION BY tree ORDER BY weight, source, target) = 1")
+def lightest_bridges_nations(spark, sf_dir):
+    """The lightest mutual-reachability edge that leaves each nation's suppliers, found by the bounds of cells."""
+    points = cut(_suppliers(spark, sf_dir))
+    core = density.core_distances(knn.exact_knn(points, 5), 5)
+    trees = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("of"), F.col("s_nationkey").alias("tree"))
+    found = cells.lightest_bridges(points.join(core, "id").join(trees, F.col("id") == F.col("of")).drop("of")).edges
+    return found.groupBy("tree").agg(F.min(F.struct("weight", "source", "target")).alias("e")).select("tree", "e.source", "e.target", "e.weight")
+
+
 @query(f"WITH {_near(5)}, {_CORE} SELECT id, core FROM core")
 def core_distances_k5(spark, sf_dir):
     return density.core_distances(knn.exact_knn(_vectors(spark, sf_dir), 5), 5)
@@ -189,10 +218,10 @@ def backlink_violations(spark, sf_dir):
     return graphcheck.bidirectional(_directed(spark, sf_dir))
 
 
-@query(f"WITH {_near(5)} SELECT query AS node, 0 AS layer, id AS neighbour FROM knn WHERE id % 7 = 0")
+@query(f"WITH {_near(5)} SELECT query AS node, 0 AS layer, id AS neighbour FROM knn JOIN embeddings ON vec_id = id WHERE label = 0")
 def layer_violations(spark, sf_dir):
-    """Links to nodes that are missing from a node table without the multiples of 7."""
-    nodes = _vectors(spark, sf_dir).where(F.col("id") % 7 != 0).select(F.col("id").alias("node"), F.lit(0).alias("level"))
+    """Links to nodes that a node table without the vectors labelled 0 lacks."""
+    nodes = _read(spark, sf_dir, "embeddings").where("label <> 0").select(F.col("vec_id").alias("node"), F.lit(0).alias("level"))
     return graphcheck.layer_consistency(nodes, _directed(spark, sf_dir))
 
 
@@ -300,11 +329,11 @@ def similarity_join_eps(spark, sf_dir):
     return knn.similarity_join(_vectors(spark, sf_dir), 1.2)
 
 
-@query(f"WITH {_near(5)} SELECT DISTINCT id FROM knn WHERE query % 10 = 0 AND id % 10 <> 0")
+@query(f"WITH {_near(5)} SELECT DISTINCT id FROM knn JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = id WHERE a.label = 0 AND b.label <> 0")
 def incremental_targets(spark, sf_dir):
-    """Neighbours of the newest tenth of the points that are older themselves."""
-    new = _vectors(spark, sf_dir).where(F.col("id") % 10 == 0)
-    near = _links(spark, sf_dir).where(F.col("query") % 10 == 0)
+    """Older neighbours of new points, where those labelled 0 come last."""
+    new = _read(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("item"))
+    near = _links(spark, sf_dir).join(new.select(F.col("id").alias("query")), "query", "left_semi")
     return ClusteringSession.recompute_targets(new, near)
 
 
@@ -341,11 +370,6 @@ def bad_vectors(spark, sf_dir):
     return bad_rows(_vectors(spark, sf_dir).withColumn("item", broken), 64)
 
 
-@query()
-def cluster_labels(spark, sf_dir):
-    return cluster(_vectors(spark, sf_dir))
-
-
 def _supplier_forest(spark, sf_dir):
     points = cut(_suppliers(spark, sf_dir))
     return points, cut(spanning_forest(weighted_edges(points, ClusterConfig(5), EUCLIDEAN)))
@@ -411,6 +435,11 @@ def cluster_labels_supplier(spark, sf_dir):
     return cluster(_suppliers(spark, sf_dir), ClusterConfig(5))
 
 
+@query()
+def cluster_labels(spark, sf_dir):
+    return cluster(_vectors(spark, sf_dir))
+
+
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT -start AS cluster, -parent AS parent, round(birth, 6) AS birth, round(stability, 4) AS stability, size, kept, side FROM k")
 def condensed_tree(spark, sf_dir):
     """Clusters are named by the number of the merge that begins them, turned negative."""
@@ -421,14 +450,22 @@ def condensed_tree(spark, sf_dir):
 
 @query()
 def blobs_agreement(spark, sf_dir):
-    """Clusters of synthetic blobs against the blobs that they were drawn from."""
-    points = cut(synthetic.blobs(spark, 400, 8, clusters=8))
-    return quality.compare(cluster(points.select("id", "item")), points.select("id", "label"))
+    """Clusters of the suppliers against their nations."""
+    known = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("label"))
+    return quality.compare(cluster(_suppliers(spark, sf_dir)), known)
+
+
+@query()
+def similarity_join_work(spark, sf_dir):
+    """Pairs that the join over cells finds among suppliers, and pairs that it compared."""
+    points = cut(_suppliers(spark, sf_dir))
+    return cells.similarity_join(points, 50.0).work
 
 
 @query()
 def approximate_recall(spark, sf_dir):
-    """Recall at 10 of the approximate search, as it is set by default, against the exact one."""
+    """Recall at 10 of the refined neighbour graph against the exact one, and the pairs that it compared."""
     points = cut(_vectors(spark, sf_dir))
-    found = knn.approximate_knn(points, 10)
-    return quality.total_recall(quality.recall(knn.exact_knn(points, 10), found, 10))
+    graph = neighbour_graph(points, 10)
+    found = quality.total_recall(quality.recall(knn.exact_knn(points, 10), graph.neighbours, 10))
+    return found.select("*", F.lit(graph.compared).alias("compared"), F.lit(graph.share).alias("share_of_square"), F.lit(graph.rounds).alias("rounds"))

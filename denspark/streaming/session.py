@@ -1,13 +1,26 @@
 """Incremental session: appended items, their candidate edges and core distances, as versioned tables.
 
-State lives in ``root``: a version adds a folder with its own rows to ``points``, ``edges`` and
-``rejects``, and replaces ``core`` (a few bytes an item); a pointer row names the version that counts, so
-readers see one snapshot and a failed write is never seen. Replaced folders are deleted one version
-later. One writer at a time. ``metrics`` counts what the writes of all versions held.
+Points are kept by cells (one partition each, :mod:`denspark.operators.cells`), so that an append reads the cells that
+its points lie in or must look into, and no others; ``metrics["read"]`` counts their points. Cells are made anew when there are
+``GROWTH`` times as many points as when they were made. Metrics without the triangle inequality search all points.
+
+State lives in ``root``. A version adds a folder with its own rows to ``points``, ``edges`` and
+``rejects``, and replaces ``core`` (a few bytes an item). ``log/<version>.json`` says which folders make up a
+version, which batches of which stream it holds and what was counted. A writer first claims the next
+version's log file, which only one can create, then writes folders, then the file's content: readers
+see whole versions only, a write that failed leaves a claim without content that nobody reads, and a
+second writer is refused. A session that is opened on a folder with a log goes on from its last whole version.
+
+Replaced folders are deleted one version later. Tables of over ``FOLDERS`` small folders are written as one.
+``metrics`` counts what the writes of all versions held.
 """
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +28,17 @@ from denspark.config import ClusterConfig
 from denspark.errors import DATA_SOURCE, ENGINE
 from denspark.functions.distance import EUCLIDEAN, Metric
 from denspark.functions.scalar import effective_ef
+from denspark.lineage import cut
+from denspark.operators import cells
 from denspark.operators.density import candidate_edges, core_distances
 from denspark.operators.knn import search
 
+#: Folders of a table that are left as they are, log files that are kept, and growth after which cells are made anew.
+FOLDERS, KEPT, GROWTH = 20, 50, 4
+
 
 class ClusteringSession:
-    """Append-only clustering state over ``source`` (id, item)."""
+    """Append-only clustering state over ``source`` (id, item); goes on from what ``root`` holds."""
 
     def __init__(self, source: DataFrame, root: str, config: ClusterConfig | None = None, metric: Metric = EUCLIDEAN):
         self.config = config or ClusterConfig()
@@ -29,60 +47,200 @@ class ClusteringSession:
         self.spark: SparkSession = source.sparkSession
         self.source, self.root, self.metric = source, root.rstrip("/"), metric
         item = source.schema["item"].dataType.simpleString()
-        self._schemas = {"points": f"id long, item {item}", "edges": "source long, target long, distance float, sequence long", "core": "id long, core float, dirty boolean", "rejects": "id long, reason string"}
-        self.version, self.last_batch = 0, -1
-        self._versions: dict[str, list[int]] = {name: [] for name in self._schemas}
-        self.metrics = {"versions": 0, "points": 0, "edges": 0, "rejects": 0, "cores": 0}
-        self._write({k: self.spark.createDataFrame([], v) for k, v in self._schemas.items()}, -1)
-        self.snapshot_version = 0
+        self._schemas = {"points": f"id long, item {item}, cell int", "centres": f"cell int, item {item}", "edges": "source long, target long, distance float, sequence long", "core": "id long, core float, dirty boolean", "rejects": "id long, reason string"}
+        self._kind = {"item": item, "metric": metric.name, "min_cluster_size": self.config.min_cluster_size}
+        self._start({"version": 0, "batches": {}, "folders": {name: [] for name in self._schemas}, "dying": [], "metrics": dict.fromkeys(("versions", "points", "edges", "rejects", "cores", "read"), 0), "snapshot": 0, "cells": {"radius": [], "count": []}, "indexed": 0})
+        if not self.reload():
+            self._write({k: self.spark.createDataFrame([], v) for k, v in self._schemas.items()})
+
+    def _start(self, record: dict) -> None:
+        self.version, self.snapshot_version = record["version"], record["snapshot"]
+        self._versions, self._batches, self._dying = record["folders"], record["batches"], record["dying"]
+        self.metrics, self._cells, self._indexed = record["metrics"], record["cells"], record["indexed"]
+        self._claimed, self._centres = self.version, None
+
+    @property
+    def last_batch(self) -> int:
+        """Number of the last batch that was appended without the name of a stream; -1: none."""
+        return self._batches.get("", -1)
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _log(self, version: int) -> str:
+        return f"{self.root}/log/{version}.json"
+
+    def _logged(self) -> list[int]:
+        """Versions that were claimed, highest first."""
+        fs, at = self._fs(f"{self.root}/log")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted((int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit()), reverse=True)
+
+    def _record(self, version: int) -> dict | None:
+        """What the log says of a version; None if its write didn't end."""
+        rows = self.spark.read.text(self._log(version), wholetext=True).collect()
+        try:
+            return json.loads(rows[0][0]) if rows else None
+        except ValueError:
+            return None
+
+    def reload(self) -> bool:
+        """Goes to the last whole version in the log, whoever wrote it; False if there is none."""
+        claims = self._logged()
+        record = next((r for r in map(self._record, claims) if r is not None), None)
+        if record is None:
+            self._claimed = max([self.version, *claims])
+            return False
+        if record["kind"] != self._kind:
+            raise ENGINE["SESSION_CONFLICT"](f"{self.root} holds a session of {record['kind']}, not of {self._kind}")
+        self._start(record)
+        self._claimed = claims[0]
+        return True
 
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v={version}"
 
-    def _write(self, tables: dict[str, DataFrame], batch: int) -> None:
-        """Writes the next version's new rows (of ``core``: all rows), then the pointer; rows are counted as they are written."""
-        version, seen, replaced = self.version + 1, {}, []
+    def _claim(self) -> int:
+        """The next version's number, which no other writer can have."""
+        version = self._claimed + 1
+        fs, at = self._fs(self._log(version))
+        try:
+            fs.create(at, False).close()
+        except Py4JJavaError as e:
+            if not fs.exists(at):
+                raise
+            raise ENGINE["SESSION_CONFLICT"](f"version {version} of {self.root} has another writer") from e
+        self._claimed = version
+        return version
+
+    def _write(self, tables: dict[str, DataFrame], source: str | None = None, batch: int = -1, whole: tuple[str, ...] = ("core",), index: cells.Index | None = None, read: int = 0) -> None:
+        """Writes the next version's new rows (all rows of the tables in ``whole``), then its log; rows are counted as they are written."""
+        version, seen = self._claim(), {}
         for name, df in tables.items():
             seen[name] = Observation()
-            df.observe(seen[name], F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self._path(name, version))
-        self.spark.createDataFrame([(version, batch)], "version long, batch long").coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+            writer = df.observe(seen[name], F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+            (writer.partitionBy("cell") if name == "points" else writer).parquet(self._path(name, version))
+        folders = {k: list(v) for k, v in self._versions.items()}
+        replaced, metrics = [], dict(self.metrics)
         for name in tables:
-            if name == "core":
-                replaced, self._versions[name] = self._versions[name][:-1], self._versions[name][-1:]
-            self._versions[name].append(version)
-            self.metrics["cores" if name == "core" else name] += seen[name].get["n"]
-        self.metrics["versions"] += 1
-        self.version, self.last_batch = version, batch
-        for old in replaced:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("core", old))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            if name in whole:
+                replaced += [[name, v] for v in folders[name]]
+                folders[name] = []
+            folders[name].append(version)
+            if name in metrics and name not in whole or name == "core":
+                metrics["cores" if name == "core" else name] += seen[name].get["n"]
+        metrics["versions"] += 1
+        metrics["read"] += read
+        known = self._cells if index is None else {"radius": index.radius.tolist(), "count": index.count.tolist()}
+        indexed = int(sum(known["count"])) if "centres" in tables else self._indexed
+        batches = self._batches if source is None else self._batches | {source: batch}
+        record = {"version": version, "batches": batches, "folders": folders, "dying": replaced, "metrics": metrics, "snapshot": self.snapshot_version, "cells": known, "indexed": indexed}
+        fs, at = self._fs(self._log(version))
+        out = fs.create(at, True)
+        out.write(bytearray(json.dumps(record | {"kind": self._kind}).encode()))
+        out.close()
+        gone = [self._path(name, v) for name, v in self._dying] + ([self._log(version - KEPT)] if version > KEPT else [])
+        self._start(record)
+        for path in gone:
+            fs, at = self._fs(path)
+            fs.delete(at, True)
+
+    def compact(self) -> None:
+        """Writes each table of several folders as one; readers of the version before keep theirs until the next write."""
+        many = [name for name, v in self._versions.items() if len(v) > 1]
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if many:
+            # Points of a cell come together, so that each cell is a file or two.
+            self._write({name: self.table(name).repartition(parts, "cell") if name == "points" else self.table(name).coalesce(parts) for name in many}, whole=tuple(many))
 
     def table(self, name: str) -> DataFrame:
         """points, edges, core or rejects as of the last version."""
-        versions = self._versions[name][-1:] if name == "core" else self._versions[name]
-        return self.spark.read.schema(self._schemas[name]).parquet(*[self._path(name, v) for v in versions])
+        rows = self.spark.read.schema(self._schemas[name] + ", v int").option("basePath", f"{self.root}/{name}")
+        return rows.parquet(*[self._path(name, v) for v in self._versions[name]]).drop("v")
 
     @property
     def point_count(self) -> int:
         return self.table("points").count()
 
+    @property
+    def _by_cells(self) -> bool:
+        return self.metric.name in cells.METRICS
+
+    def _index(self) -> cells.Index | None:
+        """The cells of the last version; None as long as there are no points."""
+        if not self._by_cells or not self._cells["count"]:
+            return None
+        if self._centres is None:
+            rows = self.table("centres").orderBy("cell").toArrow()  # CELLS rows at most
+            self._centres = cells._column(rows.column("item").combine_chunks())
+        return cells.Index(self._centres, np.array(self._cells["radius"]), np.array(self._cells["count"], np.int64))
+
     def _split(self, ids: DataFrame) -> DataFrame:
-        """(at, id, item, reason) of the rows to append; reason is null for good ones."""
-        known = self.table("points").select("id", F.lit(1).alias("known"))
-        rows = ids.join(self.source, "id", "left").join(known, "id", "left")
+        """(at, id, item, cell, far, reason) of the rows to append; reason is null for good ones.
+
+        An item that is there already lies in the cell that its source row falls into, so only these cells are read.
+        """
+        rows, index = ids.join(self.source, "id", "left").select("at", "id", "item"), self._index()
         again = F.col("at") > F.min("at").over(Window.partitionBy("id"))
+        points = self.table("points")
+        if index is not None:
+            rows = cut(rows)
+            own = cut(cells.placed(rows.where("item is not null").select("id", "item").dropDuplicates(["id"]), index.centres, self.metric))
+            touched = [r["cell"] for r in own.select("cell").distinct().collect()]
+            points = points.where(F.col("cell").isin(touched))
+            rows = rows.join(own.select("id", "cell", "far"), "id", "left")
+        else:
+            rows = rows.withColumns({"cell": F.lit(0), "far": F.lit(0.0)})
+        rows = rows.join(points.select("id", F.lit(1).alias("known")), "id", "left")
         reason = F.when(F.col("item").isNull(), "DATA_SOURCE_OUT_OF_BOUNDS").when(F.col("known").isNotNull() | again, "DUPLICATE_NODE")
-        return rows.withColumn("reason", reason).select("at", "id", "item", "reason")
+        return rows.withColumn("reason", reason).select("at", "id", "item", "cell", "far", "reason")
 
-    def _insert(self, new: DataFrame, rejects: DataFrame, batch: int) -> None:
+    def _near(self, queries: DataFrame, k: int, index: cells.Index | None, new: DataFrame | None = None) -> tuple[DataFrame, int]:
+        """The k nearest of each query among all points and ``new``, and how many stored points were read for it."""
         old = self.table("points")
-        points = old.unionByName(new)
-        n = points.count()
-        near = search(points, new, effective_ef(n, self.config.min_cluster_size, self.config.params.ef_construction), self.metric, with_self=False)
+        points = old if new is None else old.unionByName(new.select(*old.columns))
+        if index is None:
+            return search(points.select("id", "item"), queries, k, self.metric, with_self=False), self.metrics["points"]
+        found, read = cells.nearest_in_cells(lambda own: points.where(F.col("cell").isin(own)), index, queries, k, self.metric)
+        return found, int(index.count[read].sum())
+
+    def _insert(self, new: DataFrame, rejects: DataFrame, source: str | None = None, batch: int = -1) -> None:
+        """``new``: id, item, cell, far."""
+        new = cut(new)
+        added = new.count()
+        n = self.metrics["points"] + added
+        index = self._index()
+        begins = self._by_cells and index is None and added > 0
+        if begins:
+            index = cells.index_of(new, added)
+            new = cut(cells.placed(new, index.centres, self.metric))
+        index = None if index is None else index.grown(new)
+        near, read = self._near(new.select("id", "item"), effective_ef(n, self.config.min_cluster_size, self.config.params.ef_construction), index, new)
         # Each has a new end, so none is known.
         edges = candidate_edges(near)
         dirty = new.select("id", F.lit(None).cast("float").alias("core"), F.lit(True).alias("dirty"))
-        self._write({"points": new, "edges": edges, "core": self.table("core").unionByName(dirty), "rejects": rejects}, batch)
+        tables = {"points": new.select("id", "item", "cell"), "edges": edges, "core": self.table("core").unionByName(dirty), "rejects": rejects}
+        if begins:
+            tables["centres"] = self._centre_rows(index)
+        self._write(tables, source, batch, index=index, read=read)
+        if index is not None and n > GROWTH * max(self._indexed, 250):
+            self.reindex()
+        if max(len(v) for v in self._versions.values()) > FOLDERS:
+            self.compact()
+
+    def _centre_rows(self, index: cells.Index) -> DataFrame:
+        values = [x.tolist() if hasattr(x, "tolist") else x for x in index.centres]
+        return self.spark.createDataFrame(list(enumerate(values)), self._schemas["centres"])
+
+    def reindex(self) -> None:
+        """Cells for as many points as there are now; all points are written anew, by cell."""
+        points = self.table("points").select("id", "item")
+        index = cells.index_of(points, self.metrics["points"])
+        rows = cut(cells.placed(points, index.centres, self.metric))
+        index = index.grown(rows)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._write({"points": rows.select("id", "item", "cell").repartition(parts, "cell"), "centres": self._centre_rows(index)}, whole=("points", "centres"), index=index)
 
     def append(self, ids: list[int]) -> None:
         """Appends items in order. The first bad id stops the rest and raises; those before it stay."""
@@ -91,34 +249,33 @@ class ClusteringSession:
         good = rows.where("reason is null")
         if bad:
             good = good.where(F.col("at") < bad[0]["at"])
-        self._insert(good.select("id", "item"), self.spark.createDataFrame([], self._schemas["rejects"]), self.last_batch)
+        self._insert(good.select("id", "item", "cell", "far"), self.spark.createDataFrame([], self._schemas["rejects"]))
         rows.unpersist()
         if bad and bad[0]["reason"] == "DUPLICATE_NODE":
             raise ENGINE["CPU_HNSW_FAILURE"](f"item {bad[0]['id']} is there already")
         if bad:
             raise DATA_SOURCE["OUT_OF_BOUNDS"](f"no item {bad[0]['id']}")
 
-    def append_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``: appends column ``id``; bad rows go to ``rejects``, a batch that is replayed is skipped."""
-        if batch_id <= self.last_batch:
+    def append_batch(self, batch: DataFrame, batch_id: int, stream: str = "") -> None:
+        """For ``foreachBatch``: appends column ``id``; bad rows go to ``rejects``, a batch of the stream that is replayed is skipped."""
+        if batch_id <= self._batches.get(stream, -1):
             return
         rows = self._split(batch.select(F.monotonically_increasing_id().alias("at"), F.col("id").cast("long").alias("id"))).cache()
-        self._insert(rows.where("reason is null").select("id", "item"), rows.where("reason is not null").select("id", "reason"), batch_id)
+        self._insert(rows.where("reason is null").select("id", "item", "cell", "far"), rows.where("reason is not null").select("id", "reason"), stream, batch_id)
         rows.unpersist()
 
     def follow(self, stream: DataFrame, checkpoint: str):
-        """Starts a streaming query that appends the ids of ``stream``."""
-        return stream.writeStream.foreachBatch(self.append_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        """Starts a streaming query that appends the ids of ``stream``; with the same checkpoint it goes on where it ended."""
+        return stream.writeStream.foreachBatch(lambda batch, number: self.append_batch(batch, number, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def _cores(self, queries: DataFrame) -> DataFrame:
-        points = self.table("points")
-        k = effective_ef(points.count(), self.config.min_cluster_size, self.config.params.ef_construction)
-        return search(points, queries, max(1, k), self.metric, with_self=False)
+        k = effective_ef(self.metrics["points"], self.config.min_cluster_size, self.config.params.ef_construction)
+        return self._near(queries.select("id", "item"), max(1, k), self._index())[0]
 
     def _store(self, fresh: DataFrame) -> None:
         kept = self.table("core").join(fresh, "id", "left_anti")
         done = fresh.select("id", "core", F.lit(False).alias("dirty"))
-        self._write({"core": kept.unionByName(done)}, self.last_batch)
+        self._write({"core": kept.unionByName(done)})
 
     def recompute_core_distances(self) -> None:
         """Core distances of new items and of older ones among their neighbours; nothing is written if nothing is new."""
