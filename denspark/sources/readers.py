@@ -89,8 +89,13 @@ def _vectors(df: DataFrame, column: str, id_column: str | None) -> DataFrame:
     return points
 
 
-def vectors_from_parquet(spark: SparkSession, path: str, column: str = "features", id_column: str | None = None) -> DataFrame:
-    """Float vectors of one column; only that column (and the id) is read."""
+def vectors_from_parquet(spark: SparkSession, path: str, column: str = "features", id_column: str | None = None, strict: bool = False) -> DataFrame:
+    """Float vectors of one column; only that column (and the id) is read. With ``strict`` the footers must promise
+    a fixed width and no nulls (:mod:`denspark.sources.contract`)."""
+    if strict:
+        from denspark.sources.contract import check_parquet
+
+        check_parquet(spark, path, column)
     return _vectors(spark.read.parquet(path), column, id_column)
 
 

@@ -32,6 +32,7 @@ from denspark.lineage import cut
 from denspark.operators import cells
 from denspark.operators.density import candidate_edges, core_distances
 from denspark.operators.knn import search
+from denspark.streaming.reports import BatchReports
 
 #: Folders of a table that are left as they are, log files that are kept, and growth after which cells are made anew.
 FOLDERS, KEPT, GROWTH = 20, 50, 4
@@ -264,8 +265,14 @@ class ClusteringSession:
         self._insert(rows.where("reason is null").select("id", "item", "cell", "far"), rows.where("reason is not null").select("id", "reason"), stream, batch_id)
         rows.unpersist()
 
-    def follow(self, stream: DataFrame, checkpoint: str):
-        """Starts a streaming query that appends the ids of ``stream``; with the same checkpoint it goes on where it ended."""
+    def follow(self, stream: DataFrame, checkpoint: str, reports: BatchReports | None = None):
+        """Starts a streaming query that appends the ids of ``stream``; with the same checkpoint it goes on where it ended.
+
+        ``reports`` gets rows and times of each batch, and the aggregates ``ids`` (rows, low, high) that are observed on it.
+        """
+        if reports is not None:
+            self.spark.streams.addListener(reports)
+            stream = stream.observe("ids", F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.max("id").alias("high"))
         return stream.writeStream.foreachBatch(lambda batch, number: self.append_batch(batch, number, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def _cores(self, queries: DataFrame) -> DataFrame:

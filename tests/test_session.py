@@ -200,3 +200,22 @@ def test_cells_are_made_anew_as_the_session_grows(spark, tmp_path):
     again.recompute_core_distances_full()
     exact = {r["id"]: r["core"] for r in core_distances(knn.exact_knn(source, 4), 2).collect()}
     assert {r["id"]: r["core"] for r in again.table("core").collect()} == exact
+
+
+def test_each_batch_of_a_followed_stream_is_reported(session, spark, tmp_path):
+    from denspark.streaming.reports import BatchReports
+
+    for k, ids in enumerate(([0, 1, 2], [3, 60], [4])):
+        spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    reports = BatchReports()
+    query = session.follow(stream, str(tmp_path / "c"), reports)
+    query.awaitTermination()
+    assert reports.wait_for(str(query.id))
+    spark.streams.removeListener(reports)
+    own = [r for r in reports.batches if r["rows"]]
+    assert [r["batch"] for r in own] == [0, 1, 2]
+    assert sum(r["observed"]["ids"]["rows"] for r in own) == 6 and max(r["observed"]["ids"]["high"] for r in own) == 60
+    assert all(r["seconds"] > 0 and r["durations"] for r in own)
+    assert reports.ended[str(query.id)] is None
+    assert session.point_count == 5 and session.metrics["rejects"] == 1

@@ -126,3 +126,103 @@ def test_recipes(spark, tmp_path):
         recipes.SourceUrl("http://x")
     with pytest.raises(errors.RECIPE["CHECKSUM_UNSUPPORTED"]):
         recipes.SourceUrl("https://x", "abc")
+
+
+def idx_file(n, h, w, packed=False):
+    import gzip
+    import struct
+
+    import numpy as np
+
+    data = struct.pack(">iiii", 2051, n, h, w) + np.random.default_rng(n).integers(0, 256, n * h * w).astype("uint8").tobytes()
+    return gzip.compress(data) if packed else data
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_idx_by_ranges_of_images(spark, tmp_path, monkeypatch, packed):
+    from denspark.sources import datasource
+
+    monkeypatch.setattr(datasource, "BATCH", 7)
+    datasource.register(spark)
+    folder = tmp_path / "idx"
+    folder.mkdir()
+    for name, n in (("a", 50), ("b", 3), ("c", 0)):
+        (folder / name).write_bytes(idx_file(n, 4, 3, packed))
+    want = [tuple(r) for r in readers.idx_images(spark, str(folder)).orderBy("id").collect()]
+    assert len(want) == 53
+    for parts in (1, 8):
+        found = spark.read.format("idx").option("partitions", parts).load(str(folder))
+        assert found.rdd.getNumPartitions() == (2 if parts == 1 else 11)
+        assert sorted(tuple(r) for r in found.collect()) == want
+    assert [tuple(r) for r in spark.read.format("idx").load(f"file://{folder}/b").collect()] == [(i, x) for (_, x), i in zip(want[50:], range(3), strict=True)]
+
+
+def test_broken_idx_files(spark, tmp_path):
+    from denspark.sources import datasource
+
+    datasource.register(spark)
+    whole = idx_file(5, 2, 2)
+    for content, message in ((whole[:-1], "ends before"), (b"\0" * 16, "magic"), (b"", "header")):
+        (tmp_path / "x").write_bytes(content)
+        with pytest.raises(Exception, match=message):
+            spark.read.format("idx").load(str(tmp_path / "x")).collect()
+
+
+def test_generated_points_by_ranges(spark):
+    from denspark.sources import datasource
+
+    datasource.register(spark)
+    make = lambda parts, **more: sorted(tuple(r) for r in spark.read.format("points").options(n=500, dimension=3, partitions=parts, **more).load().collect())
+    assert make(1) == make(8) != make(8, seed=1)
+    assert all(0 <= v <= 1 for _, item, _ in make(3) for v in item)
+    blobs = make(4, clusters=5)
+    assert blobs == make(1, clusters=5) and {x[2] for x in blobs} == set(range(5))
+    with pytest.raises(Exception, match="positive"):
+        make(1, clusters=-1)
+
+
+def stored(width=3, child=True, field=True, kind="float", rows=5, name="features", groups=2):
+    """Bytes of a Parquet file; ``child`` and ``field``: whether elements and rows must not be null."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    value = pa.field("item", pa.float32() if kind == "float" else pa.float64(), nullable=not child)
+    list_type = pa.list_(value, width) if width is not None else pa.list_(value)
+    data = pa.array([[float(i * 10 + j) for j in range(width or 2)] for i in range(rows)], list_type)
+    sink = pa.BufferOutputStream()
+    pq.write_table(pa.Table.from_arrays([data], schema=pa.schema([pa.field(name, list_type, nullable=not field)])), sink, row_group_size=groups)
+    return sink.getvalue().to_pybytes()
+
+
+def test_parquet_from_bytes(spark, tmp_path):
+    from denspark.sources import contract
+
+    files = spark.createDataFrame([("b", stored(rows=2)), ("a", stored(rows=5))], "name string, content binary").repartition(2)
+    got = contract.vectors_from_bytes(files).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(7))
+    assert [r["item"][0] for r in got] == [0.0, 10.0, 20.0, 30.0, 40.0, 0.0, 10.0]
+    (tmp_path / "x.parquet").write_bytes(stored())
+    assert contract.check_parquet(spark, str(tmp_path)) == 3
+    assert readers.vectors_from_parquet(spark, str(tmp_path / "x.parquet"), strict=True).count() == 5
+
+
+@pytest.mark.parametrize(("more", "code"), [({"field": False}, "NULL_ROW"), ({"child": False}, "NULL_VALUE"), ({"kind": "double"}, "INVALID_LIST_VALUE_TYPE"), ({"width": None}, "INVALID_COLUMN_TYPE"), ({"name": "other"}, "COLUMN_NOT_FOUND"), ({"rows": 0}, "EMPTY_INPUT")])
+def test_field_contract(spark, tmp_path, more, code):
+    from denspark import errors
+    from denspark.sources import contract
+
+    content = stored(**more)
+    with pytest.raises(errors.INGEST[code]):
+        contract.vectors_from_bytes(spark.createDataFrame([("a", content)], "name string, content binary"))
+    (tmp_path / "x.parquet").write_bytes(content)
+    with pytest.raises(errors.INGEST[code]):
+        readers.vectors_from_parquet(spark, str(tmp_path / "x.parquet"), strict=True)
+
+
+def test_files_of_different_width(spark):
+    from denspark import errors
+    from denspark.sources import contract
+
+    files = spark.createDataFrame([("a", stored(3)), ("b", stored(4))], "name string, content binary")
+    with pytest.raises(errors.INGEST["INVALID_ROW_LENGTH"]):
+        contract.vectors_from_bytes(files)
