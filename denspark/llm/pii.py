@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from denspark.llm.scans import blocks, let, part, running
+from denspark.llm.scans import blocks, let, part, running, sums_before
 
 # The number of characters of an account number (IBAN) by country, check digits included.
 IBAN_LENGTHS = {
@@ -89,20 +89,13 @@ def _confirmed(kind: str) -> str:
 
 def _placed(kind: str) -> Column:
     """All matches of a kind as array<struct<start,end,hit,near>>, from g_<kind> and m_<kind>; null without one."""
-    g, m = F.col(f"g_{kind}"), F.col(f"m_{kind}")
-    steps = F.sequence(F.lit(0), F.size(m) - 1)
-    widths = F.transform(steps, lambda i: (F.length(F.get(g, i)) + F.length(F.get(m, i))).cast("long"))
-
-    def place(before: Column) -> Column:
-        def one(i: Column) -> Column:
-            start = F.get(before, i) + F.length(F.get(g, i))
-            near = F.lower(F.concat(F.right(F.get(g, i), F.lit(CONTEXT)), F.lit(" "), F.left(F.get(g, i + 1), F.lit(CONTEXT))))
-            return F.struct(start.alias("start"), (start + F.length(F.get(m, i))).alias("end"), F.get(m, i).alias("hit"), near.alias("near"))
-
-        return F.transform(steps, one)
-
-    total = let(widths, lambda w: let(running(w, F.lit(0).cast("long"), lambda a, x: a + x), place))
-    return F.when(F.size(m) > 0, total)
+    g, m = f"g_{kind}", f"m_{kind}"
+    steps = f"sequence(0, size({m}) - 1)"
+    widths = f"transform({steps}, i -> cast(length(get({g}, i)) + length(get({m}, i)) as bigint))"
+    start = f"get(b, i) + length(get({g}, i))"
+    near = f"lower(concat(right(get({g}, i), {CONTEXT}), ' ', left(get({g}, i + 1), {CONTEXT})))"
+    one = f"named_struct('start', {start}, 'end', {start} + length(get({m}, i)), 'hit', get({m}, i), 'near', {near})"
+    return F.expr(f"case when size({m}) > 0 then get(transform(array({widths}), w -> get(transform(array({sums_before('w')}), b -> transform({steps}, i -> {one})), 0)), 0) end")
 
 
 def _spans(kind: str) -> Column:

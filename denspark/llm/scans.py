@@ -41,6 +41,25 @@ def running(values: Column, zero: Column, add: Callable[[Column, Column], Column
     return let(totals, lambda t: let(running(t, zero, add, levels - 1), lambda before: F.flatten(F.transform(chunks, lambda i: fold(F.get(before, i), steps(i), lambda j: F.get(values, j))))))
 
 
+def sums_before(values: str, levels: int = 3) -> str:
+    """SQL: for each value of a non-empty array<bigint> (a name) the sum of all before it, as :func:`running` gives it.
+
+    As text it is parsed in one go, where columns are built call by call.
+    """
+
+    def fold(at: str, steps: str, value: str) -> str:
+        start = f"named_struct('at', {at}, 'out', cast(array() as array<bigint>))"
+        return f"aggregate({steps}, {start}, (a, j) -> named_struct('at', a.at + {value}, 'out', array_append(a.out, a.at)), a -> a.out)"
+
+    if levels == 0:
+        return fold("0L", values, "j")
+    chunks = f"sequence(0, (size({values}) - 1) div {CHUNK})"
+    steps = f"sequence(i * {CHUNK}, least(i * {CHUNK} + {CHUNK - 1}, size({values}) - 1))"
+    totals = f"transform({chunks}, i -> aggregate({steps}, 0L, (a, j) -> a + get({values}, j)))"
+    each = f"flatten(transform({chunks}, i -> {fold(f'get(b{levels}, i)', steps, f'get({values}, j)')}))"
+    return f"get(transform(array({totals}), t{levels} -> get(transform(array({sums_before(f't{levels}', levels - 1)}), b{levels} -> {each}), 0)), 0)"
+
+
 def blocks(text: Column) -> Column:
     """A text as an array of BLOCK code points each (the last may have fewer)."""
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
