@@ -349,6 +349,18 @@ def session_core_distances(spark, sf_dir):
     return session.table("core").select("id", "core")
 
 
+@query(f"WITH {_near(5, _S)}, {_CORE} SELECT id, core FROM core")
+def session_after_restart(spark, sf_dir):
+    """Core distances of a session that is opened anew for each batch of nations."""
+    points = cut(_suppliers(spark, sf_dir))
+    root = f"{shared_dir(spark)}/session-{uuid.uuid4().hex}"
+    ClusteringSession(points, root).append_batch(points.where(F.get("item", F.lit(1)) < 12), 0)
+    ClusteringSession(points, root).append_batch(points.where(F.get("item", F.lit(1)) >= 12), 1)
+    session = ClusteringSession(points, root)
+    session.recompute_core_distances()
+    return session.table("core").select("id", "core")
+
+
 @query("SELECT s_suppkey AS id FROM supplier")
 def stream_append(spark, sf_dir):
     """The items of a session that follows a stream of their ids."""
