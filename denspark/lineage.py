@@ -37,3 +37,17 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/denspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Rows of an Arrow batch of texts.
+BATCH = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows instead of Spark's default of 10,000, which at some KB a text is over 30 MB for each task, held outside the heap and again in Python.
+
+    A session that has another setting keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
