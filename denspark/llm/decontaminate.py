@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from denspark.lineage import bounded_batches
 from denspark.llm import textops
 from denspark.llm.bits import added_up
 
@@ -117,6 +118,7 @@ def latent_space(docs: DataFrame, benchmark: DataFrame) -> np.ndarray:
 
     Benchmark passages weigh as much as the documents' in all, so that the space tells items apart.
     """
+    bounded_batches(docs.sparkSession)
     start = _start()
     weight = max(1.0, docs.count() / max(1, benchmark.count()))
     texts = docs.select("text", F.lit(1.0).alias("weight")).unionByName(benchmark.select("text", F.lit(float(weight)).alias("weight")))

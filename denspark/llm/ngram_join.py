@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from denspark.lineage import cut, table
+from denspark.lineage import bounded_batches, cut, table
 from denspark.llm import textops
 from denspark.llm.bits import added_up, bit_table, held, table_size
 from denspark.operators.components import connected_components
@@ -309,6 +309,7 @@ def _fits(share: int):
 
 def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, node, bits, more) of every row, and the table of token counts (CELLS numbers)."""
+    bounded_batches(docs.sparkSession)
     both = table(docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNED))
     blocks = added_up(both.where("block is not null").select("block", "counts"), _add_up, "block int, counts binary", CELLS // BLOCK).toArrow().to_pylist()
     counts = np.zeros(CELLS, np.int64)

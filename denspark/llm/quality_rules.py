@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from denspark.lineage import bounded_batches
 from denspark.llm import textops
 
 #: The characters that count as symbols.
@@ -116,6 +117,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     ``doc_id`` (or have none), repeated rows and columns of any name are no special case, a null or
     empty text goes, and an empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_keeper, docs.schema)
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from denspark.lineage import cut, table
+from denspark.lineage import bounded_batches, cut, table
 from denspark.llm import textops
 from denspark.llm.bits import bit_table, held, table_size
 
@@ -398,6 +398,7 @@ def _bits(grams: DataFrame, n: int) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, size, start, end): the stretches of bytes to remove in texts of that xxhash64 and length, possibly overlapping."""
+    bounded_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     again = cut(docs.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))

@@ -8,6 +8,7 @@ a slice of its own), so memory follows the longest document, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,16 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(col, "") if col.null_count else col
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on from task to task, with all that it ever held otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(col: pa.Array, limit: int = SLICE, most: int = 2000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, bytes, offsets from 0) for runs of at most ``most`` whole documents."""
     if len(col) == 0:
@@ -80,6 +91,8 @@ def slices(col: pa.Array, limit: int = SLICE, most: int = 2000) -> Iterator[tupl
         stop = min(max(row + 1, stop), row + most, len(col))
         yield row, raw[offs[row] : offs[stop]], offs[row : stop + 1] - offs[row]
         row = stop
+    if len(raw) > limit:
+        release()
 
 
 def spans(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
