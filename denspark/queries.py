@@ -447,6 +447,18 @@ def cluster_labels_supplier(spark, sf_dir):
     return cluster(_suppliers(spark, sf_dir), ClusterConfig(5))
 
 
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT CAST(id AS BIGINT) AS id, label FROM assigned")
+def session_refresh(spark, sf_dir):
+    """Labels of a session that is opened anew and refreshed after each of two batches of nations."""
+    points = cut(_suppliers(spark, sf_dir))
+    root = f"{shared_dir(spark)}/session-{uuid.uuid4().hex}"
+    for number, own in enumerate((F.get("item", F.lit(1)) < 12, F.get("item", F.lit(1)) >= 12)):
+        session = ClusteringSession(points, root)
+        session.append_batch(points.where(own), number)
+        session.refresh()
+    return session.table("labels").select("id", "label")
+
+
 @query()
 def cluster_labels(spark, sf_dir):
     return cluster(_vectors(spark, sf_dir))

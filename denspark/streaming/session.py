@@ -13,6 +13,10 @@ second writer is refused. A session that is opened on a folder with a log goes o
 
 Replaced folders are deleted one version later. Tables of over ``FOLDERS`` small folders are written as one.
 ``metrics`` counts what the writes of all versions held.
+
+Labels change by :meth:`ClusteringSession.refresh` only, called by hand or after every ``refresh.every_n`` new items:
+the forest is renewed from the edges that can matter (:mod:`denspark.streaming.refresh`), ``snapshot_version`` goes up
+by one, and ``labels`` has each item's label and the lasting name of its cluster (null: noise).
 """
 
 from __future__ import annotations
@@ -32,10 +36,13 @@ from denspark.lineage import cut
 from denspark.operators import cells
 from denspark.operators.density import candidate_edges, core_distances
 from denspark.operators.knn import search
+from denspark.streaming.refresh import forest_labels, matched_names, moved_items, renew
 from denspark.streaming.reports import BatchReports
 
 #: Folders of a table that are left as they are, log files that are kept, and growth after which cells are made anew.
 FOLDERS, KEPT, GROWTH = 20, 50, 4
+#: Names of clusters that are sent to all tasks; more are joined.
+NAMES = 1_000_000
 
 
 class ClusteringSession:
@@ -48,15 +55,17 @@ class ClusteringSession:
         self.spark: SparkSession = source.sparkSession
         self.source, self.root, self.metric = source, root.rstrip("/"), metric
         item = source.schema["item"].dataType.simpleString()
-        self._schemas = {"points": f"id long, item {item}, cell int", "centres": f"cell int, item {item}", "edges": "source long, target long, distance float, sequence long", "core": "id long, core float, dirty boolean", "rejects": "id long, reason string"}
+        self._schemas = {"points": f"id long, item {item}, cell int", "centres": f"cell int, item {item}", "edges": "source long, target long, distance float, sequence long", "core": "id long, core float, dirty boolean", "rejects": "id long, reason string", "forest": "source long, target long, distance float, sequence long", "labels": "id long, label long, name long, core float"}
         self._kind = {"item": item, "metric": metric.name, "min_cluster_size": self.config.min_cluster_size}
-        self._start({"version": 0, "batches": {}, "folders": {name: [] for name in self._schemas}, "dying": [], "metrics": dict.fromkeys(("versions", "points", "edges", "rejects", "cores", "read"), 0), "snapshot": 0, "cells": {"radius": [], "count": []}, "indexed": 0})
+        self._start({"version": 0, "batches": {}, "folders": {name: [] for name in self._schemas}, "dying": [], "metrics": dict.fromkeys(("versions", "points", "edges", "rejects", "cores", "read"), 0), "snapshot": 0, "cells": {"radius": [], "count": []}, "indexed": 0, "refreshed": {}})
         if not self.reload():
             self._write({k: self.spark.createDataFrame([], v) for k, v in self._schemas.items()})
 
     def _start(self, record: dict) -> None:
         self.version, self.snapshot_version = record["version"], record["snapshot"]
-        self._versions, self._batches, self._dying = record["folders"], record["batches"], record["dying"]
+        self._versions, self._batches, self._dying = {name: record["folders"].get(name, []) for name in self._schemas}, record["batches"], record["dying"]
+        #: What the last refresh looked at: items, changed ones, edges taken of all edges, bridges, clusters, names so far; empty before the first.
+        self.refreshed = record.get("refreshed", {})
         self.metrics, self._cells, self._indexed = record["metrics"], record["cells"], record["indexed"]
         self._claimed, self._centres = self.version, None
 
@@ -115,7 +124,7 @@ class ClusteringSession:
         self._claimed = version
         return version
 
-    def _write(self, tables: dict[str, DataFrame], source: str | None = None, batch: int = -1, whole: tuple[str, ...] = ("core",), index: cells.Index | None = None, read: int = 0) -> None:
+    def _write(self, tables: dict[str, DataFrame], source: str | None = None, batch: int = -1, whole: tuple[str, ...] = ("core",), index: cells.Index | None = None, read: int = 0, refreshed: dict | None = None) -> None:
         """Writes the next version's new rows (all rows of the tables in ``whole``), then its log; rows are counted as they are written."""
         version, seen = self._claim(), {}
         for name, df in tables.items():
@@ -136,7 +145,7 @@ class ClusteringSession:
         known = self._cells if index is None else {"radius": index.radius.tolist(), "count": index.count.tolist()}
         indexed = int(sum(known["count"])) if "centres" in tables else self._indexed
         batches = self._batches if source is None else self._batches | {source: batch}
-        record = {"version": version, "batches": batches, "folders": folders, "dying": replaced, "metrics": metrics, "snapshot": self.snapshot_version, "cells": known, "indexed": indexed}
+        record = {"version": version, "batches": batches, "folders": folders, "dying": replaced, "metrics": metrics, "snapshot": self.snapshot_version + (refreshed is not None), "cells": known, "indexed": indexed, "refreshed": self.refreshed if refreshed is None else refreshed}
         fs, at = self._fs(self._log(version))
         out = fs.create(at, True)
         out.write(bytearray(json.dumps(record | {"kind": self._kind}).encode()))
@@ -156,7 +165,9 @@ class ClusteringSession:
             self._write({name: self.table(name).repartition(parts, "cell") if name == "points" else self.table(name).coalesce(parts) for name in many}, whole=tuple(many))
 
     def table(self, name: str) -> DataFrame:
-        """points, edges, core or rejects as of the last version."""
+        """points, edges, core, rejects, forest or labels as of the last version."""
+        if not self._versions[name]:
+            return self.spark.createDataFrame([], self._schemas[name])
         rows = self.spark.read.schema(self._schemas[name] + ", v int").option("basePath", f"{self.root}/{name}")
         return rows.parquet(*[self._path(name, v) for v in self._versions[name]]).drop("v")
 
@@ -229,6 +240,9 @@ class ClusteringSession:
             self.reindex()
         if max(len(v) for v in self._versions.values()) > FOLDERS:
             self.compact()
+        every = self.config.refresh.every_n
+        if every is not None and n >= max(self.config.min_cluster_size, self.refreshed.get("items", 0) + every):
+            self.refresh()
 
     def _centre_rows(self, index: cells.Index) -> DataFrame:
         values = [x.tolist() if hasattr(x, "tolist") else x for x in index.centres]
@@ -304,6 +318,34 @@ class ClusteringSession:
         points = self.table("points")
         self._store(core_distances(self._cores(points), self.config.min_cluster_size, points))
 
+    def refresh(self) -> DataFrame:
+        """(id, label, name) of all items, as a run over all the session's edges gives them; also kept as ``labels``.
+
+        Core distances are recomputed first. Without new items, nothing is written.
+        """
+        n, size = self.metrics["points"], self.config.min_cluster_size
+        if n == 0:
+            raise ENGINE["EMPTY_SOURCE"]("no items")
+        if n < size:
+            raise ENGINE["INSUFFICIENT_ITEMS"](f"{n} items, {size} wanted")
+        self.recompute_core_distances()
+        points, core, before = self.table("points").select("id", "item"), self.table("core").select("id", "core"), self.table("labels")
+        if not moved_items(core, before).isEmpty():
+            edges = self.table("edges")
+            new = renew(points, core, edges, self.table("forest"), before, self.metric)
+            labels, k = forest_labels(n, new.forest, core, size, points)
+            unused = self.refreshed.get("names", 0)
+            names = cut(matched_names(labels, k, before, unused))
+            top = names.agg(F.max("name").alias("top")).first()["top"]
+            rows = labels.join(F.broadcast(names) if k <= NAMES else names, "label", "left").join(core, "id").select("id", "label", "name", "core")
+            tables = {"forest": new.forest, "labels": rows}
+            bridged = 0
+            if new.bridges is not None:
+                tables["edges"], bridged = new.bridges, new.bridges.count()
+            seen = {"items": n, "changed": new.changed, "taken": new.candidates, "edges": self.metrics["edges"] + bridged, "bridges": bridged, "whole": new.whole, "clusters": k, "names": unused if top is None else max(unused, top + 1)}
+            self._write(tables, whole=("forest", "labels"), refreshed=seen)
+        return self.table("labels").select("id", "label", "name")
+
     def core_distance(self, item: int) -> float | None:
         """An item's core distance; None if it is unknown, not computed yet, or infinite."""
         row = self.table("core").where((F.col("id") == item) & ~F.col("dirty")).select("core").collect()
