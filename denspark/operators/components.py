@@ -91,3 +91,24 @@ def connected_components(edges: DataFrame, within: str | None = None, finish: in
     kind = {f.name: f.dataType.simpleString() for f in live.schema}
     ends = live.coalesce(1).mapInPandas(_joined(key), ", ".join([*(f"{k} {kind[k]}" for k in key), f"x {kind['a']}", f"p {kind['a']}"]))
     return cut(labels.join(ends.withColumnRenamed("x", "component"), [*key, "component"], "left").select(*key, "node", F.coalesce("p", "component").alias("component")))
+
+
+def chains(points: DataFrame, eps: float) -> DataFrame:
+    """(source, target) whose components are those of all pairs of numbers (id, item) that differ by at most ``eps``; every point has an edge, if only with itself.
+
+    Numbers are put into bins of half of ``eps``: those of a bin are all within reach of its first, and two bins are linked if
+    the upper's least number is within reach of the lower's greatest. Only bins are compared, so there are about as many edges as points.
+    Numbers so large that bins would be rounded (doubles have 16 values at most within ``eps`` there) are joined by range, each different one once.
+    """
+    size, far = F.abs("item"), eps * 2.0**49
+    rows = points.withColumn("bin", F.when(size < far, F.floor(F.col("item") / (eps / 2))))
+    bins = cut(rows.where("bin is not null").groupBy("bin").agg(F.min(F.struct("item", "id")).alias("low"), F.max("item").alias("high")))
+    inner = rows.join(bins.select("bin", F.col("low.id").alias("first")), "bin", "left").select(F.coalesce("first", "id").alias("source"), F.col("id").alias("target"))
+    above = bins.select(F.col("low.id").alias("target"), F.col("low.item").alias("least"), F.explode(F.array(*[F.col("bin") - k for k in (1, 2, 3)])).alias("bin"))
+    across = bins.join(above, "bin").where(F.col("least") - F.col("high") <= eps).select(F.col("low.id").alias("source"), "target")
+    large = points.where((size >= far / 2) & (size < float("inf")))
+    values = cut(large.groupBy("item").agg(F.min("id").alias("id")))
+    equal = large.join(values.withColumnRenamed("id", "first"), "item").select(F.col("first").alias("source"), F.col("id").alias("target"))
+    x, y = values.select(F.col("id").alias("source"), F.col("item").alias("x")), values.select(F.col("id").alias("target"), F.col("item").alias("y"))
+    apart = x.join(y, F.col("y").between(F.col("x"), F.col("x") + eps) & (F.col("y") - F.col("x") <= eps)).select("source", "target")
+    return inner.unionByName(across).unionByName(equal).unionByName(apart)

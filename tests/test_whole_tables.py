@@ -44,3 +44,22 @@ def test_components_may_be_finished_by_one_task(spark, finish):
     whole = connected_components(df.drop("part"), finish=finish).collect()
     assert {tuple(r) for r in whole} == {tuple(r) for r in connected_components(df.drop("part")).collect()}
     assert components.FINISH > 1000
+
+
+def test_components_of_numbers_need_no_pairs(spark):
+    values = [-0.5, 99.5, 199.5, 300.0, 400.0, 500.0000001, -1e-17, None, float("nan"), float("inf"), float("inf"), 1e17, 1e17 + 96, 1e17 + 208, 1e300, 1e300, None, 700.0]
+    points = spark.createDataFrame(list(enumerate(values)), "id long, item double")
+    links = components.chains(points, 100.0)
+    assert spark.range(5000).select("id", F.lit(7.0).alias("item")).transform(lambda p: components.chains(p, 100.0)).count() == 5000
+    found = dict(tuple(r) for r in connected_components(links, finish=100).collect())
+    at = dict(enumerate(values))
+    near = [(a, b) for a in at for b in at if None not in (at[a], at[b]) and abs(at[a] - at[b]) <= 100]
+    assert found == {i: min([i, *(j for j in at if (i, j) in reach)]) for reach in [closed(near)] for i in at}
+
+
+def closed(pairs):
+    while True:
+        more = {(a, d) for a, b in pairs for c, d in pairs if b == c} | set(pairs)
+        if len(more) == len(set(pairs)):
+            return more
+        pairs = more
