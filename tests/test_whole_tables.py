@@ -63,3 +63,18 @@ def closed(pairs):
         if len(more) == len(set(pairs)):
             return more
         pairs = more
+
+
+def test_all_pairs_in_blocks_keep_rows_that_are_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PAIRED", 7)
+    v = np.random.default_rng(2).normal(size=(20, 3)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, None), (21, [1.0, None, 2.0]), (22, [1.0])]
+    points = spark.createDataFrame(rows, "id long, item array<float>")
+    monkeypatch.setattr(queries, "_vectors", lambda *_: points)
+    got = {(r["source"], r["target"]): r["distance"] for r in queries.euclidean_pairs(spark, "").collect()}
+    assert sorted(got) == [(i, j) for i in range(23) for j in range(i + 1, 23)]
+    assert all((got[k] is None) == (k[1] >= 20) for k in got)
+    assert all(got[i, j] == float(np.float32(np.sqrt(((v[i].astype(float) - v[j]) ** 2).sum()))) for i, j in got if j < 20)
+    monkeypatch.setattr(queries, "_vectors", lambda *_: points.where("id < 20"))
+    plan = queries.cosine_pairs(spark, "")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
