@@ -78,3 +78,15 @@ def test_all_pairs_in_blocks_keep_rows_that_are_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(queries, "_vectors", lambda *_: points.where("id < 20"))
     plan = queries.cosine_pairs(spark, "")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_components_of_all_edges_are_found_once(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(10 * (i // 2) ** 2 + i % 2)]) for i in range(24)], "id long, item array<float>")
+    core = points.select("id", F.lit(0.0).cast("float").alias("core"))
+    edges = spark.createDataFrame([(i, i + 1, 1.0, 0) for i in range(0, 24, 2)], "source long, target long, weight float, sequence long")
+    sizes = []
+    monkeypatch.setattr(clustering, "connected_components", lambda e, **k: sizes.append(e.count()) or connected_components(e, **k))
+    linked = clustering.connect(points, core, edges, clustering.EUCLIDEAN)
+    assert linked.count() == 23 and connected_components(linked, finish=100).select("component").distinct().count() == 1
+    # Once all 12 edges, then the bridges of each round.
+    assert sizes[0] == 12 and sum(sizes[1:]) == 11
