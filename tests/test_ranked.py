@@ -52,3 +52,15 @@ def test_ranked_by_one_product(monkeypatch, name, metric):
             assert got == want
         else:  # sums in another order may differ in the last place
             assert all(np.allclose([d for d, _ in got[q]], [d for d, _ in want[q]], atol=1.3e-7, rtol=0) for q in want)
+
+
+def test_vectors_without_structure_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(descent, "FEW", 0)
+    n = 1200
+    x = np.random.default_rng(2).random((n, 48)).astype(np.float32)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, item array<float>").repartition(3).cache()
+    graph = descent.neighbour_graph(points, 10, target=0.999)
+    # The lists of the first length are held against exact ones once, then all pairs are met in blocks: no lists of twice the length.
+    assert graph.recall == 1.0 and graph.rounds <= descent.ROUNDS
+    assert graph.compared >= n * (n - 1) // 2
+    assert {tuple(r) for r in graph.neighbours.collect()} == {tuple(r) for r in knn.exact_knn(points, 10).collect()}
