@@ -35,7 +35,7 @@ from denspark.functions.scalar import effective_ef
 from denspark.lineage import cut
 from denspark.operators import cells
 from denspark.operators.density import candidate_edges, core_distances
-from denspark.operators.knn import search
+from denspark.operators.knn import GROUP, search
 from denspark.streaming.refresh import forest_labels, matched_names, moved_items, renew
 from denspark.streaming.reports import BatchReports
 
@@ -161,8 +161,7 @@ class ClusteringSession:
         many = [name for name, v in self._versions.items() if len(v) > 1]
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         if many:
-            # Points of a cell come together, so that each cell is a file or two.
-            self._write({name: self.table(name).repartition(parts, "cell") if name == "points" else self.table(name).coalesce(parts) for name in many}, whole=tuple(many))
+            self._write({name: self._by_cell(self.table(name), self._index()) if name == "points" and self._by_cells else self.table(name).coalesce(parts) for name in many}, whole=tuple(many))
 
     def table(self, name: str) -> DataFrame:
         """points, edges, core, rejects, forest or labels as of the last version."""
@@ -232,7 +231,7 @@ class ClusteringSession:
         # Each has a new end, so none is known.
         edges = candidate_edges(near)
         dirty = new.select("id", F.lit(None).cast("float").alias("core"), F.lit(True).alias("dirty"))
-        tables = {"points": new.select("id", "item", "cell"), "edges": edges, "core": self.table("core").unionByName(dirty), "rejects": rejects}
+        tables = {"points": self._by_cell(new.select("id", "item", "cell"), index), "edges": edges, "core": self.table("core").unionByName(dirty), "rejects": rejects}
         if begins:
             tables["centres"] = self._centre_rows(index)
         self._write(tables, source, batch, index=index, read=read)
@@ -244,6 +243,14 @@ class ClusteringSession:
         if every is not None and n >= max(self.config.min_cluster_size, self.refreshed.get("items", 0) + every):
             self.refresh()
 
+    def _by_cell(self, points: DataFrame, index: cells.Index | None) -> DataFrame:
+        """Points of a cell come together, GROUP in a task about, so that each cell is a file or two however many tasks there are."""
+        if index is None:
+            return points
+        lots = [int(x) for x in -(-np.maximum(index.count, 1) // GROUP)]
+        lot = F.pmod(F.xxhash64("id"), F.element_at(F.lit(lots).cast("array<int>"), F.col("cell") + 1))
+        return points.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "cell", lot)
+
     def _centre_rows(self, index: cells.Index) -> DataFrame:
         values = [x.tolist() if hasattr(x, "tolist") else x for x in index.centres]
         return self.spark.createDataFrame(list(enumerate(values)), self._schemas["centres"])
@@ -254,8 +261,7 @@ class ClusteringSession:
         index = cells.index_of(points, self.metrics["points"])
         rows = cut(cells.placed(points, index.centres, self.metric))
         index = index.grown(rows)
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self._write({"points": rows.select("id", "item", "cell").repartition(parts, "cell"), "centres": self._centre_rows(index)}, whole=("points", "centres"), index=index)
+        self._write({"points": self._by_cell(rows.select("id", "item", "cell"), index), "centres": self._centre_rows(index)}, whole=("points", "centres"), index=index)
 
     def append(self, ids: list[int]) -> None:
         """Appends items in order. The first bad id stops the rest and raises; those before it stay."""

@@ -1,0 +1,30 @@
+"""How a session's points are kept, and how often its items are searched."""
+
+import numpy as np
+
+from denspark.config import ClusterConfig, KnnParams
+from denspark.streaming import session as sessions
+from denspark.streaming.session import ClusteringSession
+
+
+def made(spark, path, n=3000):
+    x = np.random.default_rng(8).random((n, 2)).astype(np.float32) * 100
+    source = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, item array<float>").repartition(8).cache()
+    return source, ClusteringSession(source, str(path), ClusterConfig(3, params=KnnParams(4, 6)))
+
+
+def files(path, version):
+    return {cell.name: len(list(cell.glob("*.parquet"))) for cell in (path / "points" / f"v={version}").glob("cell=*")}
+
+
+def test_each_cell_of_an_append_is_one_file(spark, tmp_path, monkeypatch):
+    source, session = made(spark, tmp_path / "s")
+    session.append_batch(source.select("id"), 0)
+    found = files(tmp_path / "s", session.version)
+    assert len(found) > 40 and set(found.values()) == {1}
+    # Crowded cells are dealt to several tasks.
+    monkeypatch.setattr(sessions, "GROUP", 20)
+    session.reindex()
+    found = files(tmp_path / "s", session.version)
+    assert 1 < max(found.values()) <= 4
+    assert session.point_count == 3000
