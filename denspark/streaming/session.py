@@ -306,13 +306,15 @@ class ClusteringSession:
 
     def recompute_core_distances(self) -> None:
         """Core distances of new items and of older ones among their neighbours; nothing is written if nothing is new."""
-        new = self.table("core").where("dirty").select("id").join(self.table("points"), "id")
+        new = cut(self.table("core").where("dirty").select("id").join(self.table("points"), "id").select("id", "item"))
         if new.isEmpty():
             return
         near = self._cores(new)
-        touched = self.recompute_targets(new, near)
-        queries = new.unionByName(touched.join(self.table("points"), "id"))
-        self._store(core_distances(self._cores(queries), self.config.min_cluster_size, queries))
+        touched = cut(self.recompute_targets(new, near).join(self.table("points"), "id").select("id", "item"))
+        # The neighbours of new items are known by now.
+        if not touched.isEmpty():
+            near = near.unionByName(self._cores(touched))
+        self._store(core_distances(near, self.config.min_cluster_size, new.unionByName(touched)))
 
     @staticmethod
     def recompute_targets(new: DataFrame, neighbours: DataFrame) -> DataFrame:

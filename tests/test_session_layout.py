@@ -3,6 +3,8 @@
 import numpy as np
 
 from denspark.config import ClusterConfig, KnnParams
+from denspark.operators import knn
+from denspark.operators.density import core_distances
 from denspark.streaming import session as sessions
 from denspark.streaming.session import ClusteringSession
 
@@ -28,3 +30,19 @@ def test_each_cell_of_an_append_is_one_file(spark, tmp_path, monkeypatch):
     found = files(tmp_path / "s", session.version)
     assert 1 < max(found.values()) <= 4
     assert session.point_count == 3000
+
+
+def test_new_items_are_searched_once(spark, tmp_path, monkeypatch):
+    source, session = made(spark, tmp_path / "s", 600)
+    session.append_batch(source.where("id < 500").select("id"), 0)
+    session.recompute_core_distances()
+    session.append_batch(source.where("id >= 500").select("id"), 1)
+    asked = []
+    own = session._cores
+    monkeypatch.setattr(session, "_cores", lambda queries: asked.extend(r["id"] for r in queries.select("id").collect()) or own(queries))
+    session.recompute_core_distances()
+    assert set(range(500, 600)) < set(asked) and len(asked) == len(set(asked))
+    exact = {r["id"]: r["core"] for r in core_distances(knn.exact_knn(source, 6), 3).collect()}
+    cores = {r["id"]: r["core"] for r in session.table("core").collect()}
+    assert all(cores[i] == exact[i] for i in asked)
+    assert not session.table("core").where("dirty").count()
