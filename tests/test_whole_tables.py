@@ -1,6 +1,8 @@
 """Queries whose work must grow with the table: no pairs as rows, exact results all the same."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,50 @@ def test_components_of_all_edges_are_found_once(spark, monkeypatch):
     assert linked.count() == 23 and connected_components(linked, finish=100).select("component").distinct().count() == 1
     # Once all 12 edges, then the bridges of each round.
     assert sizes[0] == 12 and sum(sizes[1:]) == 11
+
+
+def columns_of(folder):
+    """Bytes a row of each column of the written rows, and how its values were encoded."""
+    size, kinds, n = {}, {}, 0
+    for path in folder.glob("*.parquet"):
+        data = pq.ParquetFile(path).metadata
+        for g in range(data.num_row_groups):
+            n += data.row_group(g).num_rows
+            for c in range(data.num_columns):
+                column = data.row_group(g).column(c)
+                size[column.path_in_schema] = size.get(column.path_in_schema, 0) + column.total_compressed_size
+                kinds.setdefault(column.path_in_schema, set()).update(column.encodings)
+    return {name: x / n for name, x in size.items()}, kinds
+
+
+@pytest.mark.parametrize("name", ["euclidean_pairs"])
+def test_all_pairs_take_little_disk(spark, monkeypatch, tmp_path, name):
+    rng = np.random.default_rng(8)
+    v, ids = rng.normal(size=(2000, 64)).astype(np.float32), rng.permutation(10**6)[:2000]
+    points = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "id long, item array<float>")
+    monkeypatch.setattr(queries, "_vectors", lambda *_: points)
+    queries.QUERIES[name](spark, "").write.parquet(str(tmp_path / "out"))
+    size, kinds = columns_of(tmp_path / "out")
+    # Ends come in runs that repeat, and rounded distances are kept once and referred to.
+    assert size["source"] + size["target"] < 1.2
+    assert name == "euclidean_pairs" or "PLAIN" not in kinds["distance"]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2000 * 1999 // 2
+
+
+def test_equal_ids_are_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PAIRED", 3)
+    ids = [0, 1, 1, 1, 1, 1, 1, 2]
+    points = spark.createDataFrame([(i, [float(k), 1.0]) for k, i in enumerate(ids)], "id long, item array<float>")
+    monkeypatch.setattr(queries, "_vectors", lambda *_: points)
+    got = sorted((r["source"], r["target"], round(r["distance"])) for r in queries.euclidean_pairs(spark, "").collect())
+    assert got == sorted((a, b, abs(i - j)) for i, a in enumerate(ids) for j, b in enumerate(ids) if a < b)
+
+
+def test_a_pair_of_groups_is_a_task_of_its_own(spark):
+    points = spark.range(4000).select("id", F.array(F.rand(1).cast("float")).alias("item"))
+
+    def meet(a, b, same):
+        yield pa.RecordBatch.from_arrays([pa.array([int(a["id"].sum() * 7 + b["id"].sum())])], names=["met"])
+
+    dealt = knn.meet_all(points, meet, "met long", most=500).select(F.spark_partition_id().alias("task")).groupBy("task").count()
+    assert [tuple(r) for r in dealt.select("count").distinct().collect()] == [(1,)] and dealt.count() == 36
