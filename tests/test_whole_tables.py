@@ -108,7 +108,7 @@ def columns_of(folder):
     return {name: x / n for name, x in size.items()}, kinds
 
 
-@pytest.mark.parametrize("name", ["euclidean_pairs"])
+@pytest.mark.parametrize("name", ["cosine_pairs", "euclidean_pairs"])
 def test_all_pairs_take_little_disk(spark, monkeypatch, tmp_path, name):
     rng = np.random.default_rng(8)
     v, ids = rng.normal(size=(2000, 64)).astype(np.float32), rng.permutation(10**6)[:2000]
