@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from denspark import queries
 from denspark.functions.distance import COSINE, EUCLIDEAN
 from denspark.operators import descent, knn
 
@@ -64,3 +65,23 @@ def test_vectors_without_structure_are_compared_in_full(spark, monkeypatch):
     assert graph.recall == 1.0 and graph.rounds <= descent.ROUNDS
     assert graph.compared >= n * (n - 1) // 2
     assert {tuple(r) for r in graph.neighbours.collect()} == {tuple(r) for r in knn.exact_knn(points, 10).collect()}
+
+
+def test_lists_too_short_for_a_trial_are_not_refined_for_all(spark, monkeypatch):
+    monkeypatch.setattr(descent, "FEW", 0)
+    monkeypatch.setattr(descent, "TRIED", 600, raising=False)
+    monkeypatch.setattr(descent, "MANY", 2, raising=False)
+    x = np.random.default_rng(2).random((1200, 48)).astype(np.float32)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, item array<float>").repartition(3).cache()
+    sizes, searches = [], []
+    first, exact = descent._first_lists, knn.exact_knn
+    monkeypatch.setattr(descent, "_first_lists", lambda p, n, *a: sizes.append(n) or first(p, n, *a))
+    for module in (descent, knn):
+        monkeypatch.setattr(module, "exact_knn", lambda *a: searches.append(a) or exact(*a))
+    monkeypatch.setattr(queries, "_vectors", lambda *_: points)
+    monkeypatch.setattr(queries, "neighbour_graph", lambda p, k: descent.neighbour_graph(p, k, target=0.999))
+    row = queries.approximate_recall(spark, "").first()
+    # Only the trial is refined, and all pairs are met once, for the graph and for what it is held against.
+    assert sizes == [600] and len(searches) == 1
+    assert (row["hits"], row["total"], row["fraction"]) == (12000, 12000, 1.0) and row["compared"] > 1200 * 1199 // 2
+    assert {tuple(r) for r in descent.neighbour_graph(points, 10, target=0.999).neighbours.collect()} == {tuple(r) for r in exact(points, 10).collect()}
